@@ -111,7 +111,7 @@ def epoch_key_time(
 
 
 def age_seconds(ts: str | Column, as_of: Column) -> Column:
-    return F.timestampdiff("SECOND", col(ts), as_of)
+    return F.timestamp_diff("SECOND", col(ts), as_of)
 
 
 def hour_minute(ts: str | Column) -> Column:

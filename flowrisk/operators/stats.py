@@ -68,7 +68,7 @@ def top_ip_bars(preds: DataFrame, k: int = 8) -> DataFrame:
     top = top_ips(preds, k)
     w = Window.orderBy(F.desc("count"), F.asc("source_ip"))
     return top.select(
-        F.row_number().over(w).alias("rank"),
+        F.row_number().over(w).cast("bigint").alias("rank"),
         "source_ip",
         "count",
         F.round(F.col("count") * 100.0 / F.max("count").over(Window.partitionBy()), 0).cast("int").alias("bar_percent"),

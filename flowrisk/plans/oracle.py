@@ -112,5 +112,306 @@ SQL["batch_metrics"] = _w(
 )
 
 
+# Columns of the flow adapter, in order (the FLOWS CTE above).
+FLOW_ADAPTER_COLUMNS = ["kafka_key", "kafka_timestamp", "Destination Port", "Flow Duration", "Label", "label_index",
+                        "k", "sensor_id", "event_time", "source_ip"]
+_DUCK_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+
+
+def _q(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _parse_sql() -> str:
+    from flowrisk.schema import FLOW_COLUMNS
+
+    fields = ",\n    ".join(
+        f"TRY_CAST(json_extract_string(value, '$.{_q(n)}') AS {_DUCK_TYPE[t]}) AS {_q(n)}" for n, t in FLOW_COLUMNS
+    )
+    return _w(FLOWS + MESSAGES, f"""SELECT key AS kafka_key, "timestamp" AS kafka_timestamp,
+    {fields},
+    NOT json_valid(value) AS is_corrupt
+  FROM messages""")
+
+
+def _features_cte() -> str:
+    from flowrisk.schema import MODEL_FEATURES
+
+    rows = ", ".join(f"({_lit(f)}, {i + 1})" for i, f in enumerate(MODEL_FEATURES))
+    return f""",
+feat(feature, position) AS (VALUES {rows}),
+cols AS (SELECT column_name FROM (DESCRIBE flows))"""
+
+
+MESSAGES = """,
+messages AS (
+  SELECT kafka_key AS key,
+         CAST(json_object('Destination Port', "Destination Port", 'Flow Duration', "Flow Duration", 'Label', "Label") AS VARCHAR) AS value,
+         kafka_timestamp AS "timestamp"
+  FROM flows
+)"""
+
+SQL["to_messages"] = _w(FLOWS + MESSAGES, "SELECT * FROM messages")
+SQL["parse_events"] = _parse_sql()
+SQL["verify_labels"] = _w(
+    FLOWS + MESSAGES,
+    """SELECT coalesce(json_extract_string(value, '$.Label'), 'UNKNOWN') AS label, count(*) AS count
+       FROM messages GROUP BY 1 ORDER BY 2 DESC, 1""",
+)
+
+ISO = "'%Y-%m-%dT%H:%M:%S.%f'"
+SQL["validate_events"] = _w(
+    FLOWS + f""",
+req AS (
+  SELECT kafka_key AS request_id,
+    json_object('sensor_id', sensor_id,
+                'event_time', strftime(kafka_timestamp, {ISO}) || CASE WHEN k % 2 = 0 THEN '+02:00' ELSE '' END,
+                'source_ip', source_ip,
+                'destination_port', CAST(round("Flow Duration" * 2, 0) AS BIGINT) - 3,
+                'flow_duration', CAST(k - 5 AS BIGINT),
+                'label', "Label") AS b,
+    "Destination Port" % 2 = 0 AS w
+  FROM flows
+),
+bodies AS (SELECT request_id, CAST(CASE WHEN w THEN json_object('event', b) ELSE b END AS VARCHAR) AS body FROM req),
+un AS (
+  SELECT request_id, body, json_extract(body, '$.event') IS NOT NULL AS wrapped,
+         CASE WHEN json_extract(body, '$.event') IS NOT NULL THEN CAST(json_extract(body, '$.event') AS VARCHAR) ELSE body END AS inner_body
+  FROM bodies
+),
+f AS (
+  SELECT request_id, wrapped, NOT json_valid(body) AS bad,
+         wrapped AND json_type(inner_body) = 'NULL' AS no_event,
+         json_extract_string(inner_body, '$.sensor_id') AS sensor_id,
+         json_extract_string(inner_body, '$.event_time') AS et_text,
+         json_extract_string(inner_body, '$.source_ip') AS source_ip,
+         json_extract_string(inner_body, '$.destination_port') AS port_text,
+         json_extract_string(inner_body, '$.flow_duration') AS dur_text,
+         json_extract_string(inner_body, '$.label') AS label
+  FROM un
+),
+g AS (
+  SELECT *, TRY_CAST(regexp_replace(et_text, '(Z|[+-][0-9]{{2}}:?[0-9]{{2}})$', '') AS TIMESTAMP) AS event_time,
+         TRY_CAST(port_text AS BIGINT) AS port, TRY_CAST(dur_text AS BIGINT) AS dur
+  FROM f
+),
+r AS (
+  SELECT *, concat_ws(';',
+    CASE WHEN bad THEN 'malformed body' END,
+    CASE WHEN no_event THEN 'missing event payload' END,
+    CASE WHEN sensor_id IS NULL THEN 'sensor_id required' END,
+    CASE WHEN length(sensor_id) < 1 THEN 'sensor_id too short' END,
+    CASE WHEN length(sensor_id) > 128 THEN 'sensor_id too long' END,
+    CASE WHEN et_text IS NULL THEN 'event_time required' END,
+    CASE WHEN et_text IS NOT NULL AND event_time IS NULL THEN 'event_time invalid' END,
+    CASE WHEN source_ip IS NULL THEN 'source_ip required' END,
+    CASE WHEN length(source_ip) < 7 THEN 'source_ip too short' END,
+    CASE WHEN length(source_ip) > 45 THEN 'source_ip too long' END,
+    CASE WHEN port_text IS NULL THEN 'destination_port required' END,
+    CASE WHEN port_text IS NOT NULL AND port IS NULL THEN 'destination_port not an integer' END,
+    CASE WHEN port < 0 THEN 'destination_port below 0' END,
+    CASE WHEN port > 65535 THEN 'destination_port above 65535' END,
+    CASE WHEN dur_text IS NULL THEN 'flow_duration required' END,
+    CASE WHEN dur_text IS NOT NULL AND dur IS NULL THEN 'flow_duration not an integer' END,
+    CASE WHEN dur < 0 THEN 'flow_duration below 0' END,
+    CASE WHEN length(label) > 64 THEN 'label too long' END) AS reject_reasons
+  FROM g
+)""",
+    """SELECT request_id, wrapped, sensor_id, event_time, source_ip, CAST(port AS INTEGER) AS destination_port,
+              dur AS flow_duration, label, reject_reasons, reject_reasons = '' AS valid FROM r""",
+)
+
+SQL["normalize_alerts"] = _w(
+    SCORED + f""",
+msgs AS (
+  SELECT CAST(CASE WHEN risk_score >= 80.0
+    THEN json_object('type', 'alert', 'data', json_object('id', kafka_key, 'attack_type', predicted_attack,
+         'source_ip', source_ip, 'risk_score', risk_score, 'sensor_id', sensor_id, 'timestamp', strftime(created_at, {ISO})))
+    ELSE json_object('id', kafka_key, 'predicted_attack', predicted_attack, 'source_ip', source_ip,
+         'confidence', confidence, 'risk_score', risk_score, 'model_version', model_name,
+         'timestamp', strftime(created_at, {ISO})) END AS VARCHAR) AS value
+  FROM scored
+),
+p AS (
+  SELECT CASE WHEN json_extract_string(value, '$.type') = 'alert' THEN CAST(json_extract(value, '$.data') AS VARCHAR)
+              ELSE value END AS d,
+         json_extract_string(value, '$.type') AS t
+  FROM msgs
+)""",
+    """SELECT json_extract_string(d, '$.id') AS id,
+              coalesce(json_extract_string(d, '$.source_ip'), '0.0.0.0') AS source_ip,
+              coalesce(json_extract_string(d, '$.attack_type'), json_extract_string(d, '$.predicted_attack'), 'Unknown') AS predicted_attack,
+              coalesce(TRY_CAST(json_extract_string(d, '$.confidence') AS DOUBLE), 0.0) AS confidence,
+              coalesce(TRY_CAST(json_extract_string(d, '$.risk_score') AS DOUBLE), 0.0) AS risk_score,
+              json_extract_string(d, '$.model_version') AS model_version,
+              json_extract_string(d, '$.timestamp') AS "timestamp"
+       FROM p WHERE t IS NULL OR t NOT IN ('connected', 'ping', 'pong')""",
+)
+
+RAW = """,
+raw AS (
+  SELECT sensor_id, event_time, source_ip, "Destination Port" AS destination_port,
+         CAST("Flow Duration" AS BIGINT) AS flow_duration, "Label" AS label,
+         CAST(NULL AS MAP(VARCHAR, VARCHAR)) AS metadata, kafka_timestamp, kafka_key
+  FROM flows
+),
+upserted AS (
+  SELECT sensor_id, event_time, source_ip, destination_port, flow_duration, label, metadata FROM (
+    SELECT *, row_number() OVER (PARTITION BY sensor_id, event_time ORDER BY kafka_timestamp DESC, kafka_key DESC) AS rn
+    FROM raw) WHERE rn = 1
+)"""
+
+SQL["raw_telemetry"] = _w(
+    FLOWS + RAW, "SELECT sensor_id, event_time, source_ip, destination_port, flow_duration, label, metadata FROM raw"
+)
+SQL["raw_upsert"] = _w(FLOWS + RAW, "SELECT * FROM upserted")
+SQL["recent_events"] = _w(
+    FLOWS + RAW, "SELECT * FROM upserted WHERE sensor_id = 'sensor-01' ORDER BY event_time DESC LIMIT 100"
+)
+SQL["prediction_docs"] = _w(
+    SCORED,
+    """SELECT source_ip, predicted_attack, coalesce(confidence, 0.0) AS confidence, risk_score,
+              CAST(NULL AS INTEGER) AS prediction_latency_ms, model_name, "Label" AS actual_label, sensor_id, created_at,
+              kafka_key AS event_kafka_key, kafka_timestamp AS event_kafka_timestamp,
+              "Destination Port" AS "event_Destination_Port", "Flow Duration" AS "event_Flow_Duration",
+              "Label" AS "event_Label", label_index AS event_label_index, k AS event_k, prediction AS event_prediction,
+              CAST(NULL AS INTEGER) AS event_prediction_latency_ms
+       FROM scored""",
+)
+PAGE = "(SELECT * FROM scored WHERE predicted_attack = 'Botnet' ORDER BY created_at DESC, kafka_key DESC LIMIT 20 OFFSET 20)"
+SQL["predictions_page"] = _w(
+    SCORED,
+    f"""SELECT row_number() OVER (ORDER BY created_at DESC, kafka_key DESC) + 20 AS row_number, kafka_key, source_ip,
+               predicted_attack, confidence, risk_score, created_at FROM {PAGE}""",
+)
+SQL["page_info"] = _w(
+    SCORED,
+    """SELECT count(*) AS total, 2 AS page, 20 AS page_size,
+              CAST(greatest(1, ceil(count(*) / 20)) AS BIGINT) AS total_pages, 40 < count(*) AS has_more, 21 AS start_row
+       FROM scored WHERE predicted_attack = 'Botnet'""",
+)
+SQL["recent_alerts"] = _w(
+    SCORED + ALERTS, f"SELECT * FROM alerts WHERE expires_at > {AS_OF} ORDER BY \"timestamp\" DESC, alert_id DESC LIMIT 50"
+)
+SQL["alert_key_time"] = _w(
+    SCORED + ALERTS + """,
+keyed AS (
+  SELECT alert_id, risk_score >= 90 AS ms,
+         CASE WHEN risk_score >= 90 THEN epoch_us("timestamp") // 1000 ELSE epoch_us("timestamp") // 1000000 END AS n
+  FROM alerts
+)""",
+    f"""SELECT alert_id, 'alert:' || CAST(n AS VARCHAR) AS alert_key,
+              coalesce(CASE WHEN n > 10000000000 THEN make_timestamp(n * 1000) ELSE make_timestamp(n * 1000000) END,
+                       {AS_OF}) AS key_time
+       FROM keyed""",
+)
+SQL["retention"] = _w(
+    SCORED + ALERTS,
+    f"""SELECT 'predictions' AS table_name,
+              count(*) FILTER (WHERE created_at >= {AS_OF} - INTERVAL 7776000 SECOND) AS retained,
+              count(*) FILTER (WHERE NOT (created_at >= {AS_OF} - INTERVAL 7776000 SECOND)) AS expired FROM scored
+       UNION ALL
+       SELECT 'alerts', count(*) FILTER (WHERE "timestamp" >= {AS_OF} - INTERVAL 3600 SECOND),
+              count(*) FILTER (WHERE NOT ("timestamp" >= {AS_OF} - INTERVAL 3600 SECOND)) FROM alerts
+       UNION ALL
+       SELECT 'topic', count(*) FILTER (WHERE kafka_timestamp >= {AS_OF} - INTERVAL 86400 SECOND),
+              count(*) FILTER (WHERE NOT (kafka_timestamp >= {AS_OF} - INTERVAL 86400 SECOND)) FROM scored""",
+)
+SQL["severity_bands"] = _w(
+    SCORED,
+    """SELECT kafka_key, risk_score, CASE WHEN risk_score > 90 THEN 'critical' WHEN risk_score > 80 THEN 'high'
+              WHEN risk_score > 50 THEN 'medium' ELSE 'low' END AS severity_band FROM scored""",
+)
+SQL["confidence_bands"] = _w(
+    SCORED + """,
+n AS (SELECT kafka_key, CASE WHEN confidence > 1 THEN confidence / 100.0 ELSE confidence END AS c FROM scored)""",
+    """SELECT kafka_key, c AS confidence,
+              CASE WHEN c IS NULL THEN NULL WHEN c >= 0.9 THEN 'high' WHEN c >= 0.7 THEN 'medium' ELSE 'low' END AS confidence_band,
+              round(c * 100.0, 1) AS confidence_percent FROM n""",
+)
+SQL["scalar_suite"] = _w(
+    SCORED,
+    f"""SELECT kafka_key, strftime(created_at, '%H:%M') AS hh_mm,
+              date_sub('second', created_at, {AS_OF}) AS age_seconds,
+              trim('  ' || source_ip || ' ') AS ip_trimmed,
+              replace(strftime(created_at, '%Y-%m-%dT%H:%M:%SZ'), 'Z', '+00:00') AS iso_time,
+              regexp_replace(kafka_key, '^events\\.parquet-', '') AS key_suffix,
+              CAST(ceil(risk_score) AS BIGINT) AS risk_ceil
+       FROM scored""",
+)
+SQL["confidence_array"] = "SELECT vec_id, round(list_max(CAST(embedding AS DOUBLE[])), 6) AS confidence FROM embeddings"
+
+PROFILES = """,
+pt AS (SELECT source_ip, predicted_attack, count(*) AS n FROM scored GROUP BY 1, 2),
+cnt AS (SELECT source_ip, CAST(sum(n) AS BIGINT) AS event_count,
+               string_agg(predicted_attack || '=' || CAST(n AS VARCHAR), ',' ORDER BY predicted_attack) AS attack_counts
+        FROM pt GROUP BY 1),
+lat AS (
+  SELECT source_ip, created_at AS last_seen, predicted_attack AS latest_attack, risk_score, sensor_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY created_at DESC, event_time DESC, kafka_key DESC) AS rn
+    FROM scored) WHERE rn = 1
+),
+peak AS (SELECT source_ip, max(risk_score) AS peak_risk_score FROM scored GROUP BY 1)"""
+PROFILE_SELECT = """SELECT source_ip, event_count, attack_counts, last_seen, latest_attack, risk_score, sensor_id, peak_risk_score
+       FROM cnt JOIN lat USING (source_ip) JOIN peak USING (source_ip)"""
+SQL["attacker_profiles"] = _w(SCORED + PROFILES, PROFILE_SELECT)
+SQL["profile_merge"] = _w(SCORED + PROFILES, PROFILE_SELECT)
+SQL["latest_prediction"] = _w(
+    SCORED,
+    """SELECT source_ip, kafka_key, predicted_attack, confidence, risk_score, created_at FROM (
+         SELECT *, row_number() OVER (PARTITION BY source_ip ORDER BY created_at DESC, event_time DESC, kafka_key DESC) AS rn
+         FROM scored) WHERE rn = 1""",
+)
+
+SQL["contract_profile"] = _w(
+    FLOWS,
+    """SELECT count(*) AS row_count, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE flows)) AS column_count,
+              count(DISTINCT split_part(kafka_key, '-', 1)) AS file_count FROM flows""",
+)
+SQL["null_counts"] = _w(
+    FLOWS,
+    "\nUNION ALL\n".join(
+        f"SELECT {_lit(c)} AS column_name, {i + 1} AS ordinal, count(*) FILTER (WHERE {_q(c)} IS NULL) AS null_count, "
+        f"{'true' if c in ('Label', 'Destination Port', 'Flow Duration') else 'false'} AS critical FROM flows"
+        for i, c in enumerate(FLOW_ADAPTER_COLUMNS)
+    ),
+)
+SQL["label_values"] = _w(FLOWS, 'SELECT DISTINCT "Label" AS label FROM flows WHERE "Label" IS NOT NULL ORDER BY 1')
+SQL["missing_features"] = _w(
+    FLOWS + _features_cte(),
+    "SELECT feature, position FROM feat WHERE feature NOT IN (SELECT column_name FROM cols) ORDER BY position",
+)
+SQL["non_feature_columns"] = _w(
+    FLOWS + _features_cte(),
+    """SELECT column_name FROM cols WHERE column_name <> 'Label' AND column_name NOT IN (SELECT feature FROM feat)
+       ORDER BY column_name""",
+)
+SQL["contract_ok"] = _w(
+    FLOWS + _features_cte(),
+    """SELECT m.missing_count, c.critical_nulls, m.missing_count = 0 AND c.critical_nulls = 0 AS contract_ok
+       FROM (SELECT count(*) AS missing_count FROM feat WHERE feature NOT IN (SELECT column_name FROM cols)) m,
+            (SELECT count(*) FILTER (WHERE "Label" IS NULL) + count(*) FILTER (WHERE "Destination Port" IS NULL)
+                    + count(*) FILTER (WHERE "Flow Duration" IS NULL) AS critical_nulls FROM flows) c""",
+)
+SQL["confusion_matrix"] = _w(
+    SCORED, 'SELECT "Label" AS actual, predicted_attack AS predicted, count(*) AS count FROM scored GROUP BY 1, 2'
+)
+SQL["weighted_f1"] = _w(
+    SCORED + """,
+cm AS (SELECT "Label" AS actual, predicted_attack AS predicted, count(*) AS count FROM scored GROUP BY 1, 2),
+a AS (SELECT actual AS cls, sum(count) AS support, sum(CASE WHEN actual = predicted THEN count ELSE 0 END) AS tp
+      FROM cm GROUP BY 1),
+p AS (SELECT predicted AS cls, sum(count) AS predicted_n FROM cm GROUP BY 1)""",
+    """SELECT CAST(sum(support) AS BIGINT) AS n,
+              round(sum(CASE WHEN support + coalesce(predicted_n, 0) = 0 THEN 0.0
+                             ELSE 2.0 * tp / (support + coalesce(predicted_n, 0)) END * support) / sum(support), 6) AS weighted_f1
+       FROM a LEFT JOIN p USING (cls)""",
+)
+
+
 def all_sql() -> dict[str, str]:
     return dict(SQL)

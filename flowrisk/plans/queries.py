@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from flowrisk import schema as S
 from flowrisk.functions import scalar as X
 from flowrisk.operators import alerts as AL
+from flowrisk.operators import contract as CT
+from flowrisk.operators import messages as MS
+from flowrisk.operators import profiles as PR
+from flowrisk.operators import quality as QL
 from flowrisk.operators import stats as ST
 from flowrisk.operators import tables as TB
 from flowrisk.operators.enrich import with_severity
@@ -117,5 +121,235 @@ def q_batch_metrics(spark, sf_dir):
     return ST.batch_metrics(EV.load_scored(spark, sf_dir), THRESHOLD)
 
 
+# --- parse, messages, validation ----------------------------------------------------------
+
+WIRE_FIELDS = ["Destination Port", "Flow Duration", "Label"]
+PROFILE_SPLIT = "2024-01-15 00:00:00"
+
+
+@register("to_messages")
+def q_to_messages(spark, sf_dir):
+    return MS.to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS)
+
+
+@register("parse_events")
+def q_parse_events(spark, sf_dir):
+    return MS.parse_messages(MS.to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS))
+
+
+@register("verify_labels")
+def q_verify_labels(spark, sf_dir):
+    parsed = MS.parse_messages(MS.to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS))
+    return MS.label_histogram(parsed)
+
+
+@register("validate_events")
+def q_validate_events(spark, sf_dir):
+    v = MS.validate_requests(MS.ingest_requests(EV.load_flows(spark, sf_dir)))
+    return v.select(
+        "request_id", "wrapped", "sensor_id", "event_time", "source_ip", "destination_port", "flow_duration",
+        "label", F.array_join("reject_reasons", ";").alias("reject_reasons"), "valid",
+    )
+
+
+@register("normalize_alerts")
+def q_normalize_alerts(spark, sf_dir):
+    msgs = MS.live_messages(EV.load_scored(spark, sf_dir), THRESHOLD)
+    return AL.normalize_alerts(msgs).drop("raw")
+
+
+# --- stored tables, paging -----------------------------------------------------------------
+
+
+@register("raw_telemetry")
+def q_raw_telemetry(spark, sf_dir):
+    return TB.raw_telemetry(EV.load_flows(spark, sf_dir))
+
+
+@register("raw_upsert")
+def q_raw_upsert(spark, sf_dir):
+    return TB.raw_upsert(EV.load_flows(spark, sf_dir))
+
+
+@register("recent_events")
+def q_recent_events(spark, sf_dir):
+    return TB.recent_events(TB.raw_upsert(EV.load_flows(spark, sf_dir)), "sensor-01", 100)
+
+
+@register("prediction_docs")
+def q_prediction_docs(spark, sf_dir):
+    docs = TB.prediction_docs(EV.load_scored(spark, sf_dir))
+    ev = docs.schema["event"].dataType.fieldNames()
+    return docs.select(*[c for c in docs.columns if c != "event"],
+                       *[F.col("event")[c].alias("event_" + c.replace(" ", "_").replace("/", "_")) for c in ev])
+
+
+@register("predictions_page")
+def q_predictions_page(spark, sf_dir):
+    page = TB.predictions_page(EV.load_scored(spark, sf_dir), attack_type=PAGE_FILTER_ATTACK, page=2, page_size=20)
+    return page.select("row_number", "kafka_key", "source_ip", "predicted_attack", "confidence", "risk_score",
+                       "created_at")
+
+
+@register("page_info")
+def q_page_info(spark, sf_dir):
+    return TB.page_info(EV.load_scored(spark, sf_dir), attack_type=PAGE_FILTER_ATTACK, page=2, page_size=20)
+
+
+@register("recent_alerts")
+def q_recent_alerts(spark, sf_dir):
+    return AL.recent_alerts(AL.to_alerts(EV.load_scored(spark, sf_dir), THRESHOLD), as_of_col(spark, sf_dir), 50)
+
+
+@register("alert_key_time")
+def q_alert_key_time(spark, sf_dir):
+    a = AL.to_alerts(EV.load_scored(spark, sf_dir), THRESHOLD)
+    epoch = F.when(F.col("risk_score") >= 90, F.unix_millis("timestamp")).otherwise(F.unix_seconds("timestamp"))
+    keyed = a.select("alert_id", F.concat(F.lit(S.ALERT_KEY_PREFIX), epoch.cast("string")).alias("alert_key"))
+    return AL.alert_key_time(keyed, "alert_key", as_of_col(spark, sf_dir))
+
+
+@register("retention")
+def q_retention(spark, sf_dir):
+    scored = EV.load_scored(spark, sf_dir)
+    now = as_of_col(spark, sf_dir)
+    alerts = AL.to_alerts(scored, THRESHOLD)
+    parts = [
+        ("predictions", scored, "created_at", S.PREDICTION_RETENTION_DAYS * 86400),
+        ("alerts", alerts, "timestamp", S.ALERT_TTL_SECONDS),
+        ("topic", scored, "kafka_timestamp", S.TOPIC_RETENTION_HOURS * 3600),
+    ]
+    out = None
+    for name, df, col, secs in parts:
+        keep = F.col(col) >= now - F.make_interval(secs=F.lit(secs))
+        r = df.agg(F.count_if(keep).alias("retained"), F.count_if(~keep).alias("expired")).select(
+            F.lit(name).alias("table_name"), "retained", "expired")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+# --- bands and small scalar functions ------------------------------------------------------
+
+
+@register("severity_bands")
+def q_severity_bands(spark, sf_dir):
+    s = EV.load_scored(spark, sf_dir)
+    return s.select("kafka_key", "risk_score", X.severity_band("risk_score").alias("severity_band"))
+
+
+@register("confidence_bands")
+def q_confidence_bands(spark, sf_dir):
+    s = EV.load_scored(spark, sf_dir)
+    return s.select(
+        "kafka_key",
+        X.normalize_confidence("confidence").alias("confidence"),
+        X.confidence_band("confidence").alias("confidence_band"),
+        X.confidence_percent("confidence").alias("confidence_percent"),
+    )
+
+
+@register("scalar_suite")
+def q_scalar_suite(spark, sf_dir):
+    s = EV.load_scored(spark, sf_dir)
+    now = as_of_col(spark, sf_dir)
+    return s.select(
+        "kafka_key",
+        X.hour_minute("created_at").alias("hh_mm"),
+        X.age_seconds("created_at", now).alias("age_seconds"),
+        F.trim(F.concat(F.lit("  "), F.col("source_ip"), F.lit(" "))).alias("ip_trimmed"),
+        F.replace(F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("Z"), F.lit("+00:00")).alias("iso_time"),
+        F.regexp_replace(F.col("kafka_key"), r"^events\.parquet-", "").alias("key_suffix"),
+        F.ceil(F.col("risk_score")).cast("bigint").alias("risk_ceil"),
+    )
+
+
+@register("confidence_array")
+def q_confidence_array(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings")
+    return e.select("vec_id", X.max_of_array(F.col("embedding").cast("array<double>")).alias("confidence"))
+
+
+# --- profiles ------------------------------------------------------------------------------
+
+
+@register("attacker_profiles")
+def q_attacker_profiles(spark, sf_dir):
+    return PR.profiles_for_check(PR.batch_profiles(EV.load_scored(spark, sf_dir)))
+
+
+@register("profile_merge")
+def q_profile_merge(spark, sf_dir):
+    s = EV.load_scored(spark, sf_dir)
+    cut = F.lit(PROFILE_SPLIT).cast("timestamp")
+    first = PR.batch_profiles(s.filter(F.col("created_at") < cut))
+    second = PR.batch_profiles(s.filter(~(F.col("created_at") < cut)))
+    return PR.profiles_for_check(PR.merge_profiles(first, second))
+
+
+@register("latest_prediction")
+def q_latest_prediction(spark, sf_dir):
+    return PR.latest_prediction(EV.load_scored(spark, sf_dir))
+
+
+# --- contract ------------------------------------------------------------------------------
+
+
+@register("contract_profile")
+def q_contract_profile(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events")
+    flows = EV.flows_from_events(ev, extra=[F.col("_metadata.file_path").alias("_file")])
+    ncols = len(flows.columns) - 1
+    return flows.agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.lit(ncols).alias("column_count"),
+        F.count_distinct("_file").alias("file_count"),
+    )
+
+
+@register("null_counts")
+def q_null_counts(spark, sf_dir):
+    return CT.null_counts(EV.load_flows(spark, sf_dir))
+
+
+@register("label_values")
+def q_label_values(spark, sf_dir):
+    return CT.label_values(EV.load_flows(spark, sf_dir))
+
+
+@register("missing_features")
+def q_missing_features(spark, sf_dir):
+    return CT.missing_features(spark, EV.load_flows(spark, sf_dir))
+
+
+@register("non_feature_columns")
+def q_non_feature_columns(spark, sf_dir):
+    return CT.non_feature_columns(spark, EV.load_flows(spark, sf_dir))
+
+
+@register("contract_ok")
+def q_contract_ok(spark, sf_dir):
+    return CT.contract_ok(EV.load_flows(spark, sf_dir))
+
+
+@register("schema_diff")
+def q_schema_diff(spark, sf_dir):
+    return CT.schema_diff(spark, EV.load_flows(spark, sf_dir))
+
+
+# --- classification quality (on the adapter's predictions) ---------------------------------
+
+
+@register("confusion_matrix")
+def q_confusion_matrix(spark, sf_dir):
+    s = EV.load_scored(spark, sf_dir)
+    return s.groupBy(F.col("Label").alias("actual"), F.col("predicted_attack").alias("predicted")).agg(
+        F.count(F.lit(1)).alias("count"))
+
+
+@register("weighted_f1")
+def q_weighted_f1(spark, sf_dir):
+    return QL.weighted_f1(EV.load_scored(spark, sf_dir), "Label", "predicted_attack")
+
+
 def all_queries() -> dict[str, Query]:
     return dict(REGISTRY)

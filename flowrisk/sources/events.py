@@ -27,10 +27,11 @@ def _type_index(c):
     return expr
 
 
-def flows_from_events(events: DataFrame) -> DataFrame:
+def flows_from_events(events: DataFrame, extra: list | None = None) -> DataFrame:
     """Envelope + flow fields for each event.
 
-    ``events`` must be the Parquet scan itself (the key uses ``_metadata.file_name``).
+    ``events`` must be the Parquet scan itself (the key uses ``_metadata.file_name``);
+    ``extra`` columns of the scan are carried along.
     """
     idx = _type_index(F.col("event_type"))
     label = F.element_at(F.array(*[F.lit(x) for x in ADAPTER_LABELS]), idx + F.lit(1))
@@ -44,6 +45,7 @@ def flows_from_events(events: DataFrame) -> DataFrame:
         label.alias("Label"),
         idx.alias("label_index"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
+        *(extra or []),
     )
     sensor = F.concat(F.lit("sensor-0"), (F.col("user_id") % 3 + 1).cast("string"))
     out = enrich_flows(base, sensor_id=sensor, event_time=F.date_trunc("minute", F.col("kafka_timestamp")))
