@@ -21,6 +21,7 @@ def build_session(app_name: str = "flowrisk", master: str | None = None, shuffle
         b = b.master(master)
     b = (
         b.config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
