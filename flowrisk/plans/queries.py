@@ -116,6 +116,11 @@ def q_top_ip_bars(spark, sf_dir):
     return ST.top_ip_bars(EV.load_scored(spark, sf_dir), 8)
 
 
+@register("statistics")
+def q_statistics(spark, sf_dir):
+    return ST.statistics(EV.load_scored(spark, sf_dir), as_of_col(spark, sf_dir), THRESHOLD, 10, 24)
+
+
 @register("batch_metrics")
 def q_batch_metrics(spark, sf_dir):
     return ST.batch_metrics(EV.load_scored(spark, sf_dir), THRESHOLD)
