@@ -48,11 +48,13 @@ def risk_score(confidence: str | Column, attack: str | Column) -> Column:
 
 
 def decode_label(index: str | Column, labels: Sequence[str], unknown: str = S.UNKNOWN_ATTACK) -> Column:
-    """Class index (double or int) -> label name; out-of-range, fractional or null -> ``unknown``."""
-    idx = col(index).cast("double")
-    arr = F.array(*[F.lit(x) for x in labels])
-    ok = idx.isNotNull() & (idx >= 0) & (idx < len(labels)) & (idx == F.floor(idx))
-    return F.when(ok, F.element_at(arr, (idx.cast("int") + F.lit(1)))).otherwise(F.lit(unknown))
+    """Class index (double or int) -> label name; out-of-range, fractional or null -> ``unknown``.
+
+    One lookup in a literal ``index -> label`` map, so the index expression is
+    referenced once (it is inlined wherever the label is used downstream).
+    """
+    table = F.create_map(*chain.from_iterable((F.lit(float(i)), F.lit(x)) for i, x in enumerate(labels)))
+    return F.coalesce(F.try_element_at(table, col(index).cast("double")), F.lit(unknown))
 
 
 def max_probability(probability: str | Column, digits: int = 6) -> Column:

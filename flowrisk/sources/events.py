@@ -21,10 +21,22 @@ UNKNOWN_INDEX = 99
 
 
 def _type_index(c):
-    expr = F.lit(None).cast("int")
-    for name, i in EVENT_TYPE_INDEX.items():
-        expr = F.when(c == name, F.lit(i)).otherwise(expr)
-    return expr
+    table = F.create_map(*[x for name, i in EVENT_TYPE_INDEX.items() for x in (F.lit(name), F.lit(i))])
+    return F.try_element_at(table, c)
+
+
+def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+    """Redistribute a scan that has fewer splits than the cluster has cores.
+
+    A large table already has thousands of splits and is returned as is; a
+    small one stored as a single row group would otherwise run every per-row
+    expression (JSON, string building) in one task.
+    """
+    spark = spark or df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def flows_from_events(events: DataFrame, extra: list | None = None) -> DataFrame:
@@ -35,8 +47,12 @@ def flows_from_events(events: DataFrame, extra: list | None = None) -> DataFrame
     """
     idx = _type_index(F.col("event_type"))
     label = F.element_at(F.array(*[F.lit(x) for x in ADAPTER_LABELS]), idx + F.lit(1))
-    base = events.select(
-        F.concat(F.col("_metadata.file_name"), F.lit("-"), F.col("event_id").cast("string")).alias("kafka_key"),
+    scan = spread(events.select(
+        F.col("_metadata.file_name").alias("_file_name"), "event_id", "ts", "user_id", "event_type", "value", "props",
+        *(extra or []),
+    ))
+    base = scan.select(
+        F.concat(F.col("_file_name"), F.lit("-"), F.col("event_id").cast("string")).alias("kafka_key"),
         F.col("ts").cast("timestamp").alias("kafka_timestamp"),
         F.col("ts"),
         F.col("user_id"),
@@ -45,7 +61,7 @@ def flows_from_events(events: DataFrame, extra: list | None = None) -> DataFrame
         label.alias("Label"),
         idx.alias("label_index"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
-        *(extra or []),
+        *[F.col(c) for c in scan.columns[7:]],
     )
     sensor = F.concat(F.lit("sensor-0"), (F.col("user_id") % 3 + 1).cast("string"))
     out = enrich_flows(base, sensor_id=sensor, event_time=F.date_trunc("minute", F.col("kafka_timestamp")))
