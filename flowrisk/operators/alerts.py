@@ -82,6 +82,8 @@ _PAYLOAD = StructType(
 )
 _MESSAGE = StructType([StructField("type", StringType()), StructField("data", _PAYLOAD), *_PAYLOAD.fields])
 CONTROL_TYPES = ("connected", "ping", "pong")
+_NORMALIZED_ROWS = ("array<struct<id:string,source_ip:string,predicted_attack:string,confidence:double,"
+                    "risk_score:double,model_version:string,timestamp:string,raw:string>>")
 
 
 def normalize_alerts(messages: DataFrame, value_col: str = "value", keep_malformed: bool = False) -> DataFrame:
@@ -90,28 +92,33 @@ def normalize_alerts(messages: DataFrame, value_col: str = "value", keep_malform
     Control messages are dropped; ``{"type": "alert", "data": {...}}`` is
     unwrapped; missing fields get defaults. Malformed JSON is dropped, or with
     ``keep_malformed`` kept as a row whose ``raw`` column holds the text.
+
+    Each message is parsed once: the parsed struct is computed in one
+    projection and rows are kept or dropped by a generator over a 0/1-element
+    array, so the parse is not duplicated into a pushed-down filter.
     """
     v = F.col(value_col)
-    m = F.from_json(v, _MESSAGE, {"mode": "PERMISSIVE"})
-    malformed = F.from_json(v, "map<string,string>").isNull()
-    parsed = messages.select("*", m.alias("_m"), malformed.alias("_bad"))
-    p = F.when(F.col("_m.type") == "alert", F.col("_m.data")).otherwise(
-        F.struct(*[F.col(f"_m.{f.name}").alias(f.name) for f in _PAYLOAD.fields])
+    staged = messages.select(
+        v.alias("_v"),
+        F.from_json(v, _MESSAGE, {"mode": "PERMISSIVE"}).alias("_m"),
+        F.from_json(v, "map<string,string>").isNull().alias("_bad"),
+    )
+    m = F.col("_m")
+    p = F.when(m["type"] == "alert", m["data"]).otherwise(
+        F.struct(*[m[f.name].alias(f.name) for f in _PAYLOAD.fields])
     )
-    kept = parsed.filter(~F.coalesce(F.col("_m.type").isin(*CONTROL_TYPES), F.lit(False)))
-    if not keep_malformed:
-        kept = kept.filter(~F.col("_bad"))
-    body = kept.select("*", p.alias("_p"))
     good = ~F.col("_bad")
-    return body.select(
-        F.when(good, F.col("_p.id")).alias("id"),
-        F.when(good, F.coalesce(F.col("_p.source_ip"), F.lit("0.0.0.0"))).alias("source_ip"),
-        F.when(good, F.coalesce(F.col("_p.attack_type"), F.col("_p.predicted_attack"), F.lit(S.UNKNOWN_ATTACK))).alias(
-            "predicted_attack"
-        ),
-        F.when(good, F.coalesce(F.col("_p.confidence"), F.lit(0.0))).alias("confidence"),
-        F.when(good, F.coalesce(F.col("_p.risk_score"), F.lit(0.0))).alias("risk_score"),
-        F.when(good, F.col("_p.model_version")).alias("model_version"),
-        F.when(good, F.col("_p.timestamp")).alias("timestamp"),
-        F.when(~good, v).alias("raw"),
+    row = F.struct(
+        F.when(good, p["id"]).alias("id"),
+        F.when(good, F.coalesce(p["source_ip"], F.lit("0.0.0.0"))).alias("source_ip"),
+        F.when(good, F.coalesce(p["attack_type"], p["predicted_attack"], F.lit(S.UNKNOWN_ATTACK))).alias(
+            "predicted_attack"),
+        F.when(good, F.coalesce(p["confidence"], F.lit(0.0))).alias("confidence"),
+        F.when(good, F.coalesce(p["risk_score"], F.lit(0.0))).alias("risk_score"),
+        F.when(good, p["model_version"]).alias("model_version"),
+        F.when(good, p["timestamp"]).alias("timestamp"),
+        F.when(~good, F.col("_v")).alias("raw"),
     )
+    control = F.coalesce(m["type"].isin(*CONTROL_TYPES), F.lit(False))
+    keep = ~control & (F.lit(True) if keep_malformed else good)
+    return staged.select(F.inline(F.when(keep, F.array(row)).otherwise(F.array().cast(_NORMALIZED_ROWS))))
