@@ -31,20 +31,53 @@ def source_ip_from_port(port: str | Column, positive_mod: bool = False) -> Colum
     return F.concat(F.lit("10.0."), (bucket + F.lit(1)).cast("string"), F.lit(".1"))
 
 
-def _literal_map(m: Mapping[str, object]) -> Column:
-    return F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in m.items()))
+# Constant lookup tables are written as SQL literals: one expression parse in
+# the JVM instead of one gateway call per literal, which keeps plan building
+# (paid again for every micro-batch) cheap. The expressions are identical.
+
+
+def sql_str(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_name(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _sql_double(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def map_sql(m: Mapping[object, object]) -> str:
+    """``map(k1, v1, ...)`` literal text for string/number keys and values."""
+    def lit(v):
+        return sql_str(v) if isinstance(v, str) else (_sql_double(v) if isinstance(v, float) else str(int(v)))
+
+    return "map(" + ", ".join(f"{lit(k)}, {lit(v)}" for k, v in m.items()) + ")"
+
+
+def _severity_sql(attack_sql: str, table: Mapping[str, int]) -> str:
+    return f"coalesce(try_element_at({map_sql(table)}, {attack_sql}), {S.DEFAULT_SEVERITY})"
 
 
 def severity(attack: str | Column, table: Mapping[str, int] = S.SEVERITY_BY_ATTACK) -> Column:
-    """Severity weight of an attack type, default 50 (one map lookup, constant-folded map)."""
-    return F.coalesce(F.try_element_at(_literal_map(table), col(attack)), F.lit(S.DEFAULT_SEVERITY))
+    """Severity weight of an attack type, default 50 (one lookup in a literal map)."""
+    if isinstance(attack, str):
+        return F.expr(_severity_sql(sql_name(attack), table))
+    m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
+    return F.coalesce(F.try_element_at(m, attack), F.lit(S.DEFAULT_SEVERITY))
 
 
 def risk_score(confidence: str | Column, attack: str | Column) -> Column:
     """``round(min(100, conf*100*0.6 + severity*0.4), 2)``; a null confidence counts as 0."""
-    conf = F.coalesce(col(confidence).cast("double"), F.lit(0.0))
-    raw = conf * F.lit(100.0) * F.lit(S.CONFIDENCE_WEIGHT) + severity(attack) * F.lit(S.SEVERITY_WEIGHT)
-    return F.round(F.least(F.lit(S.RISK_CAP), raw), 2)
+    if isinstance(confidence, str) and isinstance(attack, str):
+        conf = f"coalesce(cast({sql_name(confidence)} AS double), 0.0D)"
+        sev = f"cast({_severity_sql(sql_name(attack), S.SEVERITY_BY_ATTACK)} AS double)"
+        raw = (f"{conf} * 100.0D * {_sql_double(S.CONFIDENCE_WEIGHT)} + {sev} * {_sql_double(S.SEVERITY_WEIGHT)}")
+        return F.expr(f"round(least({_sql_double(S.RISK_CAP)}, {raw}), 2)")
+    conf_c = F.coalesce(col(confidence).cast("double"), F.lit(0.0))
+    raw_c = conf_c * F.lit(100.0) * F.lit(S.CONFIDENCE_WEIGHT) + severity(attack) * F.lit(S.SEVERITY_WEIGHT)
+    return F.round(F.least(F.lit(S.RISK_CAP), raw_c), 2)
 
 
 def decode_label(index: str | Column, labels: Sequence[str], unknown: str = S.UNKNOWN_ATTACK) -> Column:
@@ -53,8 +86,11 @@ def decode_label(index: str | Column, labels: Sequence[str], unknown: str = S.UN
     One lookup in a literal ``index -> label`` map, so the index expression is
     referenced once (it is inlined wherever the label is used downstream).
     """
-    table = F.create_map(*chain.from_iterable((F.lit(float(i)), F.lit(x)) for i, x in enumerate(labels)))
-    return F.coalesce(F.try_element_at(table, col(index).cast("double")), F.lit(unknown))
+    table = {float(i): x for i, x in enumerate(labels)}
+    if isinstance(index, str):
+        return F.expr(f"coalesce(try_element_at({map_sql(table)}, cast({sql_name(index)} AS double)), {sql_str(unknown)})")
+    m = F.create_map(*chain.from_iterable((F.lit(k), F.lit(v)) for k, v in table.items()))
+    return F.coalesce(F.try_element_at(m, index.cast("double")), F.lit(unknown))
 
 
 def max_probability(probability: str | Column, digits: int = 6) -> Column:

@@ -12,6 +12,20 @@ from flowrisk import schema as S
 from flowrisk.functions import scalar as X
 
 
+def enrich_columns(
+    sensor_id: str | Column = S.DEFAULT_SENSOR_ID,
+    event_time: Column | None = None,
+    as_of: Column | None = None,
+    positive_mod: bool = False,
+    port: str | Column = "Destination Port",
+) -> dict[str, Column]:
+    """The envelope columns as expressions (for callers building one projection)."""
+    sensor = F.lit(sensor_id) if isinstance(sensor_id, str) else sensor_id
+    fallback = as_of if as_of is not None else F.current_timestamp()
+    et = event_time if event_time is not None else F.coalesce(F.col("kafka_timestamp"), fallback)
+    return {"sensor_id": sensor, "event_time": et, "source_ip": X.source_ip_from_port(port, positive_mod)}
+
+
 def enrich_flows(
     df: DataFrame,
     sensor_id: str | Column = S.DEFAULT_SENSOR_ID,
@@ -24,14 +38,7 @@ def enrich_flows(
     ``event_time`` defaults to the message timestamp, falling back to ``as_of``
     (or the query's current time) when the message has none.
     """
-    sensor = F.lit(sensor_id) if isinstance(sensor_id, str) else sensor_id
-    fallback = as_of if as_of is not None else F.current_timestamp()
-    et = event_time if event_time is not None else F.coalesce(F.col("kafka_timestamp"), fallback)
-    return (
-        df.withColumn("sensor_id", sensor)
-        .withColumn("event_time", et)
-        .withColumn("source_ip", X.source_ip_from_port("Destination Port", positive_mod))
-    )
+    return df.withColumns(enrich_columns(sensor_id, event_time, as_of, positive_mod))
 
 
 def decode_labels(df: DataFrame, labels: Sequence[str], index_col: str = "prediction", out: str = "predicted_attack") -> DataFrame:
@@ -45,27 +52,31 @@ def score_predictions(
     *,
     index_col: str = "prediction",
     probability_col: str | None = "probability",
-    confidence_col: str | None = None,
+    confidence_col: str | Column | None = None,
     drop_internals: bool = True,
+    extra: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Classifier output -> ``predicted_attack``, ``confidence``, ``model_name``, ``risk_score``.
 
     ``labels`` decodes the class index; with ``labels=None`` an existing
     ``predicted_attack`` column is kept. Confidence comes from the probability
-    vector, or from ``confidence_col`` when the classifier already gives one.
+    vector, or from ``confidence_col`` (a column or expression) when the
+    classifier already gives one. Two projections in all.
     """
-    out = df
+    new: dict[str, Column] = {}
     if labels is not None:
-        out = out.withColumn("predicted_attack", X.decode_label(index_col, labels))
+        new["predicted_attack"] = X.decode_label(index_col, labels)
     if confidence_col is not None:
-        out = out.withColumn("confidence", F.col(confidence_col).cast("double"))
+        c = confidence_col if isinstance(confidence_col, Column) else F.col(confidence_col)
+        new["confidence"] = c.cast("double")
     elif probability_col is not None and probability_col in df.columns:
-        out = out.withColumn("confidence", X.max_probability(probability_col))
-    out = out.withColumn("model_name", F.lit(model_name))
-    out = out.withColumn("risk_score", X.risk_score("confidence", "predicted_attack"))
-    if drop_internals:
-        out = out.drop(*[c for c in S.ML_INTERNAL_COLUMNS if c in out.columns])
-    return out
+        new["confidence"] = X.max_probability(probability_col)
+    new["model_name"] = F.lit(model_name)
+    new.update(extra or {})
+    out = df.withColumns(new)
+    dropped = set(S.ML_INTERNAL_COLUMNS) if drop_internals else set()
+    keep = [X.col(c) for c in out.columns if c not in dropped and c != "risk_score"]
+    return out.select(*keep, X.risk_score("confidence", "predicted_attack").alias("risk_score"))
 
 
 def with_severity(df: DataFrame, attack_col: str = "predicted_attack", out: str = "severity") -> DataFrame:

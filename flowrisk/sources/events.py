@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.operators.enrich import enrich_flows, score_predictions
+from flowrisk.functions import scalar as X
+from flowrisk.operators.enrich import enrich_columns, score_predictions
 from flowrisk.sources.tables import read_table
 
 # Event type -> label index; index -> label name.
@@ -20,9 +21,13 @@ ADAPTER_MODEL_NAME = "events_adapter"
 UNKNOWN_INDEX = 99
 
 
-def _type_index(c):
-    table = F.create_map(*[x for name, i in EVENT_TYPE_INDEX.items() for x in (F.lit(name), F.lit(i))])
-    return F.try_element_at(table, c)
+def _type_index(col_name: str):
+    return F.expr(f"try_element_at({X.map_sql(EVENT_TYPE_INDEX)}, {X.sql_name(col_name)})")
+
+
+def _type_label(col_name: str):
+    labels = {name: ADAPTER_LABELS[i] for name, i in EVENT_TYPE_INDEX.items()}
+    return F.expr(f"try_element_at({X.map_sql(labels)}, {X.sql_name(col_name)})")
 
 
 def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
@@ -40,32 +45,34 @@ def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
 
 
 def flows_from_events(events: DataFrame, extra: list | None = None) -> DataFrame:
-    """Envelope + flow fields for each event.
+    """Envelope + flow fields for each event (two projections around ``spread``).
 
     ``events`` must be the Parquet scan itself (the key uses ``_metadata.file_name``);
     ``extra`` columns of the scan are carried along.
     """
-    idx = _type_index(F.col("event_type"))
-    label = F.element_at(F.array(*[F.lit(x) for x in ADAPTER_LABELS]), idx + F.lit(1))
     scan = spread(events.select(
         F.col("_metadata.file_name").alias("_file_name"), "event_id", "ts", "user_id", "event_type", "value", "props",
         *(extra or []),
     ))
-    base = scan.select(
+    idx = _type_index("event_type")
+    port = (F.col("user_id") * 37 % 65536).cast("int")
+    kafka_ts = F.col("ts").cast("timestamp")
+    env = enrich_columns(
+        sensor_id=F.concat(F.lit("sensor-0"), (F.col("user_id") % 3 + 1).cast("string")),
+        event_time=F.date_trunc("minute", kafka_ts),
+        port=port,
+    )
+    return scan.select(
         F.concat(F.col("_file_name"), F.lit("-"), F.col("event_id").cast("string")).alias("kafka_key"),
-        F.col("ts").cast("timestamp").alias("kafka_timestamp"),
-        F.col("ts"),
-        F.col("user_id"),
-        (F.col("user_id") * 37 % 65536).cast("int").alias("Destination Port"),
+        kafka_ts.alias("kafka_timestamp"),
+        port.alias("Destination Port"),
         F.round(F.col("value") * 100, 0).cast("bigint").alias("Flow Duration"),
-        label.alias("Label"),
+        _type_label("event_type").alias("Label"),
         idx.alias("label_index"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
+        *[e.alias(n) for n, e in env.items()],
         *[F.col(c) for c in scan.columns[7:]],
     )
-    sensor = F.concat(F.lit("sensor-0"), (F.col("user_id") % 3 + 1).cast("string"))
-    out = enrich_flows(base, sensor_id=sensor, event_time=F.date_trunc("minute", F.col("kafka_timestamp")))
-    return out.drop("ts", "user_id")
 
 
 def score_flows_from_events(flows: DataFrame) -> DataFrame:
@@ -78,11 +85,10 @@ def score_flows_from_events(flows: DataFrame) -> DataFrame:
         .otherwise(F.col("label_index"))
     )
     conf = ((F.lit(500) + k * 37 % 501) / F.lit(1000)).cast("double")
-    staged = flows.withColumn("prediction", pred.cast("double")).withColumn("adapter_confidence", conf)
-    scored = score_predictions(
-        staged, ADAPTER_LABELS, ADAPTER_MODEL_NAME, confidence_col="adapter_confidence", probability_col=None
-    ).drop("adapter_confidence")
-    return scored.withColumn("created_at", F.col("kafka_timestamp"))
+    return score_predictions(
+        flows.withColumn("prediction", pred.cast("double")), ADAPTER_LABELS, ADAPTER_MODEL_NAME,
+        confidence_col=conf, probability_col=None, extra={"created_at": F.col("kafka_timestamp")},
+    )
 
 
 def load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
