@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowrisk.operators.alerts import alert_counters, to_alerts, total_alerts
 
 
 def attack_breakdown(preds: DataFrame) -> DataFrame:
@@ -85,39 +84,42 @@ def batch_metrics(scored: DataFrame, threshold: float) -> DataFrame:
 
 
 def statistics(preds: DataFrame, as_of: Column, threshold: float, k: int = 10, hours: int = 24) -> DataFrame:
-    """The statistics document as one row.
-
-    Breakdown, top-K addresses, hour buckets and alert counters are each reduced
-    to a bounded number of rows first, then tagged, unioned and packed by one
-    global aggregate (no joins). ``preds`` should be persisted by the caller.
+    """The statistics document as one row, from one scan.
+
+    One ``GROUPING SETS`` aggregate (attack type / source address / hour in the
+    window) with partial aggregation before its single shuffle gives the
+    breakdown, the alert counters (a filtered count per type), the timeline
+    and the per-address counts. Only bounded pieces are packed: attack types,
+    hour buckets, and the top-K addresses (a top-K over the address set, whose
+    shuffle is reused from the same aggregate). No joins.
     """
-    cols = ["kind", "attack_type", "source_ip", "timestamp", "count"]
-
-    def tagged(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(
-            F.lit(kind).alias("kind"),
-            *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c)
-              for c, t in (("attack_type", "string"), ("source_ip", "string"), ("timestamp", "timestamp"), ("count", "bigint"))],
-        )
-
-    parts = (
-        tagged(attack_breakdown(preds), "b")
-        .unionByName(tagged(top_ips(preds, k), "i"))
-        .unionByName(tagged(timeline(preds, as_of, hours), "t"))
-        .unionByName(tagged(alert_counters(to_alerts(preds, threshold)), "a"))
-        .select(*cols)
+    ts = F.col("created_at")
+    base = preds.select(
+        F.col("predicted_attack").alias("attack_type"),
+        F.col("source_ip"),
+        F.when(ts >= as_of - F.make_interval(hours=F.lit(hours)), F.date_trunc("hour", ts)).alias("hour"),
+        (F.col("risk_score") >= F.lit(float(threshold))).alias("is_alert"),
+    )
+    # grouping_id bits (attack_type, source_ip, hour): 3 = by type, 5 = by address, 6 = by hour
+    sets = base.groupingSets([["attack_type"], ["source_ip"], ["hour"]], "attack_type", "source_ip", "hour").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.count_if("is_alert").alias("alerts"),
+        F.grouping_id().alias("gid"),
     )
+    small = sets.filter((F.col("gid") == 3) | ((F.col("gid") == 6) & F.col("hour").isNotNull()))
+    top = sets.filter(F.col("gid") == 5).orderBy(F.desc("count"), F.asc("source_ip")).limit(k)
+    parts = small.unionByName(top)
     return parts.agg(
-        F.expr("coalesce(sum(count) FILTER (WHERE kind = 'b'), 0)").cast("bigint").alias("total_predictions"),
-        F.expr("coalesce(sum(count) FILTER (WHERE kind = 'a'), 0)").cast("bigint").alias("total_alerts"),
-        F.expr("min_by(attack_type, struct(-count, attack_type)) FILTER (WHERE kind = 'b')").alias("top_attack"),
+        F.expr("coalesce(sum(count) FILTER (WHERE gid = 3), 0)").cast("bigint").alias("total_predictions"),
+        F.expr("coalesce(sum(alerts) FILTER (WHERE gid = 3), 0)").cast("bigint").alias("total_alerts"),
+        F.expr("min_by(attack_type, struct(-count, attack_type)) FILTER (WHERE gid = 3)").alias("top_attack"),
         F.expr(
-            "transform(array_sort(collect_list(struct(-count AS n, attack_type, count)) FILTER (WHERE kind = 'b')),"
+            "transform(array_sort(collect_list(struct(-count AS n, attack_type, count)) FILTER (WHERE gid = 3)),"
             " s -> struct(s.attack_type AS attack_type, s.count AS count))"
         ).alias("attack_breakdown"),
         F.expr(
-            "transform(array_sort(collect_list(struct(-count AS n, source_ip, count)) FILTER (WHERE kind = 'i')),"
+            "transform(array_sort(collect_list(struct(-count AS n, source_ip, count)) FILTER (WHERE gid = 5)),"
             " s -> struct(s.source_ip AS source_ip, s.count AS count))"
         ).alias("top_ips"),
-        F.expr("array_sort(collect_list(struct(timestamp, count)) FILTER (WHERE kind = 't'))").alias("timeline"),
+        F.expr("array_sort(collect_list(struct(hour AS timestamp, count)) FILTER (WHERE gid = 6))").alias("timeline"),
     ).withColumn("updated_at", as_of)
