@@ -103,3 +103,49 @@ def schema_diff(spark: SparkSession, df: DataFrame, declared: StructType = S.FLO
         .otherwise(F.lit("ok"))
     )
     return j.withColumn("status", status).orderBy("column_name")
+
+
+def contract_document(df: DataFrame, features: list[str] = S.MODEL_FEATURES, critical: list[str] = S.CRITICAL_FIELDS,
+                      label_col: str = "Label") -> DataFrame:
+    """The whole contract as one row, from one aggregate over the data.
+
+    Row count, a null count per column and the label set (a partial
+    ``collect_set``: each task holds at most the distinct labels) come from the
+    data; names, types, missing features and non-feature columns come from the
+    schema.
+    """
+    names = df.columns
+    missing = [f for f in features if f not in names]
+    extra = sorted(set(names) - set(features) - {label_col})
+    present_critical = [c for c in critical if c in names]
+    aggs = [F.count(F.lit(1)).alias("row_count")]
+    aggs += [F.count_if(X.col(c).isNull()).alias(f"n{i}") for i, c in enumerate(names)]
+    if label_col in names:
+        aggs.append(F.array_sort(F.collect_set(X.col(label_col).cast("string"))).alias("label_values"))
+    else:
+        aggs.append(F.array().cast("array<string>").alias("label_values"))
+    wide = df.agg(*aggs)
+    nulls = F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*[F.col(f"n{i}") for i in range(len(names))]))
+    crit = F.map_from_arrays(F.array(*[F.lit(c) for c in present_critical]).cast("array<string>"),
+                             F.array(*[F.col(f"n{names.index(c)}") for c in present_critical]).cast("array<bigint>"))
+    crit_total = sum((F.col(f"n{names.index(c)}") for c in present_critical), F.lit(0).cast("bigint"))
+    lit_arr = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return wide.select(
+        "row_count",
+        F.lit(len(names)).alias("column_count"),
+        lit_arr(names).alias("columns"),
+        F.map_from_arrays(lit_arr(names), lit_arr([f.dataType.simpleString() for f in df.schema.fields])).alias("dtypes"),
+        nulls.alias("null_counts"),
+        crit.alias("critical_field_nulls"),
+        "label_values",
+        lit_arr(features).alias("selected_features"),
+        F.lit(len(features)).alias("selected_feature_count"),
+        lit_arr(missing).alias("missing_selected_features"),
+        lit_arr(extra).alias("non_feature_columns"),
+        ((F.lit(len(missing)) == 0) & (crit_total == 0)).alias("contract_ok"),
+    )
+
+
+def write_contract(doc: DataFrame, path: str) -> None:
+    """Contract document as JSON (one line)."""
+    doc.coalesce(1).write.mode("overwrite").json(path)

@@ -336,6 +336,11 @@ def q_contract_ok(spark, sf_dir):
     return CT.contract_ok(EV.load_flows(spark, sf_dir))
 
 
+@register("contract_document")
+def q_contract_document(spark, sf_dir):
+    return CT.contract_document(EV.load_flows(spark, sf_dir))
+
+
 @register("schema_diff")
 def q_schema_diff(spark, sf_dir):
     return CT.schema_diff(spark, EV.load_flows(spark, sf_dir))

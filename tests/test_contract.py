@@ -42,3 +42,23 @@ def test_missing_feature_extra_column_null_and_type(spark):
     nulls = {r.column_name: (r.null_count, r.critical) for r in CT.null_counts(df).collect()}
     assert nulls["Label"] == (1, True)
     assert [r.label for r in CT.label_values(df).collect()] == []
+
+
+def test_contract_document_and_json(spark):
+    import json
+    import os
+
+    from flowrisk.session import scratch_path
+
+    df = full_frame(spark, drop="Idle Min", null_label=True)
+    doc = CT.contract_document(df).first()
+    assert doc.row_count == 1 and doc.column_count == len(FLOW_SCHEMA.fields) - 1
+    assert doc.missing_selected_features == ["Idle Min"]
+    assert doc.critical_field_nulls == {"Label": 1, "Destination Port": 0, "Flow Duration": 0}
+    assert doc.null_counts["Label"] == 1 and doc.label_values == []
+    assert doc.contract_ok is False and doc.selected_feature_count == len(MODEL_FEATURES)
+    path = scratch_path(spark, "t-contract")
+    CT.write_contract(CT.contract_document(full_frame(spark)), path)
+    part = [f for f in os.listdir(path) if f.endswith(".json")][0]
+    body = json.loads(open(os.path.join(path, part)).readline())
+    assert body["contract_ok"] is True and body["label_values"] == ["Botnet"]

@@ -112,3 +112,16 @@ def test_dedup_within_watermark(spark):
     q = SP.start(flows, SP.BatchProcessor(sinks, scorer), f"{root}/checkpoint", available_now=True)
     q.awaitTermination()
     assert spark.read.parquet(sinks.predictions).count() == msgs.count()
+
+
+def test_malformed_messages_go_to_quarantine(spark):
+    root = scratch_path(spark, "t-quarantine")
+    sinks = SP.Sinks(f"{root}/tables")
+    good = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
+    bad = spark.createDataFrame([("bad-1", "{not json"), ("bad-2", "[1,")], "key string, value string").withColumn(
+        "timestamp", F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    batch = SP.parsed_flows(good.unionByName(bad))
+    SP.BatchProcessor(sinks, scorer)(batch, 0)
+    q = spark.read.parquet(sinks.quarantine)
+    assert sorted(r.kafka_key for r in q.collect()) == ["bad-1", "bad-2"]
+    assert spark.read.parquet(sinks.predictions).count() == good.count()
