@@ -9,8 +9,23 @@ from pyspark.sql import SparkSession
 
 _LOCAL_CHECKPOINT_DEFAULT = "/tmp/flowrisk-checkpoints"
 
+# Settings for large clusters (pass as --conf at submit time, or build_session(cluster=True)).
+# Wide shuffles start many partitions and let AQE coalesce them to ~256 MB; scan splits
+# are 512 MB so a 100 TB input yields ~200k tasks; AQE splits skewed shuffle partitions.
+CLUSTER_CONF: dict[str, str] = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.files.maxPartitionBytes": "512m",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.sql.session.timeZone": "UTC",
+}
 
-def build_session(app_name: str = "flowrisk", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+
+def build_session(app_name: str = "flowrisk", master: str | None = None, shuffle_partitions: int | None = None,
+                  cluster: bool = False) -> SparkSession:
     """Session with AQE on, UTC session time and the UI off.
 
     On a cluster the master, shuffle width and checkpoint dir come from the
@@ -28,6 +43,9 @@ def build_session(app_name: str = "flowrisk", master: str | None = None, shuffle
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if cluster:
+        for k, v in CLUSTER_CONF.items():
+            b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
