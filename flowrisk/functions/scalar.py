@@ -164,3 +164,9 @@ def sorted_counts_text(m: str | Column) -> Column:
 
 def as_of_literal(ts) -> Column:
     return F.lit(ts).cast("timestamp")
+
+
+def counts_as_entries(m: str | Column, key_name: str = "attack_type", value_name: str = "count") -> Column:
+    """A ``{name: count}`` map as a list of ``{key_name, value_name}`` structs (the
+    legacy dictionary form of a breakdown turned into its list form)."""
+    return F.transform(F.map_entries(col(m)), lambda e: F.struct(e["key"].alias(key_name), e["value"].alias(value_name)))

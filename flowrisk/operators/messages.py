@@ -46,8 +46,14 @@ def parse_messages(messages: DataFrame, schema: StructType = S.FLOW_SCHEMA) -> D
     ).select("kafka_key", "kafka_timestamp", "data.*", "is_corrupt")
 
 
-def label_histogram(parsed: DataFrame, label_col: str = "Label") -> DataFrame:
-    """Label counts, largest first; a missing label counts as ``UNKNOWN``."""
+def label_histogram(parsed: DataFrame, label_col: str = "Label", max_messages: int = 0) -> DataFrame:
+    """Label counts, largest first; a missing label counts as ``UNKNOWN``.
+
+    ``max_messages`` > 0 reads only the first N messages (a bounded check);
+    0 reads all.
+    """
+    if max_messages and max_messages > 0:
+        parsed = parsed.limit(max_messages)
     return (
         parsed.groupBy(F.coalesce(X.col(label_col), F.lit("UNKNOWN")).alias("label"))
         .agg(F.count(F.lit(1)).alias("count"))

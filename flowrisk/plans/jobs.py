@@ -143,8 +143,7 @@ def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, copies: in
     return sinks
 
 
-@register("stream_ingest")
-def q_stream_ingest(spark, sf_dir):
+def _ingest(spark, sf_dir):
     root = scratch_path(spark, "ingest")
     _write_messages(spark, sf_dir, f"{root}/source")
     out = f"{root}/flows"
@@ -152,9 +151,22 @@ def q_stream_ingest(spark, sf_dir):
     q = (flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
+    return q, out
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    _, out = _ingest(spark, sf_dir)
     return spark.read.parquet(out)
 
 
+@register("stream_progress")
+def q_stream_progress(spark, sf_dir):
+    """Ingest counters per micro-batch (published/consumed rows, rates)."""
+    q, _ = _ingest(spark, sf_dir)
+    return SP.progress_frame(spark, q)
+
+
 @register("stream_pipeline")
 def q_stream_pipeline(spark, sf_dir):
     sinks = run_stream(spark, sf_dir)

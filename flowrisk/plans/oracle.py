@@ -360,6 +360,9 @@ PROFILE_SELECT = """SELECT source_ip, event_count, attack_counts, last_seen, lat
        FROM cnt JOIN lat USING (source_ip) JOIN peak USING (source_ip)"""
 SQL["attacker_profiles"] = _w(SCORED + PROFILES, PROFILE_SELECT)
 SQL["profile_merge"] = _w(SCORED + PROFILES, PROFILE_SELECT)
+SQL["breakdown_entries"] = _w(
+    SCORED, "SELECT source_ip, predicted_attack AS attack_type, count(*) AS count FROM scored GROUP BY 1, 2"
+)
 SQL["latest_prediction"] = _w(
     SCORED,
     """SELECT source_ip, kafka_key, predicted_attack, confidence, risk_score, created_at FROM (

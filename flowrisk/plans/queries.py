@@ -291,6 +291,13 @@ def q_profile_merge(spark, sf_dir):
     return PR.profiles_for_check(PR.merge_profiles(first, second))
 
 
+@register("breakdown_entries")
+def q_breakdown_entries(spark, sf_dir):
+    """Per-address counter maps turned into (attack_type, count) rows."""
+    prof = PR.public_profiles(PR.batch_profiles(EV.load_scored(spark, sf_dir)))
+    return prof.select("source_ip", F.inline(X.counts_as_entries("attack_counts")))
+
+
 @register("latest_prediction")
 def q_latest_prediction(spark, sf_dir):
     return PR.latest_prediction(EV.load_scored(spark, sf_dir))

@@ -252,3 +252,20 @@ def reset_tables(spark: SparkSession, sinks: Sinks) -> None:
         except AnalysisException:
             continue
         spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def progress_frame(spark: SparkSession, query) -> DataFrame:
+    """Per-micro-batch counters of a query (rows in, input and processing rates,
+    duration), from its progress reports — query metadata, not data."""
+    rows = []
+    for p in query.recentProgress:
+        rows.append((
+            int(p["batchId"]),
+            int(p.get("numInputRows") or 0),
+            float(p.get("inputRowsPerSecond") or 0.0),
+            float(p.get("processedRowsPerSecond") or 0.0),
+            int((p.get("durationMs") or {}).get("triggerExecution", 0)),
+        ))
+    return spark.createDataFrame(
+        rows, "batch_id bigint, input_rows bigint, input_rows_per_sec double, processed_rows_per_sec double, "
+              "trigger_ms bigint")

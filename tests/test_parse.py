@@ -45,3 +45,9 @@ def test_round_trip_and_histogram(spark):
     h = {r["label"]: r["count"] for r in label_histogram(back).collect()}
     assert h == {"Botnet": 1, "UNKNOWN": 1}
     assert to_messages(df, ["Label"], max_rows=1).count() == 1
+
+
+def test_bounded_label_read(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "key string, Label string")
+    assert sum(r["count"] for r in label_histogram(df, max_messages=2).collect()) == 2
+    assert sum(r["count"] for r in label_histogram(df, max_messages=0).collect()) == 3
