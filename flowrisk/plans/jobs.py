@@ -108,33 +108,21 @@ def q_score_flows(spark, sf_dir):
     return scored.select("kafka_key", "source_ip", "Label", "predicted_attack", "confidence", "model_name", "risk_score")
 
 
-def _write_messages(spark: SparkSession, sf_dir: str, path: str, copies: int = 1) -> None:
-    """Publish every flow as messages, in ``STREAM_FILES`` consecutive time
-    ranges written one after another (each becomes one micro-batch, in event
-    time order). ``copies`` > 1 redelivers each range right after itself, as
-    an at-least-once source does; every row lands in exactly one range."""
+def _write_messages(spark: SparkSession, sf_dir: str, path: str, copies: int = 1) -> int:
+    """Publish every flow as messages in ``STREAM_FILES`` consecutive time
+    ranges (one micro-batch each, in event-time order); returns the files per
+    range, the stream's ``maxFilesPerTrigger``."""
     msgs = to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS)
-    cuts = msgs.select(F.unix_micros("timestamp").cast("double").alias("t")).approxQuantile(
-        "t", [i / STREAM_FILES for i in range(1, STREAM_FILES)], 0.0)
-    bounds = [None, *cuts, None]
-    t = F.unix_micros("timestamp").cast("double")
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (t >= F.lit(lo))
-        if hi is not None:
-            cond = cond & (t < F.lit(hi))
-        for _ in range(copies):
-            msgs.filter(cond).coalesce(1).write.mode("append").parquet(path)
+    return SP.publish_in_ranges(msgs, path, STREAM_FILES, spark.sparkContext.defaultParallelism, copies)
 
 
 def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, copies: int = 1) -> SP.Sinks:
     root = scratch_path(spark, "stream")
     src = f"{root}/source"
-    _write_messages(spark, sf_dir, src, copies)
+    per_batch = _write_messages(spark, sf_dir, src, copies)
     bundle = train_flow_model(spark, sf_dir, f"{root}/models")
     sinks = SP.Sinks(f"{root}/tables")
-    stream = SP.file_stream(spark, src, max_files_per_trigger=1)
+    stream = SP.file_stream(spark, src, max_files_per_trigger=per_batch)
     flows = SP.parsed_flows(stream, dedup_watermark="24 hours" if dedup else None)
     q = SP.start(flows, SP.BatchProcessor(sinks, bundle.score), f"{root}/checkpoint", available_now=True)
     q.awaitTermination()
@@ -145,9 +133,9 @@ def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, copies: in
 
 def _ingest(spark, sf_dir):
     root = scratch_path(spark, "ingest")
-    _write_messages(spark, sf_dir, f"{root}/source")
+    per_batch = _write_messages(spark, sf_dir, f"{root}/source")
     out = f"{root}/flows"
-    flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_files_per_trigger=1))
+    flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_files_per_trigger=per_batch))
     q = (flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()

@@ -101,6 +101,51 @@ def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.parquet(path)
 
 
+def publish_in_ranges(messages: DataFrame, path: str, ranges: int, files_per_range: int, copies: int = 1,
+                      cut_error: float = 0.001) -> int:
+    """Append ``messages`` to a file topic as ``ranges`` consecutive time ranges,
+    oldest first, each written as exactly ``files_per_range`` files.
+
+    A stream reading ``path`` with ``maxFilesPerTrigger = files_per_range``
+    then gets one range per micro-batch, in event-time order. Cut points come
+    from a bounded-error quantile sketch (the driver receives ``ranges - 1``
+    numbers); every row lands in exactly one range whatever the cuts are.
+    Each range is spread round-robin over its files, so no single task writes
+    a whole range. ``copies`` > 1 redelivers each range right after itself, as
+    an at-least-once source does. Returns the files per range.
+    """
+    spark = messages.sparkSession
+    t = F.unix_micros("timestamp").cast("double")
+    cuts = messages.select(t.alias("t")).approxQuantile("t", [i / ranges for i in range(1, ranges)], cut_error)
+    bounds = [None, *cuts, None]
+    for lo, hi in zip(bounds[:-1], bounds[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (t >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (t < F.lit(hi))
+        part = messages.filter(cond).repartition(files_per_range)
+        for _ in range(copies):
+            before = set(_listed_files(spark, path))
+            part.write.mode("append").parquet(path)
+            # A range smaller than the fan-out leaves some of its files unwritten;
+            # empty files keep the next range from sharing its micro-batch.
+            missing = files_per_range - len(set(_listed_files(spark, path)) - before)
+            for _ in range(max(0, missing)):
+                spark.createDataFrame([], S.MESSAGE_SCHEMA).write.mode("append").parquet(path)
+    return files_per_range
+
+
+def _listed_files(spark: SparkSession, path: str) -> list[str]:
+    """Part-file names under ``path`` (a directory listing, no data read)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema(S.MESSAGE_SCHEMA).parquet(path).inputFiles()
+    except AnalysisException:
+        return []
+
+
 def parsed_flows(messages: DataFrame, sensor_id: str = S.DEFAULT_SENSOR_ID, as_of: Column | None = None,
                  dedup_watermark: str | None = None) -> DataFrame:
     """Parse + enrich; optionally drop replayed keys within a watermark (off by default)."""

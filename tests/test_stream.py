@@ -125,3 +125,28 @@ def test_malformed_messages_go_to_quarantine(spark):
     q = spark.read.parquet(sinks.quarantine)
     assert sorted(r.kafka_key for r in q.collect()) == ["bad-1", "bad-2"]
     assert spark.read.parquet(sinks.predictions).count() == good.count()
+
+
+def test_publish_in_ranges_gives_one_ordered_range_per_batch(spark):
+    """Ranges smaller than the file fan-out are padded with empty files, so each
+    micro-batch still holds exactly one time range, oldest first."""
+    root = scratch_path(spark, "t-ranges")
+    msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
+    tiny = msgs.orderBy("timestamp").limit(6)  # 2 ranges, 5 files each
+    per = SP.publish_in_ranges(tiny, f"{root}/source", ranges=2, files_per_range=5)
+    assert per == 5
+    assert len(spark.read.parquet(f"{root}/source").inputFiles()) == 10
+    out = f"{root}/out"
+    stream = SP.file_stream(spark, f"{root}/source", max_files_per_trigger=per)
+
+    def keep(batch, epoch_id):
+        batch.withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").parquet(out)
+
+    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/cp").trigger(
+        availableNow=True).start()
+    q.awaitTermination()
+    got = spark.read.parquet(out).groupBy("epoch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).orderBy(
+        "epoch_id").collect()
+    assert len(got) == 2 and sum(r.n for r in got) == 6
+    assert got[0].hi < got[1].lo
