@@ -90,8 +90,13 @@ def statistics(preds: DataFrame, as_of: Column, threshold: float, k: int = 10, h
     window) with partial aggregation before its single shuffle gives the
     breakdown, the alert counters (a filtered count per type), the timeline
     and the per-address counts. Only bounded pieces are packed: attack types,
-    hour buckets, and the top-K addresses (a top-K over the address set, whose
-    shuffle is reused from the same aggregate). No joins.
+    hour buckets, and the top-K addresses.
+
+    The aggregate has one consumer, so the input is scanned once. The top-K
+    is a ``row_number`` window partitioned by the grouping columns: every type
+    and hour row is alone in its partition (rank 1), the address rows share
+    one, and ``rank <= k`` lets Spark keep only the best ``k`` per task before
+    that partition's shuffle (a window group limit). No joins.
     """
     ts = F.col("created_at")
     base = preds.select(
@@ -106,9 +111,13 @@ def statistics(preds: DataFrame, as_of: Column, threshold: float, k: int = 10, h
         F.count_if("is_alert").alias("alerts"),
         F.grouping_id().alias("gid"),
     )
-    small = sets.filter((F.col("gid") == 3) | ((F.col("gid") == 6) & F.col("hour").isNotNull()))
-    top = sets.filter(F.col("gid") == 5).orderBy(F.desc("count"), F.asc("source_ip")).limit(k)
-    parts = small.unionByName(top)
+    rank = F.row_number().over(
+        Window.partitionBy("gid", "attack_type", "hour").orderBy(F.desc("count"), F.asc("source_ip")))
+    parts = (
+        sets.filter((F.col("gid") != 6) | F.col("hour").isNotNull())
+        .withColumn("rank", rank)
+        .filter(F.col("rank") <= F.lit(k))
+    )
     return parts.agg(
         F.expr("coalesce(sum(count) FILTER (WHERE gid = 3), 0)").cast("bigint").alias("total_predictions"),
         F.expr("coalesce(sum(alerts) FILTER (WHERE gid = 3), 0)").cast("bigint").alias("total_alerts"),
