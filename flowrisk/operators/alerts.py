@@ -11,9 +11,14 @@ from flowrisk import schema as S
 from flowrisk.functions import scalar as X
 
 
+def is_high_risk(threshold: float = S.RISK_ALERT_THRESHOLD) -> Column:
+    """The alert test: the *rounded* risk score reaches the threshold."""
+    return F.col("risk_score") >= F.lit(float(threshold))
+
+
 def high_risk(df: DataFrame, threshold: float = S.RISK_ALERT_THRESHOLD) -> DataFrame:
     """Rows whose *rounded* risk score reaches the threshold."""
-    return df.filter(F.col("risk_score") >= F.lit(float(threshold)))
+    return df.filter(is_high_risk(threshold))
 
 
 def to_alerts(

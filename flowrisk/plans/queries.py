@@ -216,21 +216,13 @@ def q_alert_key_time(spark, sf_dir):
 
 @register("retention")
 def q_retention(spark, sf_dir):
-    scored = EV.load_scored(spark, sf_dir)
-    now = as_of_col(spark, sf_dir)
-    alerts = AL.to_alerts(scored, THRESHOLD)
-    parts = [
-        ("predictions", scored, "created_at", S.PREDICTION_RETENTION_DAYS * 86400),
-        ("alerts", alerts, "timestamp", S.ALERT_TTL_SECONDS),
-        ("topic", scored, "kafka_timestamp", S.TOPIC_RETENTION_HOURS * 3600),
-    ]
-    out = None
-    for name, df, col, secs in parts:
-        keep = F.col(col) >= now - F.make_interval(secs=F.lit(secs))
-        r = df.agg(F.count_if(keep).alias("retained"), F.count_if(~keep).alias("expired")).select(
-            F.lit(name).alias("table_name"), "retained", "expired")
-        out = r if out is None else out.unionByName(r)
-    return out
+    """Retention of the three stores fed by the scored flows (predictions,
+    alerts = high-risk rows stamped at scoring time, topic), one scan."""
+    return TB.retention_counts(EV.load_scored(spark, sf_dir), as_of_col(spark, sf_dir), [
+        ("predictions", "created_at", S.PREDICTION_RETENTION_DAYS * 86400, None),
+        ("alerts", "created_at", S.ALERT_TTL_SECONDS, AL.is_high_risk(THRESHOLD)),
+        ("topic", "kafka_timestamp", S.TOPIC_RETENTION_HOURS * 3600, None),
+    ])
 
 
 # --- bands and small scalar functions ------------------------------------------------------
