@@ -133,12 +133,14 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
     is dropped without conversion.
     """
     b = F.col(body_col)
+    # One parse of the top level; a nested object under "event" comes back as its JSON text.
     top = F.from_json(b, "map<string,string>", JSON_OPTS)
+    event = F.try_element_at(top, F.lit("event"))
     has_event = F.coalesce(F.map_contains_key(top, F.lit("event")), F.lit(False))
-    inner = F.when(has_event, F.get_json_object(b, "$.event")).otherwise(b)
+    inner = F.when(has_event, event).otherwise(b)
     r = F.from_json(inner, _REQUEST, JSON_OPTS)
     staged = requests.select("*", r.alias("r"), has_event.alias("wrapped"), top.isNull().alias("_bad"),
-                             (has_event & F.get_json_object(b, "$.event").isNull()).alias("_no_event"))
+                             (has_event & event.isNull()).alias("_no_event"))
     sensor, ip = F.col("r.sensor_id"), F.col("r.source_ip")
     port = F.col("r.destination_port").try_cast("bigint")
     dur = F.col("r.flow_duration").try_cast("bigint")
