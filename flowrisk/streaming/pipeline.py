@@ -27,6 +27,7 @@ from flowrisk.operators import stats as ST
 from flowrisk.operators import tables as TB
 from flowrisk.operators.enrich import enrich_flows
 from flowrisk.operators.messages import parse_messages
+from flowrisk.sinks.topic import FileTopic, as_message
 
 LOG = logging.getLogger(__name__)
 
@@ -175,12 +176,14 @@ class BatchProcessor:
 
     def __init__(self, sinks: Sinks, scorer: Callable[[DataFrame], DataFrame],
                  threshold: float = S.RISK_ALERT_THRESHOLD, ttl_seconds: int = S.ALERT_TTL_SECONDS,
-                 clock: Callable[[], Column] | None = None):
+                 clock: Callable[[], Column] | None = None, alert_topic=None):
         self.sinks = sinks
         self.scorer = scorer
         self.threshold = threshold
         self.ttl_seconds = ttl_seconds
         self.clock = clock or (lambda: F.current_timestamp())
+        # where alert payloads are published: a KafkaTopic on a cluster, else a file topic
+        self.alert_topic = alert_topic or FileTopic(sinks.alert_messages)
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         t0 = time.monotonic()
@@ -205,7 +208,7 @@ class BatchProcessor:
             _write_epoch(preds, self.sinks.predictions, epoch_id)
             alerts = AL.to_alerts(scored_l, self.threshold, self.ttl_seconds)
             _write_epoch(alerts, self.sinks.alerts, epoch_id)
-            _write_epoch(AL.alert_payload(alerts), self.sinks.alert_messages, epoch_id)
+            self.alert_topic.publish(as_message(AL.alert_payload(alerts), "alert_id", "payload"), epoch_id)
             _write_epoch(PR.batch_profiles(scored_l), self.sinks.profile_deltas, epoch_id)
             _write_epoch(
                 scored.sparkSession.createDataFrame(

@@ -79,6 +79,9 @@ def test_replayed_epoch_is_idempotent(spark):
     alerts = spark.read.parquet(sinks.alerts).count()
     counters = SP.read_alert_counters(spark, sinks).agg(F.sum("count")).first()[0] or 0
     assert counters == alerts
+    published = spark.read.parquet(sinks.alert_messages)
+    assert published.columns[:2] == ["key", "value"]
+    assert published.count() == published.select("key").distinct().count() == alerts
     prof = SP.read_profiles(spark, sinks)
     assert prof.agg(F.sum("event_count")).first()[0] == n
 
