@@ -24,6 +24,8 @@ from flowrisk.streaming import pipeline as SP
 BEST_RF_TREES = 100
 BEST_RF_DEPTH = 10
 STREAM_FILES = 4
+# Upper bound on the average rows per micro-batch of the registered stream runs.
+STREAM_BATCH_ROWS = 2_000_000
 
 
 def flow_features(df: DataFrame) -> list[str]:
@@ -109,11 +111,13 @@ def q_score_flows(spark, sf_dir):
 
 
 def _write_messages(spark: SparkSession, sf_dir: str, path: str, copies: int = 1) -> int:
-    """Publish every flow as messages in ``STREAM_FILES`` consecutive time
-    ranges (one micro-batch each, in event-time order); returns the files per
-    range, the stream's ``maxFilesPerTrigger``."""
+    """Publish every flow as messages in consecutive event-time ranges (at
+    least ``STREAM_FILES``, more as the input grows; one micro-batch each, in
+    event-time order); returns the files per range, the stream's
+    ``maxFilesPerTrigger``."""
     msgs = to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS)
-    return SP.publish_in_ranges(msgs, path, STREAM_FILES, spark.sparkContext.defaultParallelism, copies)
+    return SP.publish_in_ranges(msgs, path, spark.sparkContext.defaultParallelism, min_ranges=STREAM_FILES,
+                                max_rows_per_range=STREAM_BATCH_ROWS, copies=copies)
 
 
 def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, copies: int = 1) -> SP.Sinks:

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from flowrisk import schema as S
 from flowrisk.operators import alerts as AL
@@ -102,37 +103,49 @@ def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
     return r.parquet(path)
 
 
-def publish_in_ranges(messages: DataFrame, path: str, ranges: int, files_per_range: int, copies: int = 1,
-                      cut_error: float = 0.001) -> int:
-    """Append ``messages`` to a file topic as ``ranges`` consecutive time ranges,
+def publish_in_ranges(messages: DataFrame, path: str, files_per_range: int, min_ranges: int = 4,
+                      max_rows_per_range: int | None = None, copies: int = 1) -> int:
+    """Append ``messages`` to a file topic as consecutive event-time ranges,
     oldest first, each written as exactly ``files_per_range`` files.
 
     A stream reading ``path`` with ``maxFilesPerTrigger = files_per_range``
-    then gets one range per micro-batch, in event-time order. Cut points come
-    from a bounded-error quantile sketch (the driver receives ``ranges - 1``
-    numbers); every row lands in exactly one range whatever the cuts are.
-    Each range is spread round-robin over its files, so no single task writes
-    a whole range. ``copies`` > 1 redelivers each range right after itself, as
-    an at-least-once source does. Returns the files per range.
+    then gets one range per micro-batch, in event-time order. Ranges are equal
+    slices of the time span (one min/max/count aggregate fixes them); there are
+    at least ``min_ranges`` and enough that none needs to hold more than
+    ``max_rows_per_range`` rows on average, so micro-batches stay bounded as
+    the input grows. Messages without a time go to the last range.
+
+    The messages are staged once, partitioned by range, next to ``path``; each
+    range is then published from its own staged partition (partition pruning
+    reads only that range), spread round-robin over its files. ``copies`` > 1
+    redelivers each range right after itself, as an at-least-once source does.
+    Returns the files per range.
     """
     spark = messages.sparkSession
-    t = F.unix_micros("timestamp").cast("double")
-    cuts = messages.select(t.alias("t")).approxQuantile("t", [i / ranges for i in range(1, ranges)], cut_error)
-    bounds = [None, *cuts, None]
-    for lo, hi in zip(bounds[:-1], bounds[1:]):
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (t >= F.lit(lo))
-        if hi is not None:
-            cond = cond & (t < F.lit(hi))
-        part = messages.filter(cond).repartition(files_per_range)
+    t = F.unix_micros("timestamp")
+    span = messages.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if span["n"] == 0:
+        return files_per_range
+    ranges = max(1, min_ranges)
+    if max_rows_per_range:
+        ranges = max(ranges, -(-span["n"] // max_rows_per_range))
+    lo = span["lo"] if span["lo"] is not None else 0
+    width = max(1, -(-((span["hi"] if span["hi"] is not None else lo) - lo + 1) // ranges))
+    bucket = F.coalesce(F.floor((t - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(ranges - 1))
+    staging = path.rstrip("/") + "-staging"
+    messages.withColumn("_range", bucket).write.mode("overwrite").partitionBy("_range").parquet(staging)
+    staged = spark.read.schema(StructType([*S.MESSAGE_SCHEMA.fields, StructField("_range", IntegerType())])).parquet(staging)
+    for i in range(ranges):
+        part = staged.filter(F.col("_range") == F.lit(i)).drop("_range").repartition(files_per_range)
         for _ in range(copies):
             before = set(_listed_files(spark, path))
             part.write.mode("append").parquet(path)
+            written = len(set(_listed_files(spark, path)) - before)
+            if written == 0:
+                continue  # an empty range gives no micro-batch
             # A range smaller than the fan-out leaves some of its files unwritten;
             # empty files keep the next range from sharing its micro-batch.
-            missing = files_per_range - len(set(_listed_files(spark, path)) - before)
-            for _ in range(max(0, missing)):
+            for _ in range(files_per_range - written):
                 spark.createDataFrame([], S.MESSAGE_SCHEMA).write.mode("append").parquet(path)
     return files_per_range
 

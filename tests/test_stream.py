@@ -130,15 +130,7 @@ def test_malformed_messages_go_to_quarantine(spark):
     assert spark.read.parquet(sinks.predictions).count() == good.count()
 
 
-def test_publish_in_ranges_gives_one_ordered_range_per_batch(spark):
-    """Ranges smaller than the file fan-out are padded with empty files, so each
-    micro-batch still holds exactly one time range, oldest first."""
-    root = scratch_path(spark, "t-ranges")
-    msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
-    tiny = msgs.orderBy("timestamp").limit(6)  # 2 ranges, 5 files each
-    per = SP.publish_in_ranges(tiny, f"{root}/source", ranges=2, files_per_range=5)
-    assert per == 5
-    assert len(spark.read.parquet(f"{root}/source").inputFiles()) == 10
+def _batches(spark, root, per):
     out = f"{root}/out"
     stream = SP.file_stream(spark, f"{root}/source", max_files_per_trigger=per)
 
@@ -148,8 +140,33 @@ def test_publish_in_ranges_gives_one_ordered_range_per_batch(spark):
     q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/cp").trigger(
         availableNow=True).start()
     q.awaitTermination()
-    got = spark.read.parquet(out).groupBy("epoch_id").agg(
+    return spark.read.parquet(out).groupBy("epoch_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).orderBy(
         "epoch_id").collect()
+
+
+def test_publish_in_ranges_gives_one_ordered_range_per_batch(spark):
+    """Ranges smaller than the file fan-out are padded with empty files, so each
+    micro-batch still holds exactly one time range, oldest first."""
+    root = scratch_path(spark, "t-ranges")
+    msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
+    tiny = msgs.orderBy("timestamp").limit(6)  # 2 ranges, 5 files each
+    per = SP.publish_in_ranges(tiny, f"{root}/source", files_per_range=5, min_ranges=2)
+    assert per == 5
+    assert len(spark.read.parquet(f"{root}/source").inputFiles()) == 10
+    got = _batches(spark, root, per)
     assert len(got) == 2 and sum(r.n for r in got) == 6
     assert got[0].hi < got[1].lo
+
+
+def test_publish_in_ranges_bounds_batches_and_keeps_untimed_messages(spark):
+    root = scratch_path(spark, "t-ranges-bound")
+    msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
+    data = msgs.orderBy("timestamp").limit(12).unionByName(
+        msgs.limit(1).withColumn("key", F.lit("no-time")).withColumn("timestamp", F.lit(None).cast("timestamp")))
+    per = SP.publish_in_ranges(data, f"{root}/source", files_per_range=3, min_ranges=1, max_rows_per_range=4)
+    got = _batches(spark, root, per)
+    assert sum(r.n for r in got) == 13  # every message, the untimed one included
+    assert len(got) >= 3  # 13 rows at most 4 per range on average -> 4 time slices
+    timed = [r for r in got if r.lo is not None]
+    assert all(a.hi < b.lo for a, b in zip(timed, timed[1:]))
