@@ -48,6 +48,8 @@ def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     files = df.inputFiles()
     if len(files) >= cores:
         return df
+    if not files:  # not a file scan: nothing to remember it by
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
     key = (tuple(sorted(files)), spark.conf.get("spark.sql.files.maxPartitionBytes"), cores)
     splits = _SMALL_SCAN_SPLITS.get(key)
     if splits is None:
