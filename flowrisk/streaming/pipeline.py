@@ -63,6 +63,10 @@ class Sinks:
     def statistics(self) -> str:
         return f"{self.root}/statistics"
 
+    @property
+    def statistics_deltas(self) -> str:
+        return f"{self.root}/statistics_deltas"
+
     @property
     def batch_log(self) -> str:
         return f"{self.root}/batch_metrics"
@@ -73,7 +77,7 @@ class Sinks:
 
     def all(self) -> list[str]:
         return [self.raw, self.predictions, self.alerts, self.alert_messages, self.profile_deltas, self.statistics,
-                self.batch_log, self.quarantine]
+                self.statistics_deltas, self.batch_log, self.quarantine]
 
 
 # --------------------------------------------------------------------------------------------
@@ -223,6 +227,7 @@ class BatchProcessor:
             _write_epoch(alerts, self.sinks.alerts, epoch_id)
             self.alert_topic.publish(as_message(AL.alert_payload(alerts), "alert_id", "payload"), epoch_id)
             _write_epoch(PR.batch_profiles(scored_l), self.sinks.profile_deltas, epoch_id)
+            _write_epoch(ST.statistics_delta(scored_l, self.threshold), self.sinks.statistics_deltas, epoch_id)
             _write_epoch(
                 scored.sparkSession.createDataFrame(
                     [(int(metrics["row_count"]), int(metrics["high_risk"]), latency_ms)],
@@ -281,9 +286,13 @@ def read_alert_counters(spark: SparkSession, sinks: Sinks) -> DataFrame:
     return AL.alert_counters(spark.read.parquet(sinks.alerts))
 
 
-def refresh_statistics(spark: SparkSession, sinks: Sinks, as_of: Column, threshold: float = S.RISK_ALERT_THRESHOLD,
+def refresh_statistics(spark: SparkSession, sinks: Sinks, as_of: Column, k: int = 10, hours: int = 24,
                        max_age_seconds: int = S.STATS_STALE_SECONDS, now: float | None = None) -> DataFrame:
-    """Statistics snapshot, recomputed only when older than ``max_age_seconds``."""
+    """Statistics snapshot, recomputed only when older than ``max_age_seconds``.
+
+    A refresh reads the per-epoch statistics deltas (written by each batch,
+    with the batch's alert threshold), not the predictions themselves.
+    """
     from pyspark.errors import AnalysisException
 
     try:
@@ -294,12 +303,8 @@ def refresh_statistics(spark: SparkSession, sinks: Sinks, as_of: Column, thresho
             return cached
     except AnalysisException:
         pass
-    preds = spark.read.parquet(sinks.predictions).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        stats = ST.statistics(preds, as_of, threshold)
-        stats.write.mode("overwrite").parquet(sinks.statistics)
-    finally:
-        preds.unpersist()
+    deltas = spark.read.parquet(sinks.statistics_deltas).drop("epoch_id")
+    ST.statistics_from_deltas(deltas, as_of, k, hours).write.mode("overwrite").parquet(sinks.statistics)
     return spark.read.parquet(sinks.statistics)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from flowrisk.operators.enrich import score_predictions
+from flowrisk.operators import stats as ST
 from flowrisk.operators.messages import to_messages
 from flowrisk.session import scratch_path
 from flowrisk.sources import events as EV
@@ -94,6 +95,14 @@ def test_statistics_freshness_and_reset(spark):
     as_of = F.current_timestamp()
     s1 = SP.refresh_statistics(spark, sinks, as_of).first()
     assert s1.total_predictions == spark.read.parquet(sinks.predictions).count()
+    # the snapshot from per-batch deltas equals the document computed over all stored predictions
+    proc(SP.parsed_flows(to_messages(EV.load_flows(spark, SF_SMALL), WIRE)).limit(300), 1)
+    fresh = SP.refresh_statistics(spark, sinks, as_of, now=0.0 + 10 ** 12).first()
+    direct = ST.statistics(spark.read.parquet(sinks.predictions), as_of, 80.0).first()
+    for f in ("total_predictions", "total_alerts", "top_attack", "attack_breakdown", "top_ips", "timeline"):
+        assert fresh[f] == direct[f], f
+    assert fresh.total_predictions == s1.total_predictions + 300
+    s1 = fresh
     assert sum(x["count"] for x in s1.attack_breakdown) == s1.total_predictions
     assert s1.top_attack == s1.attack_breakdown[0]["attack_type"]
     # fresh (<= 30 s): the cached row is returned as is
