@@ -2,8 +2,8 @@
 
 Every query reads the driver's tables (mostly ``events`` through the flow
 adapter) over their whole extent; parameters are the defaults of the analysed
-pipeline. Times are relative to ``as_of`` = newest event, computed inside the
-plan as a scalar subquery.
+pipeline. Times are relative to ``as_of`` = newest event, fetched as one number when
+the query is built.
 """
 
 from __future__ import annotations
@@ -42,8 +42,17 @@ def register(name: str):
 
 
 def as_of_col(spark: SparkSession, sf_dir: str) -> Column:
-    """Newest event time, as a scalar subquery evaluated once inside the plan."""
-    return read_table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("as_of")).scalar()
+    """Newest event time as a constant.
+
+    One small aggregate (the ``ts`` column only) runs when the query is built
+    and returns a single number (epoch microseconds, so no time-zone round trip
+    through Python). As a literal, time-window filters against it fold to
+    constants and reach the Parquet scan as pushed filters (row groups outside
+    the window are skipped), which a scalar subquery cannot do.
+    """
+    micros = read_table(spark, sf_dir, "events").agg(
+        F.unix_micros(F.max("ts").cast("timestamp")).alias("m")).first()["m"]
+    return F.timestamp_micros(F.lit(micros))
 
 
 # --- sources ---------------------------------------------------------------------------------
