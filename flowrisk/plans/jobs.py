@@ -110,10 +110,10 @@ def q_score_flows(spark, sf_dir):
     return scored.select("kafka_key", "source_ip", "Label", "predicted_attack", "confidence", "model_name", "risk_score")
 
 
-def _write_messages(spark: SparkSession, sf_dir: str, path: str, copies: int = 1) -> int:
+def _write_messages(spark: SparkSession, sf_dir: str, path: str, copies: int = 1) -> tuple[str, int]:
     """Publish every flow as messages in consecutive event-time ranges (at
     least ``STREAM_FILES``, more as the input grows; one micro-batch each, in
-    event-time order); returns the files per range, the stream's
+    event-time order); returns the stream's source path and its
     ``maxFilesPerTrigger``."""
     msgs = to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS)
     return SP.publish_in_ranges(msgs, path, spark.sparkContext.defaultParallelism, min_ranges=STREAM_FILES,
@@ -123,10 +123,10 @@ def _write_messages(spark: SparkSession, sf_dir: str, path: str, copies: int = 1
 def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, copies: int = 1) -> SP.Sinks:
     root = scratch_path(spark, "stream")
     src = f"{root}/source"
-    per_batch = _write_messages(spark, sf_dir, src, copies)
+    source, per_batch = _write_messages(spark, sf_dir, src, copies)
     bundle = train_flow_model(spark, sf_dir, f"{root}/models")
     sinks = SP.Sinks(f"{root}/tables")
-    stream = SP.file_stream(spark, src, max_files_per_trigger=per_batch)
+    stream = SP.file_stream(spark, source, max_files_per_trigger=per_batch)
     flows = SP.parsed_flows(stream, dedup_watermark="24 hours" if dedup else None)
     q = SP.start(flows, SP.BatchProcessor(sinks, bundle.score), f"{root}/checkpoint", available_now=True)
     q.awaitTermination()
@@ -137,9 +137,9 @@ def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, copies: in
 
 def _ingest(spark, sf_dir):
     root = scratch_path(spark, "ingest")
-    per_batch = _write_messages(spark, sf_dir, f"{root}/source")
+    source, per_batch = _write_messages(spark, sf_dir, f"{root}/source")
     out = f"{root}/flows"
-    flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_files_per_trigger=per_batch))
+    flows = SP.parsed_flows(SP.file_stream(spark, source, max_files_per_trigger=per_batch))
     q = (flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()

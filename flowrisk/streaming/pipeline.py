@@ -108,28 +108,32 @@ def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | Non
 
 
 def publish_in_ranges(messages: DataFrame, path: str, files_per_range: int, min_ranges: int = 4,
-                      max_rows_per_range: int | None = None, copies: int = 1) -> int:
+                      max_rows_per_range: int | None = None, copies: int = 1) -> tuple[str, int]:
     """Append ``messages`` to a file topic as consecutive event-time ranges,
     oldest first, each written as exactly ``files_per_range`` files.
 
-    A stream reading ``path`` with ``maxFilesPerTrigger = files_per_range``
-    then gets one range per micro-batch, in event-time order. Ranges are equal
-    slices of the time span (one min/max/count aggregate fixes them); there are
-    at least ``min_ranges`` and enough that none needs to hold more than
-    ``max_rows_per_range`` rows on average, so micro-batches stay bounded as
-    the input grows. Messages without a time go to the last range.
+    Returns ``(source, files_per_range)``: a stream reading ``source`` (a glob
+    over the range folders) with ``maxFilesPerTrigger = files_per_range`` gets
+    one range per micro-batch, in event-time order (the file source takes files
+    in modification order). Ranges are equal slices of the time span (one
+    min/max/count aggregate fixes them); there are at least ``min_ranges`` and
+    enough that none needs to hold more than ``max_rows_per_range`` rows on
+    average, so micro-batches stay bounded as the input grows. Messages without
+    a time go to the last range.
 
     The messages are staged once, partitioned by range, next to ``path``; each
     range is then published from its own staged partition (partition pruning
-    reads only that range), spread round-robin over its files. ``copies`` > 1
-    redelivers each range right after itself, as an at-least-once source does.
-    Returns the files per range.
+    reads only that range), spread round-robin over its files, into its own
+    folder (so checking what a write produced lists that folder only).
+    ``copies`` > 1 redelivers each range right after itself, as an
+    at-least-once source does.
     """
     spark = messages.sparkSession
+    source = f"{path.rstrip('/')}/*"
     t = F.unix_micros("timestamp")
     span = messages.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if span["n"] == 0:
-        return files_per_range
+        return source, files_per_range
     ranges = max(1, min_ranges)
     if max_rows_per_range:
         ranges = max(ranges, -(-span["n"] // max_rows_per_range))
@@ -139,19 +143,20 @@ def publish_in_ranges(messages: DataFrame, path: str, files_per_range: int, min_
     staging = path.rstrip("/") + "-staging"
     messages.withColumn("_range", bucket).write.mode("overwrite").partitionBy("_range").parquet(staging)
     staged = spark.read.schema(StructType([*S.MESSAGE_SCHEMA.fields, StructField("_range", IntegerType())])).parquet(staging)
+    digits = len(str(ranges))
     for i in range(ranges):
         part = staged.filter(F.col("_range") == F.lit(i)).drop("_range").repartition(files_per_range)
-        for _ in range(copies):
-            before = set(_listed_files(spark, path))
-            part.write.mode("append").parquet(path)
-            written = len(set(_listed_files(spark, path)) - before)
+        for c in range(copies):
+            folder = f"{path.rstrip('/')}/r{i:0{digits}d}-{c}"
+            part.write.mode("append").parquet(folder)
+            written = len(_listed_files(spark, folder))
             if written == 0:
                 continue  # an empty range gives no micro-batch
             # A range smaller than the fan-out leaves some of its files unwritten;
             # empty files keep the next range from sharing its micro-batch.
             for _ in range(files_per_range - written):
-                spark.createDataFrame([], S.MESSAGE_SCHEMA).write.mode("append").parquet(path)
-    return files_per_range
+                spark.createDataFrame([], S.MESSAGE_SCHEMA).write.mode("append").parquet(folder)
+    return source, files_per_range
 
 
 def _listed_files(spark: SparkSession, path: str) -> list[str]:

@@ -139,9 +139,9 @@ def test_malformed_messages_go_to_quarantine(spark):
     assert spark.read.parquet(sinks.predictions).count() == good.count()
 
 
-def _batches(spark, root, per):
+def _batches(spark, root, source, per):
     out = f"{root}/out"
-    stream = SP.file_stream(spark, f"{root}/source", max_files_per_trigger=per)
+    stream = SP.file_stream(spark, source, max_files_per_trigger=per)
 
     def keep(batch, epoch_id):
         batch.withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").parquet(out)
@@ -160,10 +160,10 @@ def test_publish_in_ranges_gives_one_ordered_range_per_batch(spark):
     root = scratch_path(spark, "t-ranges")
     msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
     tiny = msgs.orderBy("timestamp").limit(6)  # 2 ranges, 5 files each
-    per = SP.publish_in_ranges(tiny, f"{root}/source", files_per_range=5, min_ranges=2)
+    source, per = SP.publish_in_ranges(tiny, f"{root}/source", files_per_range=5, min_ranges=2)
     assert per == 5
-    assert len(spark.read.parquet(f"{root}/source").inputFiles()) == 10
-    got = _batches(spark, root, per)
+    assert len(spark.read.parquet(source).inputFiles()) == 10
+    got = _batches(spark, root, source, per)
     assert len(got) == 2 and sum(r.n for r in got) == 6
     assert got[0].hi < got[1].lo
 
@@ -173,8 +173,8 @@ def test_publish_in_ranges_bounds_batches_and_keeps_untimed_messages(spark):
     msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
     data = msgs.orderBy("timestamp").limit(12).unionByName(
         msgs.limit(1).withColumn("key", F.lit("no-time")).withColumn("timestamp", F.lit(None).cast("timestamp")))
-    per = SP.publish_in_ranges(data, f"{root}/source", files_per_range=3, min_ranges=1, max_rows_per_range=4)
-    got = _batches(spark, root, per)
+    source, per = SP.publish_in_ranges(data, f"{root}/source", files_per_range=3, min_ranges=1, max_rows_per_range=4)
+    got = _batches(spark, root, source, per)
     assert sum(r.n for r in got) == 13  # every message, the untimed one included
     assert len(got) >= 3  # 13 rows at most 4 per range on average -> 4 time slices
     timed = [r for r in got if r.lo is not None]
