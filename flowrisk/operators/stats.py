@@ -175,3 +175,28 @@ def _pack(sets: DataFrame, as_of: Column, k: int) -> DataFrame:
         ).alias("top_ips"),
         F.expr("array_sort(collect_list(struct(hour AS timestamp, count)) FILTER (WHERE gid = 6))").alias("timeline"),
     ).withColumn("updated_at", as_of)
+
+
+def statistics_rows(doc: DataFrame) -> DataFrame:
+    """The statistics document as flat ``(part, position, name, value)`` rows:
+    the three summary fields, then every list entry with its 1-based position.
+    One ``inline`` over the one-row document (the document is computed once)."""
+
+    def entry(part: str, position: Column, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(part).alias("part"), position.cast("bigint").alias("position"),
+                        name.cast("string").alias("name"), value.cast("bigint").alias("value"))
+
+    def listed(col: str, key) -> Column:
+        return F.transform(col, lambda x, i: entry(col, i + 1, key(x), x["count"]))
+
+    summary = F.array(
+        entry("summary", F.lit(1), F.lit("total_predictions"), F.col("total_predictions")),
+        entry("summary", F.lit(2), F.lit("total_alerts"), F.col("total_alerts")),
+        entry("summary", F.lit(3), F.col("top_attack"), F.lit(None)),
+    )
+    return doc.select(F.inline(F.concat(
+        summary,
+        listed("attack_breakdown", lambda x: x["attack_type"]),
+        listed("top_ips", lambda x: x["source_ip"]),
+        listed("timeline", lambda x: F.date_format(x["timestamp"], "yyyy-MM-dd HH:mm:ss")),
+    )))

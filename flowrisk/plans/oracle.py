@@ -93,6 +93,22 @@ SQL["timeline"] = _w(
     f"""SELECT date_trunc('hour', created_at) AS "timestamp", count(*) AS count FROM scored
         WHERE created_at >= {AS_OF} - INTERVAL 24 HOUR GROUP BY 1 ORDER BY 1""",
 )
+SQL["statistics_rows"] = _w(
+    SCORED + """,
+b AS (SELECT predicted_attack AS name, count(*) AS value FROM scored GROUP BY 1),
+ips AS (SELECT source_ip AS name, count(*) AS value,
+               row_number() OVER (ORDER BY count(*) DESC, source_ip) AS position
+        FROM scored GROUP BY 1),
+tl AS (SELECT date_trunc('hour', created_at) AS h, count(*) AS value FROM scored
+       WHERE created_at >= """ + AS_OF + """ - INTERVAL 24 HOUR GROUP BY 1)""",
+    """SELECT 'summary' AS part, CAST(1 AS BIGINT) AS position, 'total_predictions' AS name,
+              CAST((SELECT count(*) FROM scored) AS BIGINT) AS value
+       UNION ALL SELECT 'summary', 2, 'total_alerts', (SELECT count(*) FROM scored WHERE risk_score >= 80.0)
+       UNION ALL SELECT 'summary', 3, (SELECT arg_min(name, (-value, name)) FROM b), NULL
+       UNION ALL SELECT 'attack_breakdown', row_number() OVER (ORDER BY value DESC, name), name, value FROM b
+       UNION ALL SELECT 'top_ips', position, name, value FROM ips WHERE position <= 10
+       UNION ALL SELECT 'timeline', row_number() OVER (ORDER BY h), strftime(h, '%Y-%m-%d %H:%M:%S'), value FROM tl""",
+)
 SQL["alert_counters"] = _w(SCORED + ALERTS, "SELECT attack_type, count(*) AS count FROM alerts GROUP BY 1")
 SQL["attack_share"] = _w(
     SCORED,

@@ -130,6 +130,13 @@ def q_statistics(spark, sf_dir):
     return ST.statistics(EV.load_scored(spark, sf_dir), as_of_col(spark, sf_dir), THRESHOLD, 10, 24)
 
 
+@register("statistics_rows")
+def q_statistics_rows(spark, sf_dir):
+    """The one-scan statistics document, unpacked into flat rows (oracle-checkable)."""
+    doc = ST.statistics(EV.load_scored(spark, sf_dir), as_of_col(spark, sf_dir), THRESHOLD, 10, 24)
+    return ST.statistics_rows(doc)
+
+
 @register("batch_metrics")
 def q_batch_metrics(spark, sf_dir):
     return ST.batch_metrics(EV.load_scored(spark, sf_dir), THRESHOLD)
