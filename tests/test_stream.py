@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from flowrisk.operators.enrich import score_predictions
+from flowrisk.operators import profiles as PR
 from flowrisk.operators import stats as ST
 from flowrisk.operators.messages import to_messages
 from flowrisk.session import scratch_path
@@ -179,3 +180,25 @@ def test_publish_in_ranges_bounds_batches_and_keeps_untimed_messages(spark):
     assert len(got) >= 3  # 13 rows at most 4 per range on average -> 4 time slices
     timed = [r for r in got if r.lo is not None]
     assert all(a.hi < b.lo for a, b in zip(timed, timed[1:]))
+
+
+def test_profile_compaction_equals_merge_of_all_deltas(spark):
+    root = scratch_path(spark, "t-compact")
+    sinks = SP.Sinks(f"{root}/tables")
+    proc = SP.BatchProcessor(sinks, scorer)
+    msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
+    parts = msgs.randomSplit([1.0, 1.0, 1.0], seed=7)
+    for epoch, part in enumerate(parts[:2]):
+        proc(SP.parsed_flows(part), epoch)
+    SP.compact_profiles(spark, sinks, 1)
+    SP.compact_profiles(spark, sinks, 1)  # a retried compaction changes nothing
+    proc(SP.parsed_flows(parts[2]), 2)
+    got = PR.profiles_for_check(SP.read_profiles(spark, sinks))
+    every = PR.profiles_for_check(PR.merge_profiles(spark.read.parquet(sinks.profile_deltas).drop("epoch_id")))
+    assert sorted(got.collect()) == sorted(every.collect())
+    assert got.agg(F.sum("event_count")).first()[0] == msgs.count()
+    SP.compact_profiles(spark, sinks, 2)
+    again = PR.profiles_for_check(SP.read_profiles(spark, sinks))
+    assert sorted(again.collect()) == sorted(every.collect())
+    versions = sorted(r.upto for r in spark.read.parquet(sinks.profile_snapshots).select("upto").distinct().collect())
+    assert versions == [1, 2]
