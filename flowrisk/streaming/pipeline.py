@@ -336,7 +336,11 @@ def compact_profiles(spark: SparkSession, sinks: Sinks, upto_epoch: int) -> None
 
 
 def read_alert_counters(spark: SparkSession, sinks: Sinks) -> DataFrame:
-    return AL.alert_counters(spark.read.parquet(sinks.alerts))
+    """All-time alert counters per attack type, from the per-batch statistics
+    deltas (each batch's alerts per type, same threshold as its alerts table),
+    so a read does not rescan every alert ever raised."""
+    d = spark.read.parquet(sinks.statistics_deltas).filter((F.col("gid") == 3) & (F.col("alerts") > 0))
+    return d.groupBy("attack_type").agg(F.sum("alerts").cast("bigint").alias("count"))
 
 
 def refresh_statistics(spark: SparkSession, sinks: Sinks, as_of: Column, k: int = 10, hours: int = 24,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from flowrisk.operators.enrich import score_predictions
+from flowrisk.operators import alerts as AL
 from flowrisk.operators import profiles as PR
 from flowrisk.operators import stats as ST
 from flowrisk.operators.messages import to_messages
@@ -81,6 +82,8 @@ def test_replayed_epoch_is_idempotent(spark):
     alerts = spark.read.parquet(sinks.alerts).count()
     counters = SP.read_alert_counters(spark, sinks).agg(F.sum("count")).first()[0] or 0
     assert counters == alerts
+    by_type = sorted(tuple(r) for r in SP.read_alert_counters(spark, sinks).collect())
+    assert by_type == sorted(tuple(r) for r in AL.alert_counters(spark.read.parquet(sinks.alerts)).collect())
     published = spark.read.parquet(sinks.alert_messages)
     assert published.columns[:2] == ["key", "value"]
     assert published.count() == published.select("key").distinct().count() == alerts
