@@ -167,9 +167,14 @@ def q_stream_pipeline(spark, sf_dir):
 
 @register("stream_profiles")
 def q_stream_profiles(spark, sf_dir):
+    """Profiles after the stream: all but the last epoch compacted into a
+    snapshot, read back merged with the last epoch's delta."""
     sinks = run_stream(spark, sf_dir)
     from flowrisk.operators.profiles import profiles_for_check
 
+    last = spark.read.parquet(sinks.batch_log).agg(F.max("epoch_id").alias("e")).first()["e"]
+    if last is not None and last >= 1:
+        SP.compact_profiles(spark, sinks, int(last) - 1)
     return profiles_for_check(SP.read_profiles(spark, sinks))
 
 
