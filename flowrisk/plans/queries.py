@@ -219,7 +219,12 @@ def q_page_info(spark, sf_dir):
 
 @register("recent_alerts")
 def q_recent_alerts(spark, sf_dir):
-    return AL.recent_alerts(AL.to_alerts(EV.load_scored(spark, sf_dir), THRESHOLD), as_of_col(spark, sf_dir), 50)
+    """Newest 50 live alerts. An alert expires TTL after it is raised, so only
+    flows of the last TTL can hold one: that window (a superset; the exact
+    expiry test still applies) reaches the scan as a pushed filter."""
+    now = as_of_col(spark, sf_dir)
+    recent = TB.retain(EV.load_scored(spark, sf_dir), "created_at", now, S.ALERT_TTL_SECONDS)
+    return AL.recent_alerts(AL.to_alerts(recent, THRESHOLD, S.ALERT_TTL_SECONDS), now, 50)
 
 
 @register("alert_key_time")
