@@ -4,7 +4,7 @@ oracle comparisons holds at sf0.001."""
 import duckdb
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from conftest import SF_CHECK, SF_SMALL
 
 TABLES = "events embeddings".split()
 
@@ -30,3 +30,15 @@ def test_sample_oracles_match(spark):
         d = con.sql(E.oracle_sql()[name]).df()
         assert sorted(s.columns) == sorted(d.columns), name
         assert s.count() == len(d), name
+
+
+def test_queries_run_in_utc_whatever_the_session_zone(spark):
+    q = E.queries()["timeline"]
+    want = sorted(tuple(r) for r in q(spark, SF_CHECK).collect())
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = sorted(tuple(r) for r in q(spark, SF_CHECK).collect())
+        assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == want and len(got) == 24
