@@ -30,30 +30,26 @@ def _type_label(col_name: str):
     return F.expr(f"try_element_at({X.map_sql(labels)}, {X.sql_name(col_name)})")
 
 
-# Scan split counts of small file sets (files, split size, cores) -> splits.
-_SMALL_SCAN_SPLITS: dict[tuple, int] = {}
+# Scan split counts by plan: (semantic hash of the scan plan, split size, cores) -> splits.
+_SCAN_SPLITS: dict[tuple, int] = {}
 
 
 def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """Redistribute a scan that has fewer splits than the cluster has cores.
 
-    A large table already has thousands of splits and is returned as is (a
-    scan with at least one file per core is never narrower than the cluster);
-    a small one stored as a single row group would otherwise run every per-row
-    expression (JSON, string building) in one task. The split count of a small
-    file set is computed once (it plans the scan) and remembered.
+    A large table already has thousands of splits and is returned as is; a
+    small one stored as a single row group would otherwise run every per-row
+    expression (JSON, string building) in one task. The split count comes
+    from planning the scan (an integer computed in the JVM; the file list never
+    reaches Python) and is remembered per plan, so later queries over the same
+    input skip the planning pass.
     """
     spark = spark or df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    if not files:  # not a file scan: nothing to remember it by
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-    key = (tuple(sorted(files)), spark.conf.get("spark.sql.files.maxPartitionBytes"), cores)
-    splits = _SMALL_SCAN_SPLITS.get(key)
+    key = (df.semanticHash(), spark.conf.get("spark.sql.files.maxPartitionBytes"), cores)
+    splits = _SCAN_SPLITS.get(key)
     if splits is None:
-        splits = _SMALL_SCAN_SPLITS[key] = df.rdd.getNumPartitions()
+        splits = _SCAN_SPLITS[key] = df.rdd.getNumPartitions()
     return df.repartition(cores) if splits < cores else df
 
 
