@@ -153,7 +153,7 @@ def publish_in_ranges(messages: DataFrame, path: str, files_per_range: int, min_
         for c in range(copies):
             folder = f"{path.rstrip('/')}/r{i:0{digits}d}-{c}"
             part.write.mode("append").parquet(folder)
-            written = len(_listed_files(spark, folder))
+            written = _file_count(spark, folder)
             if written == 0:
                 continue  # an empty range gives no micro-batch
             # A range smaller than the fan-out leaves some of its files unwritten;
@@ -163,14 +163,16 @@ def publish_in_ranges(messages: DataFrame, path: str, files_per_range: int, min_
     return source, files_per_range
 
 
-def _listed_files(spark: SparkSession, path: str) -> list[str]:
-    """Part-file names under ``path`` (a directory listing, no data read)."""
+def _file_count(spark: SparkSession, folder: str) -> int:
+    """Number of Parquet part files in ``folder`` (empty ones included), counted
+    by a metadata-only scan: only file paths are read, one number comes back."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema(S.MESSAGE_SCHEMA).parquet(path).inputFiles()
+        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
+        return files.select("path").count()
     except AnalysisException:
-        return []
+        return 0
 
 
 def parsed_flows(messages: DataFrame, sensor_id: str = S.DEFAULT_SENSOR_ID, as_of: Column | None = None,
