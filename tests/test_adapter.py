@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from conftest import SF_CHECK
+from conftest import SF_CHECK, SF_SMALL
 from flowrisk.operators import alerts as AL
 from flowrisk.sources import events as EV
 
@@ -25,3 +25,14 @@ def test_event_time_key_collisions(spark):
     f = EV.load_flows(spark, SF_CHECK)
     assert f.select("sensor_id", "event_time").distinct().count() == 9654
     assert f.select("source_ip").distinct().count() == 150
+
+
+def test_spread_remembers_split_counts_per_scan_plan(spark):
+    EV._SCAN_SPLITS.clear()
+    a1 = EV.load_flows(spark, SF_SMALL)
+    a2 = EV.load_flows(spark, SF_SMALL)
+    assert len(EV._SCAN_SPLITS) == 1  # the same scan plan is planned once
+    EV.load_flows(spark, SF_CHECK)
+    assert len(EV._SCAN_SPLITS) == 2  # another input is its own entry
+    cores = spark.sparkContext.defaultParallelism
+    assert a1.rdd.getNumPartitions() == a2.rdd.getNumPartitions() == cores  # single-split inputs are spread
