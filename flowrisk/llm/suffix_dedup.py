@@ -45,8 +45,10 @@ from flowrisk.llm.common import mix64, partitions, slices
 
 LENGTH = 50
 ANCHOR = 16
-#: Bytes of text in a batch, and of anchors or suffixes in a bucket, about.
-BATCH_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+#: Bytes of text in a batch, of anchors in a bucket, and of text for a range of suffixes, about.
+BATCH_BYTES, BUCKET_BYTES, RANGE_BYTES = 8 << 20, 32 << 20, 8 << 20
+#: Bound on the splitters, which all tasks hold; beyond it ranges grow with the input.
+MAX_RANGES = 200_000
 #: Documents above which an anchor's strings are sorted singly.
 HOT = 20_000
 #: Sampled suffixes for a splitter.
@@ -277,6 +279,7 @@ class Plan:
         n[of] = np.concatenate(n_all)
         shared = self._shared(list(number), n, least)
         first = np.cumsum(n) - n
+        some = np.maximum.reduceat(shared, first)
         out, at = [], 0
         for r, mine in zip(frame.itertuples(index=False), of_row, strict=True):
             own = ids[at : at + len(mine)]
@@ -285,15 +288,15 @@ class Plan:
             run = mine[ref_of]
             whole = np.frombuffer(r.ref_all, bool) | (own[ref_of] > least[run])
             row, start = np.frombuffer(r.ref_row, np.int32), np.frombuffer(r.ref_start, np.int64)
-            size = n[run]
-            mark = shared[np.repeat(first[run] - (np.cumsum(size) - size), size) + np.arange(size.sum())] | np.repeat(whole, size)
-            ref = np.repeat(np.arange(len(run)), size)
-            pos = start[ref] + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            ref, pos = ref[mark], pos[mark]
-            if len(ref):
-                new = np.concatenate([[True], (ref[1:] != ref[:-1]) | (pos[1:] != pos[:-1] + 1)])
-                cut = np.nonzero(new)[0]
-                out.append({"batch": r.batch, "row": row[ref[cut]].tobytes(), "start": pos[cut].tobytes(), "n": np.diff(np.append(cut, len(ref))).astype(np.int64).tobytes()})
+            part = np.nonzero(~whole & some[run])[0]  # the only places to look at string by string
+            size = n[run[part]]
+            within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            mark = shared[np.repeat(first[run[part]], size) + within]
+            ref, pos = np.repeat(part, size)[mark], (np.repeat(start[part], size) + within)[mark]
+            cut = np.nonzero(np.concatenate([[True], (ref[1:] != ref[:-1]) | (pos[1:] != pos[:-1] + 1)]))[0] if len(ref) else np.empty(0, np.int64)
+            told = np.concatenate([row[whole], row[ref[cut]]]), np.concatenate([start[whole], pos[cut]]), np.concatenate([n[run[whole]], np.diff(np.append(cut, len(ref)))]).astype(np.int64)
+            if len(told[0]):
+                out.append({"batch": r.batch} | {c: x.tobytes() for c, x in zip(("row", "start", "n"), told, strict=True)})
         return _packed(out, ["batch", "row", "start", "n"])
 
     def _shared(self, run_texts: list[bytes], n: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -365,11 +368,12 @@ def removed(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH
     buckets = max(partitions(spark), -(-total * 12 * 2 // ((length - anchor + 2) * BUCKET_BYTES)))
     batched = named.select(F.coalesce("id", F.lit(_LAST_ID)).alias("id"), "text", "rest", F.pmod(F.xxhash64("id", "text"), F.lit(batches)).alias("batch"))
     plan = Plan(length, anchor, hot, buckets)
-    # splitters from the suffixes of about 4,000 documents
-    few = batched.where(F.pmod(F.xxhash64("batch", "id", "text"), F.lit(max(1, n // 4000))) == 0).select("text")
+    ranges = min(MAX_RANGES, max(partitions(spark), -(-total // RANGE_BYTES)))
+    # splitters from the suffixes of some thousand documents
+    few = batched.where(F.pmod(F.xxhash64("batch", "id", "text"), F.lit(max(1, n // (4000 + 20 * ranges)))) == 0).select("text")
     leads = np.sort(np.array([bytes(r["lead"]) for r in few.mapInArrow(plan.sample, "lead binary").collect()], dtype=f"S{anchor}"))
     if len(leads):
-        plan.splitters = np.unique(leads[np.linspace(0, len(leads) - 1, min(buckets, len(leads)) + 1)[1:-1].astype(int)])
+        plan.splitters = np.unique(leads[np.linspace(0, len(leads) - 1, min(ranges, len(leads)) + 1)[1:-1].astype(int)])
     by_batch = batched.groupBy("batch")
     anchors = by_batch.applyInPandas(lambda f: plan.anchors(f), "bucket long, batch long, anchors binary, n binary")
     told = anchors.groupBy("bucket").applyInPandas(lambda f: plan.repeated(f), "batch long, anchors binary, hot binary")

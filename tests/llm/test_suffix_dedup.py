@@ -59,6 +59,8 @@ def test_against_brute_force(spark, seed, hot):
 def test_small_batches_and_buckets(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 2000)
     monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 50)
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 200)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 2)
     rows = rows_of(4, 90)
     assert checked(suffix_dedup.removed(frame(spark, rows), hot=6)) == brute(rows)
 
