@@ -37,6 +37,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -46,7 +47,9 @@ from flowrisk.llm.common import mix64, partitions, slices
 LENGTH = 50
 ANCHOR = 16
 #: Bytes of text in a batch, of anchors in a bucket, and of text for a range of suffixes, about.
-BATCH_BYTES, BUCKET_BYTES, RANGE_BYTES = 8 << 20, 32 << 20, 8 << 20
+BATCH_BYTES, BUCKET_BYTES, RANGE_BYTES = 8 << 20, 32 << 20, 4 << 20
+#: Bytes whose anchors are found at once, and strings that are sorted at once.
+WORK_BYTES, SORTED = 512 << 10, 100_000
 #: Bound on the splitters, which all tasks hold; beyond it ranges grow with the input.
 MAX_RANGES = 200_000
 #: Documents above which an anchor's strings are sorted singly.
@@ -126,6 +129,11 @@ def multikey_order(keys: np.ndarray, order: np.ndarray | None = None, word: int
     return todo
 
 
+def _strings(data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The byte strings of ``length`` that start at ``at``, a row each."""
+    return np.ascontiguousarray(sliding_window_view(data, length)[at]) if len(at) else np.empty((0, length), np.uint8)
+
+
 def words_of(strings: np.ndarray) -> np.ndarray:
     """Byte strings of equal length as rows of big-endian 64-bit words (zero-padded)."""
     n, size = strings.shape
@@ -137,7 +145,7 @@ def words_of(strings: np.ndarray) -> np.ndarray:
 def _laid(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Slices of a batch's texts: first row, sizes, bytes laid end to end."""
     sizes = frame["text"].map(len).to_numpy(np.int64)
-    for lo, hi in slices(sizes):
+    for lo, hi in slices(sizes, WORK_BYTES):
         yield lo, sizes[lo:hi], np.frombuffer(b"".join(frame["text"].iloc[lo:hi]), np.uint8)
 
 
@@ -145,6 +153,18 @@ def _packed(parts: list[dict], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(parts, columns=columns)
 
 
+def _squeeze(x: np.ndarray | bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else x.tobytes())
+
+
+def _unsqueeze(x: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompress(x)
+
+
 def _split(order_by: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(order_by, kind="stable")
     cuts = np.searchsorted(order_by[order], np.arange(buckets + 1))
@@ -170,9 +190,9 @@ class Plan:
         low, ids = low[order], ids[order]
         first = np.concatenate([[True], (low[1:] != low[:-1]) | (ids[1:] != ids[:-1])]) if len(low) else np.empty(0, bool)
         anchors, n = np.unique(low[first], return_counts=True)
-        hi = (anchors >> np.uint64(32)).astype(np.int64) * self.buckets >> 32
+        to = (mix64(anchors) % np.uint64(self.buckets)).astype(np.int64)  # least hashes are small: mixed again
         batch = int(frame["batch"].iat[0])
-        return _packed([{"bucket": b, "batch": batch, "anchors": anchors[i].tobytes(), "n": n[i].astype(np.int32).tobytes()} for b, i in _split(hi, self.buckets)], ["bucket", "batch", "anchors", "n"])
+        return _packed([{"bucket": b, "batch": batch, "anchors": anchors[i].tobytes(), "n": n[i].astype(np.int32).tobytes()} for b, i in _split(to, self.buckets)], ["bucket", "batch", "anchors", "n"])
 
     def repeated(self, frame: pd.DataFrame) -> pd.DataFrame:
         """Step 1, a bucket: to each batch its anchors that are in two documents or more, and whether they are hot."""
@@ -197,11 +217,12 @@ class Plan:
     def _leads(self, data, grams, start, single) -> np.ndarray:
         """Leading bytes of the suffix that ranges a run: from its anchor on, or the single string's own."""
         at = start.copy()
-        width = np.arange(self.length - self.anchor + 1)
-        for a in range(0, len(start), 100_000):
-            part = slice(a, a + 100_000)
-            at[part] += np.where(single[part], 0, grams[start[part, None] + width].argmin(axis=1))
-        return np.ascontiguousarray(data[at[:, None] + np.arange(self.anchor)]).view(f"S{self.anchor}").ravel()
+        if len(at):
+            near = sliding_window_view(grams, self.length - self.anchor + 1)
+            for a in range(0, len(start), 20_000):
+                part = slice(a, a + 20_000)
+                at[part] += np.where(single[part], 0, near[start[part]].argmin(axis=1))
+        return _strings(data, at, self.anchor).view(f"S{self.anchor}").ravel()
 
     def sample(self, frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Leading bytes of a sample of suffixes."""
@@ -227,7 +248,8 @@ class Plan:
         hot = np.concatenate([np.frombuffer(h, bool) for h in told["hot"]])
         order = np.argsort(anchors)
         anchors, hot = anchors[order], hot[order]
-        out = []
+        out: list[dict] = []
+        filed: dict[int, tuple[dict[bytes, int], list]] = {}  # by bucket: different run texts, and where they are
         for lo, sizes, data in _laid(frame):
             low, doc, start, n, grams = runs(data, sizes, self.length, self.anchor)
             if not len(low):
@@ -247,19 +269,16 @@ class Plan:
             owner, local = ids[doc + lo], start - (np.cumsum(sizes) - sizes)[doc]
             raw = data.tobytes()
             for b, i in _split(bucket, len(self.splitters) + 1):
-                known: dict[bytes, int] = {}
-                texts = [raw[s : s + k] for s, k in zip(start[i].tolist(), (n[i] + self.length - 1).tolist(), strict=True)]
-                of = np.array([known.setdefault(t, len(known)) for t in texts])
-                least = np.full(len(known), _LAST_ID)
-                np.minimum.at(least, of, owner[i])
-                count = np.zeros(len(known), np.int32)
-                count[of] = n[i]
-                out.append(
-                    {
-                        "bucket": b, "batch": batch, "bytes": b"".join(known), "n": count.tobytes(), "id": least.tobytes(),
-                        "ref_of": of.astype(np.int32).tobytes(), "ref_row": (doc[i] + lo).astype(np.int32).tobytes(), "ref_start": local[i].astype(np.int64).tobytes(), "ref_all": (owner[i] > least[of]).tobytes(),
-                    }
-                )
+                known, places = filed.setdefault(b, ({}, []))
+                cut = [raw[s : s + k] for s, k in zip(start[i].tolist(), (n[i] + self.length - 1).tolist(), strict=True)]
+                places.append((np.array([known.setdefault(t, len(known)) for t in cut]), owner[i], n[i], doc[i] + lo, local[i]))
+        for b, (known, places) in filed.items():
+            of, owner, n, row, start = (np.concatenate(x) for x in zip(*places, strict=True))
+            least, count = np.full(len(known), _LAST_ID), np.zeros(len(known), np.int32)
+            np.minimum.at(least, of, owner)
+            count[of] = n
+            packed = {"bytes": b"".join(known), "n": count, "id": least, "ref_of": of.astype(np.int32), "ref_row": row.astype(np.int32), "ref_start": start.astype(np.int64), "ref_all": owner > least[of]}
+            out.append({"bucket": b, "batch": batch} | {c: _squeeze(x) for c, x in packed.items()})
         return _packed(out, columns)
 
     def compare(self, frame: pd.DataFrame) -> pd.DataFrame:
@@ -269,11 +288,11 @@ class Plan:
         number: dict[bytes, int] = {}
         of_row, n_all, ids_all = [], [], []
         for raw, n in zip(frame["bytes"], frame["n"], strict=True):
-            n = np.frombuffer(n, np.int32)
+            raw, n = _unsqueeze(raw), np.frombuffer(_unsqueeze(n), np.int32)
             stops = np.cumsum(n + (self.length - 1)).tolist()
             of_row.append(np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip([0, *stops[:-1]], stops, strict=True)]))
             n_all.append(n)
-        of, ids = np.concatenate(of_row), np.concatenate([np.frombuffer(x, np.int64) for x in frame["id"]])
+        of, ids = np.concatenate(of_row), np.concatenate([np.frombuffer(_unsqueeze(x), np.int64) for x in frame["id"]])
         least, n = np.full(len(number), _LAST_ID), np.zeros(len(number), np.int64)
         np.minimum.at(least, of, ids)
         n[of] = np.concatenate(n_all)
@@ -284,10 +303,10 @@ class Plan:
         for r, mine in zip(frame.itertuples(index=False), of_row, strict=True):
             own = ids[at : at + len(mine)]
             at += len(mine)
-            ref_of = np.frombuffer(r.ref_of, np.int32)
+            ref_of = np.frombuffer(_unsqueeze(r.ref_of), np.int32)
             run = mine[ref_of]
-            whole = np.frombuffer(r.ref_all, bool) | (own[ref_of] > least[run])
-            row, start = np.frombuffer(r.ref_row, np.int32), np.frombuffer(r.ref_start, np.int64)
+            whole = np.frombuffer(_unsqueeze(r.ref_all), bool) | (own[ref_of] > least[run])
+            row, start = np.frombuffer(_unsqueeze(r.ref_row), np.int32), np.frombuffer(_unsqueeze(r.ref_start), np.int64)
             part = np.nonzero(~whole & some[run])[0]  # the only places to look at string by string
             size = n[run[part]]
             within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
@@ -313,11 +332,11 @@ class Plan:
         new = np.nonzero(np.concatenate([[True], leads[order][1:] != leads[order][:-1]]))[0]
         first = np.cumsum(n) - n
         out = np.zeros(int(n.sum()), bool)
-        for lo, hi in slices(np.add.reduceat(n[order], new), 400_000):
+        for lo, hi in slices(np.add.reduceat(n[order], new), SORTED):
             part = order[new[lo] : new[hi] if hi < len(new) else len(order)]
             size = n[part]
             within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            strings = words_of(data[(np.repeat(begin[part], size) + within)[:, None] + np.arange(self.length)])
+            strings = words_of(_strings(data, np.repeat(begin[part], size) + within, self.length))
             owner = np.repeat(least[part], size)
             place = np.repeat(first[part], size) + within
             sorted_ = multikey_order(strings)
