@@ -195,21 +195,22 @@ class Items:
             pos = np.repeat(pos, times)
             who, start = item[entry], pos - offset[entry]
             text = np.searchsorted(ends, pos)
-            found += self._windows(text, who, start - (ends - sizes)[text])
+            found += self._windows(text, who, start - (ends - sizes)[text], offset[entry])
         if not found:
             return []
         return self._verified(batch, self._near(batch, found))
 
-    def _windows(self, text: np.ndarray, who: np.ndarray, start: np.ndarray) -> list[tuple[int, int, int]]:
-        """Starts of windows on bands of diagonals that hold enough of the item's grams."""
+    def _windows(self, text: np.ndarray, who: np.ndarray, start: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int]]:
+        """Starts of windows on bands of diagonals that hold enough of the item's grams: the
+        diagonal with most of them, and that of the first one (insertions later on don't shift it)."""
         step = 2 * self.d[who] + 1
         shifted = start + (1 << 40)  # starts may lie before the text
         out = []
         for half in (0, 1):
             band = (shifted // step + half) // 2
-            key = np.stack([text, who, band, start])
+            key = np.stack([text, who, band, offset, start])
             order = np.lexsort(key[::-1])
-            text_, who_, band_, start_ = key[:, order]
+            text_, who_, band_, _, start_ = key[:, order]
             if not len(order):
                 continue
             new = np.concatenate([[True], (text_[1:] != text_[:-1]) | (who_[1:] != who_[:-1]) | (band_[1:] != band_[:-1])])
@@ -217,7 +218,7 @@ class Items:
             n = np.diff(np.append(cut, len(order)))
             for c, k in zip(cut[n >= self.least[who_[cut]]].tolist(), n[n >= self.least[who_[cut]]].tolist(), strict=True):
                 starts, times = np.unique(start_[c : c + k], return_counts=True)
-                out.append((int(text_[c]), int(who_[c]), int(starts[times.argmax()])))
+                out += [(int(text_[c]), int(who_[c]), s) for s in {int(starts[times.argmax()]), int(start_[c])}]
         return out
 
     def _near(self, batch: list[str], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -190,7 +190,7 @@ def marked_labels(page: Page) -> list[int] | None:
 # Pseudo-counts of (child's kind, parent's label, child's label): what the sample need not show.
 _PRIOR = np.array(
     [
-        [[40, 2, 2], [1, 97, 2], [0.001, 0.001, 100]],
+        [[960, 20, 20], [1, 998, 1], [0.001, 0.001, 1000]],
         [[1, 98, 1], [1, 98, 1], [0.001, 0.001, 100]],
         [[0.5, 0.5, 99], [0.5, 0.5, 99], [0.001, 0.001, 100]],
     ]

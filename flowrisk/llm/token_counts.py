@@ -122,14 +122,14 @@ class CountedText:
         size = self.tree.total[0]
         position = min(max(position, 0), size)
         removed = min(max(removed, 0), size - position)
-        # back up to a leaf with a pre-token that ends, and looks ahead, before the edit
+        # back up to a leaf whose first pre-token ends before the edit, with the two characters that white space looks ahead
         first, start = self.tree.find(max(0, position - 1)) if size else (0, 0)
-        while first > 0 and not (self.leaves[first] and start + len(self.leaves[first][0]) < position):
+        while first > 0 and not (self.leaves[first] and start + len(self.leaves[first][0]) + 1 < position):
             first -= 1
             start -= self.tree.sums[first + self.tree.size][0]
         pieces = self.leaves[first]
         kept, at = 0, start
-        while kept < len(pieces) and at + len(pieces[kept]) < position:
+        while kept < len(pieces) and at + len(pieces[kept]) + 1 < position:
             at += len(pieces[kept])
             kept += 1
         # the text from there on, as far as needed; leaves are taken until the cuts meet
@@ -182,7 +182,7 @@ _EDIT = "array<struct<step:bigint,position:bigint,removed:bigint,inserted:string
 def with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) with the array ``edits`` of each document's edits in order."""
     listed = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("edit_id")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("step").cast("long"), F.col("position").cast("long"), F.col("removed").cast("long"), F.col("inserted").cast("string")))).alias("edits")
+        F.sort_array(F.collect_list(F.struct(*[F.col(c).cast(k).alias(c) for c, k in (("step", "long"), ("position", "long"), ("removed", "long"), ("inserted", "string"))]))).alias("edits")
     )
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(listed, F.col("doc_id") == F.col("edit_id"), "left").drop("edit_id")
 

@@ -31,8 +31,8 @@ from flowrisk.llm.common import byte_sizes, rows, settled, slices, texts
 
 #: Bound on the labelled rows that the lexicon and the curve are learned from.
 SAMPLE_ROWS = 20_000
-#: Bound on the lexicon, and the least likelihood ratio statistic of a term.
-MAX_TERMS, LEAST_G2 = 5_000, 25.0
+#: Bound on the lexicon.
+MAX_TERMS = 5_000
 THRESHOLD = 0.3
 
 # Letters of other scripts and signs that look like Latin letters, and the letters they stand for.
@@ -165,9 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
         return Lexicon({}, phrases, [math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0, 0.0])
     a, b = F.col("a"), F.col("b")
     odds = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
+    counted = settled(_counted(sample, lambda words: words).where("a + b >= 3"))
+    # the statistic that one of so many terms reaches by chance
+    least = 2 * math.log(max(2, counted.count()))
     terms = (
-        _counted(sample, lambda words: words).where(a / n1 > 2 * b / n0).withColumn("weight", odds).withColumn("g2", _g2(a, b, float(n1), float(n0)))
-        .where(F.col("g2") >= LEAST_G2).orderBy(F.col("g2").desc(), "unit").limit(MAX_TERMS).collect()
+        counted.where(a / n1 > 2 * b / n0).withColumn("weight", odds).withColumn("g2", _g2(a, b, float(n1), float(n0)))
+        .where(F.col("g2") >= least).orderBy(F.col("g2").desc(), "unit").limit(MAX_TERMS).collect()
     )
     lexicon = Lexicon({r["unit"]: float(r["weight"]) for r in terms}, phrases)
     weights = lexicon.weights
@@ -178,12 +181,12 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ex
     # a phrase around a lexicon word that is found among other texts, as often as among all or more
     harmless = _counted(sample, pairs).where((b >= 5) & (a / n1 <= b / n0)).orderBy(b.desc(), "unit").limit(MAX_TERMS).collect()
     lexicon.exceptions = sorted({*phrases, *(r["unit"] for r in harmless)})
-    got = _featured(sample, lexicon, ["toxic"]).select("toxic", "x").collect()
+    got = _featured(sample, lexicon, ["toxic"], "x").select("toxic", "x").collect()
     lexicon.curve = _fit(np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], dtype=float))
     return lexicon
 
 
-def _featured(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> DataFrame:
+def _featured(docs: DataFrame, lexicon: Lexicon, columns: list[str], feature: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     kept = docs.select(*columns, "text")
     from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -193,14 +196,16 @@ def _featured(docs: DataFrame, lexicon: Lexicon, columns: list[str]) -> DataFram
         automaton = lex.automaton()
         for b in batches:
             x = [lex.features(fold(t), automaton) for t in texts(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(x, type=pa.list_(pa.float64()))], names=[*columns, "x"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(x, type=pa.list_(pa.float64()))], names=[*columns, feature])
 
-    return kept.mapInArrow(run, StructType([*kept.drop("text").schema.fields, StructField("x", ArrayType(DoubleType()))]))
+    return kept.mapInArrow(run, StructType([*kept.drop("text").schema.fields, StructField(feature, ArrayType(DoubleType()))]))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, columns: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """The given columns of ``docs`` with score (0 to 1) and predicted (1 from ``threshold`` on)."""
+    feature = next(f"features{i or ''}" for i in range(len(columns) + 1) if f"features{i or ''}" not in columns)
     c = lexicon.curve
-    z = sum((F.lit(float(w)) * F.col("x")[i] for i, w in enumerate(c[1:])), F.lit(float(c[0])))
-    out = _featured(docs, lexicon, columns).withColumn("score", 1.0 / (1.0 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0)))))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("x")
+    z = sum((F.lit(float(w)) * F.col(feature)[i] for i, w in enumerate(c[1:])), F.lit(float(c[0])))
+    kept = [c for c in columns if c not in ("score", "predicted")]
+    likely = 1.0 / (1.0 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0))))
+    return _featured(docs, lexicon, kept, feature).select(*kept, likely.alias("score"), (likely >= threshold).cast("int").alias("predicted"))

@@ -1,0 +1,86 @@
+import hashlib
+
+import numpy as np
+import pytest
+import regex
+import tiktoken
+from conftest import SF_SMALL
+from flowrisk.llm import token_counts
+from flowrisk.llm.queries import all_queries
+
+pieces = regex.compile(token_counts.PATTERN)
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    return token_counts._encoder(token_counts.VOCABULARY)
+
+
+@pytest.fixture(scope="module")
+def whole():
+    import base64
+
+    with open(token_counts.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("x", pat_str=token_counts.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def change(text, position, removed, inserted):
+    position = min(max(position, 0), len(text))
+    return text[:position] + inserted + text[min(len(text), position + max(removed, 0)) :]
+
+
+def test_random_edits_equal_recounts(encoder, whole):
+    rng = np.random.default_rng(1)
+    alphabet = list("ab  \n\t.,'12é日😀") + ["'ll", "   ", " the", "\r\n"]
+    for case in range(150):
+        text = "".join(rng.choice(alphabet, int(rng.integers(0, 600))))
+        counted = token_counts.CountedText(text, *encoder)
+        for _ in range(8):
+            edit = int(rng.integers(-2, len(text) + 4)), int(rng.integers(0, 90)) * int(rng.integers(0, 2)), "".join(rng.choice(alphabet, int(rng.integers(0, 12))))
+            text = change(text, *edit)
+            counted.edit(*edit)
+            assert counted.text() == text, case
+            assert [p for leaf in counted.leaves for p in leaf] == pieces.findall(text), case
+            assert counted.tokens == len(whole.encode_ordinary(text)), case
+            assert counted.tree.total[0] == len(text)
+
+
+def test_only_the_touched_region_is_encoded(encoder):
+    counted = token_counts.CountedText("word and more words, " * 5000, *encoder)
+    before = counted.encoded
+    counted.edit(50_000, 10, "something else")
+    counted.edit(70_000, 0, " x")
+    assert counted.encoded - before < 20
+
+
+def test_tree_sums():
+    tree = token_counts.SegmentTree([(3, 1), (0, 0), (5, 2)])
+    assert tree.total == (8, 3)
+    assert [tree.find(p) for p in (0, 2, 3, 7, 50)] == [(0, 0), (0, 0), (2, 3), (2, 3), (2, 3)]
+    tree.put(1, (4, 4))
+    assert tree.total == (12, 7) and tree.find(3) == (1, 3)
+
+
+def test_rows_with_edits(spark, whole):
+    docs = [(1, "hello there, world"), (2, None), (3, ""), (None, "no id"), (1, "same id, other text"), (5, "z " * 100_000)]
+    edits = [(1, 5, 6, " you", 1), (1, 0, None, "Oh, ", 2), (2, None, None, "new", 1), (5, 10**9, 5, "end", 1), (9, 1, 1, "x", 1), (None, 0, 0, "y", 1), (3, 2, 2, None, 1)]
+    d = spark.createDataFrame([(*r, "a", "b") for r in docs], "doc_id long, text string, edits string, n_tokens string").drop("edits")
+    e = spark.createDataFrame(edits, "doc_id long, position long, removed long, inserted string, step int")
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["edited_tokens"], r["edited_sha256"]) for r in token_counts.counts(token_counts.with_edits(d, e)).collect())
+    want = []
+    for doc, text in docs:
+        new = text or ""
+        for _, p, k, ins, _ in sorted((x for x in edits if x[0] == doc and doc is not None), key=lambda x: x[4]):
+            new = change(new, p or 0, k or 0, ins or "")
+        want.append((str(doc), len(whole.encode_ordinary(text or "")), len(whole.encode_ordinary(new)), hashlib.sha256(new.encode()).hexdigest()))
+    assert got == sorted(want)
+    assert token_counts.counts(token_counts.with_edits(d.limit(0), e)).count() == 0
+    assert token_counts.counts(token_counts.with_edits(d, e.limit(0))).where("n_tokens <> edited_tokens or reencoded > 0").count() == 0
+
+
+def test_query_counts_whole_texts(spark, whole):
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
+    got = all_queries()["op9_token_counts"](spark, SF_SMALL).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in got} == {d: len(whole.encode_ordinary(t)) for d, t in texts.items()}
+    assert all(r["reencoded"] <= 80 for r in got)
