@@ -203,22 +203,25 @@ class Items:
     def _windows(self, text: np.ndarray, who: np.ndarray, start: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int]]:
         """Starts of windows on bands of diagonals that hold enough of the item's grams: the
         diagonal with most of them, and that of the first one (insertions later on don't shift it)."""
+        out: list[tuple[int, int, int]] = []
+        if not len(text):
+            return out
         step = 2 * self.d[who] + 1
-        shifted = start + (1 << 40)  # starts may lie before the text
-        out = []
+        diagonal = (start - start.min()) // step  # starts may lie before the text
         for half in (0, 1):
-            band = (shifted // step + half) // 2
-            key = np.stack([text, who, band, offset, start])
-            order = np.lexsort(key[::-1])
-            text_, who_, band_, _, start_ = key[:, order]
-            if not len(order):
+            band = (diagonal + half) // 2
+            key = (text * len(self.n) + who) * (int(band.max()) + 1) + band
+            keys, n = np.unique(key, return_counts=True)
+            full = keys[n >= self.least[keys // (int(band.max()) + 1) % len(self.n)]]
+            if not len(full):
                 continue
-            new = np.concatenate([[True], (text_[1:] != text_[:-1]) | (who_[1:] != who_[:-1]) | (band_[1:] != band_[:-1])])
-            cut = np.nonzero(new)[0]
-            n = np.diff(np.append(cut, len(order)))
-            for c, k in zip(cut[n >= self.least[who_[cut]]].tolist(), n[n >= self.least[who_[cut]]].tolist(), strict=True):
-                starts, times = np.unique(start_[c : c + k], return_counts=True)
-                out += [(int(text_[c]), int(who_[c]), s) for s in {int(starts[times.argmax()]), int(start_[c])}]
+            held = np.nonzero(full[np.minimum(np.searchsorted(full, key), len(full) - 1)] == key)[0]
+            held = held[np.lexsort((offset[held], key[held]))]
+            cuts = np.nonzero(np.concatenate([[True], key[held][1:] != key[held][:-1], [True]]))[0]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                starts, times = np.unique(start[held[a:b]], return_counts=True)
+                first = held[a]
+                out += [(int(text[first]), int(who[first]), s) for s in {int(starts[times.argmax()]), int(start[first])}]
         return out
 
     def _near(self, batch: list[str], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
