@@ -139,11 +139,14 @@ def epoch_key_time(
 ) -> Column:
     """Alert key ``<prefix><epoch>`` -> timestamp; seconds or milliseconds by magnitude.
 
-    A key whose suffix is not an integer gets ``fallback`` (the caller's ``as_of``).
+    A key whose suffix is not an integer, or lies outside the years 1 to 9999,
+    gets ``fallback`` (the caller's ``as_of``).
     """
     k = col(key)
     suffix = F.when(k.startswith(prefix), F.substring(k, len(prefix) + 1, 1 << 20)).otherwise(k)
     n = suffix.try_cast("bigint")
+    # seconds of the years 1 and 9999; a key beyond would overflow the conversion
+    n = F.when((n >= S.EPOCH_SECONDS_RANGE[0]) & (n <= S.EPOCH_SECONDS_RANGE[1] * 1000), n)
     ts = F.when(n > S.EPOCH_MS_THRESHOLD, F.timestamp_millis(n)).otherwise(F.timestamp_seconds(n))
     return ts if fallback is None else F.coalesce(ts, fallback)
 

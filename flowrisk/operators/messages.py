@@ -35,15 +35,20 @@ def to_messages(df: DataFrame, value_cols: list[str], key: Column | str = "kafka
     return out.limit(max_rows) if max_rows and max_rows > 0 else out
 
 
-def parse_messages(messages: DataFrame, schema: StructType = S.FLOW_SCHEMA) -> DataFrame:
-    """(key, value, timestamp) -> kafka_key, kafka_timestamp, declared columns, is_corrupt."""
+def parse_messages(messages: DataFrame, schema: StructType = S.FLOW_SCHEMA, keep_value: bool = False) -> DataFrame:
+    """(key, value, timestamp) -> kafka_key, kafka_timestamp, declared columns, is_corrupt.
+
+    With ``keep_value`` a corrupt message's text comes along as ``corrupt_value``
+    (null for good ones), so a quarantine can keep it."""
     v = F.col("value").cast("string")
+    bad = F.from_json(v, "map<string,string>", JSON_OPTS).isNull()
     return messages.select(
         F.col("key").cast("string").alias("kafka_key"),
         F.col("timestamp").alias("kafka_timestamp"),
         F.from_json(v, schema, JSON_OPTS).alias("data"),
-        F.from_json(v, "map<string,string>", JSON_OPTS).isNull().alias("is_corrupt"),
-    ).select("kafka_key", "kafka_timestamp", "data.*", "is_corrupt")
+        bad.alias("is_corrupt"),
+        *([F.when(bad, v).alias("corrupt_value")] if keep_value else []),
+    ).select("kafka_key", "kafka_timestamp", "data.*", "is_corrupt", *(["corrupt_value"] if keep_value else []))
 
 
 def label_histogram(parsed: DataFrame, label_col: str = "Label", max_messages: int = 0) -> DataFrame:
@@ -176,7 +181,7 @@ def validate_requests(requests: DataFrame, body_col: str = "body") -> DataFrame:
         sensor.alias("sensor_id"),
         et.alias("event_time"),
         ip.alias("source_ip"),
-        port.cast("int").alias("destination_port"),
+        port.try_cast("int").alias("destination_port"),
         dur.alias("flow_duration"),
         label.alias("label"),
         F.coalesce(F.col("r.metadata"), F.create_map().cast("map<string,string>")).alias("metadata"),

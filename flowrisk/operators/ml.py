@@ -125,10 +125,6 @@ def indexer_labels(pipeline_model: PipelineModel) -> list[str]:
     return []
 
 
-def load_label_map(path: str) -> dict[float, str]:
-    return {float(i): name for i, name in enumerate(StringIndexerModel.load(path).labels)}
-
-
 def load_models(feature_path: str, primary_path: str, fallback_path: str, label_path: str | None = None) -> ModelBundle:
     """Primary classifier (cross-validated) -> cross-validated forest -> bare best forest -> error."""
     pipe = PipelineModel.load(feature_path)

@@ -154,9 +154,8 @@ def q_stream_ingest(spark, sf_dir):
 
 @register("stream_progress")
 def q_stream_progress(spark, sf_dir):
-    """Ingest counters per micro-batch (published/consumed rows, rates)."""
-    q, _ = _ingest(spark, sf_dir)
-    return SP.progress_frame(spark, q)
+    """Counters of every micro-batch of the stream, from its batch log."""
+    return SP.progress_frame(spark, run_stream(spark, sf_dir))
 
 
 @register("stream_pipeline")

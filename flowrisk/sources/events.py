@@ -30,39 +30,17 @@ def _type_label(col_name: str):
     return F.expr(f"try_element_at({X.map_sql(labels)}, {X.sql_name(col_name)})")
 
 
-# Scan split counts by plan: (semantic hash of the scan plan, split size, cores) -> splits.
-_SCAN_SPLITS: dict[tuple, int] = {}
-
-
-def spread(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the cluster has cores.
-
-    A large table already has thousands of splits and is returned as is; a
-    small one stored as a single row group would otherwise run every per-row
-    expression (JSON, string building) in one task. The split count comes
-    from planning the scan (an integer computed in the JVM; the file list never
-    reaches Python) and is remembered per plan, so later queries over the same
-    input skip the planning pass.
-    """
-    spark = spark or df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    key = (df.semanticHash(), spark.conf.get("spark.sql.files.maxPartitionBytes"), cores)
-    splits = _SCAN_SPLITS.get(key)
-    if splits is None:
-        splits = _SCAN_SPLITS[key] = df.rdd.getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
-
-
 def flows_from_events(events: DataFrame, extra: list | None = None) -> DataFrame:
-    """Envelope + flow fields for each event (two projections around ``spread``).
+    """Envelope + flow fields for each event (two projections; no shuffle: how a scan
+    is split is left to ``spark.sql.files.maxPartitionBytes``).
 
     ``events`` must be the Parquet scan itself (the key uses ``_metadata.file_name``);
     ``extra`` columns of the scan are carried along.
     """
-    scan = spread(events.select(
+    scan = events.select(
         F.col("_metadata.file_name").alias("_file_name"), "event_id", "ts", "user_id", "event_type", "value", "props",
         *(extra or []),
-    ))
+    )
     idx = _type_index("event_type")
     port = (F.col("user_id") * 37 % 65536).cast("int")
     kafka_ts = F.col("ts").cast("timestamp")
@@ -106,8 +84,3 @@ def load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_flows_from_events(load_flows(spark, sf_dir))
-
-
-def as_of(spark: SparkSession, sf_dir: str):
-    """Reference time of the data set: ``max(ts)`` (a one-row aggregate, run once)."""
-    return read_table(spark, sf_dir, "events").agg(F.max("ts").cast("timestamp").alias("m")).first()["m"]

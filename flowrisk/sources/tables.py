@@ -3,11 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
-
-# Input schemas by path. Only the schema is kept (files are listed again on every
-# read, so new part files are seen); it saves a footer read per query plan.
-_SCHEMAS: dict[str, StructType] = {}
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -15,24 +10,6 @@ def table_path(sf_dir: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan one input table; column pruning and filters reach the Parquet reader."""
-    path = table_path(sf_dir, name)
-    schema = _SCHEMAS.get(path)
-    if schema is None:
-        df = spark.read.parquet(path)
-        _SCHEMAS[path] = df.schema
-        return df
-    return spark.read.schema(schema).parquet(path)
-
-
-def clear_schema_cache() -> None:
-    _SCHEMAS.clear()
-
-
-def scan_parquet_dir(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Scan every part file under ``path`` as one relation (part files are combined
-    by the scan itself), with the declared schema when one is given."""
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(path)
+    """Scan one input table; column pruning and filters reach the Parquet reader.
+    The schema is that of the files at the time of the read."""
+    return spark.read.parquet(table_path(sf_dir, name))

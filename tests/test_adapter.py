@@ -27,12 +27,13 @@ def test_event_time_key_collisions(spark):
     assert f.select("source_ip").distinct().count() == 150
 
 
-def test_spread_remembers_split_counts_per_scan_plan(spark):
-    EV._SCAN_SPLITS.clear()
-    a1 = EV.load_flows(spark, SF_SMALL)
-    a2 = EV.load_flows(spark, SF_SMALL)
-    assert len(EV._SCAN_SPLITS) == 1  # the same scan plan is planned once
-    EV.load_flows(spark, SF_CHECK)
-    assert len(EV._SCAN_SPLITS) == 2  # another input is its own entry
-    cores = spark.sparkContext.defaultParallelism
-    assert a1.rdd.getNumPartitions() == a2.rdd.getNumPartitions() == cores  # single-split inputs are spread
+def test_adapter_plans_have_no_shuffle_and_see_new_columns(spark, tmp_path):
+    plan = EV.load_flows(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    from flowrisk.sources.tables import read_table
+
+    one = spark.range(3).selectExpr("id as a")
+    one.write.parquet(str(tmp_path / "t.parquet"))
+    assert read_table(spark, str(tmp_path), "t").columns == ["a"]
+    one.selectExpr("a", "a as b").write.mode("overwrite").parquet(str(tmp_path / "t.parquet"))
+    assert read_table(spark, str(tmp_path), "t").columns == ["a", "b"]

@@ -139,10 +139,57 @@ def test_malformed_messages_go_to_quarantine(spark):
     batch = SP.parsed_flows(good.unionByName(bad))
     SP.BatchProcessor(sinks, scorer)(batch, 0)
     q = spark.read.parquet(sinks.quarantine)
-    assert sorted(r.kafka_key for r in q.collect()) == ["bad-1", "bad-2"]
+    assert sorted((r.kafka_key, r.corrupt_value) for r in q.collect()) == [("bad-1", "{not json"), ("bad-2", "[1,")]
     assert spark.read.parquet(sinks.predictions).count() == good.count()
 
 
+def test_messages_without_a_key_are_no_duplicates(spark):
+    root = scratch_path(spark, "t-nullkeys")
+    msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE).limit(20)
+    unkeyed = msgs.limit(10).withColumn("key", F.lit(None).cast("string"))
+    msgs.unionByName(msgs).unionByName(unkeyed).coalesce(1).write.parquet(f"{root}/source")
+    sinks = SP.Sinks(f"{root}/tables")
+    flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source"), dedup_watermark="60 days")
+    q = SP.start(flows, SP.BatchProcessor(sinks, scorer), f"{root}/checkpoint", available_now=True)
+    q.awaitTermination()
+    preds = spark.read.parquet(sinks.predictions)
+    assert preds.filter("kafka_key is null").count() == 10
+    assert preds.count() == preds.select("kafka_key").distinct().count() + 9
+
+
+def test_an_empty_rewrite_empties_its_epoch(spark):
+    root = scratch_path(spark, "t-empty")
+    sinks = SP.Sinks(f"{root}/tables")
+    batch = SP.parsed_flows(to_messages(EV.load_flows(spark, SF_SMALL), WIRE))
+    SP.BatchProcessor(sinks, scorer)(batch, 0)
+    assert spark.read.parquet(sinks.alerts).count() > 0
+    SP.BatchProcessor(sinks, scorer, threshold=101.0)(batch, 0)  # the replay raises no alert
+    assert spark.read.parquet(sinks.alerts).count() == 0
+    assert spark.read.parquet(sinks.alert_messages).count() == 0
+    assert spark.read.parquet(sinks.predictions).count() == batch.count()
+    SP.BatchProcessor(sinks, scorer)(batch.limit(0), 0)
+    assert spark.read.parquet(sinks.predictions).count() == 0
+
+
+def test_a_new_checkpoint_keeps_the_history(spark):
+    root = scratch_path(spark, "t-checkpoints")
+    n = write_parts(spark, root, parts=2)
+    sinks = SP.Sinks(f"{root}/tables")
+    for checkpoint in ("one", "two"):  # the second stream reads everything again
+        stream = SP.file_stream(spark, f"{root}/source", max_files_per_trigger=1)
+        q = SP.start(SP.parsed_flows(stream), SP.BatchProcessor(sinks, scorer), f"{root}/{checkpoint}", available_now=True)
+        q.awaitTermination()
+        assert q.exception() is None
+    preds = spark.read.parquet(sinks.predictions)
+    assert preds.count() == 2 * n
+    assert sorted(r.epoch_id for r in preds.select("epoch_id").distinct().collect()) == [0, 1, 2, 3]
+    assert SP.progress_frame(spark, sinks).agg(F.sum("input_rows")).first()[0] == 2 * n
+
+
+def test_topic_reads_are_bounded():
+    assert SP.kafka_options("b:9092", "flows", "earliest", 500)["maxOffsetsPerTrigger"] == "500"
+
+
 def _batches(spark, root, source, per):
     out = f"{root}/out"
     stream = SP.file_stream(spark, source, max_files_per_trigger=per)

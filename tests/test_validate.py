@@ -54,3 +54,21 @@ def test_rules(spark):
     assert "malformed body" in reasons(14)
     assert set(reasons(15)) >= {"event_time required", "source_ip required", "destination_port required",
                                 "flow_duration required"}
+
+
+def test_huge_ports_and_keys_do_not_abort(spark):
+    from pyspark.sql import functions as F
+
+    from flowrisk.operators import alerts as AL
+    from flowrisk.operators import messages as MS
+
+    body = '{"sensor_id": "s", "event_time": "2024-01-01T00:00:00", "source_ip": "10.0.0.1", "destination_port": %s, "flow_duration": 1}'
+    req = spark.createDataFrame([(p, body % p) for p in ("5000000000", "80", "-5000000000")], "id string, body string")
+    got = {r["id"]: r for r in MS.validate_requests(req).collect()}
+    assert got["80"]["valid"]
+    assert got["5000000000"]["reject_reasons"] == ["destination_port above 65535"]
+    assert got["-5000000000"]["reject_reasons"] == ["destination_port below 0"]
+    now = F.lit("2024-06-01 00:00:00").cast("timestamp")
+    keys = spark.createDataFrame([("alert:9223372036854775807",), ("alert:-9223372036854775808",), ("alert:1700000000",)], "alert_key string")
+    times = [r["key_time"].year for r in AL.alert_key_time(keys, "alert_key", now).collect()]
+    assert times == [2024, 2024, 2023]
