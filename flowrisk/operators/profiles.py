@@ -4,8 +4,8 @@ A profile is an aggregate that merges associatively, so profiles of two batches
 combine into the profile of their union: counts add, the latest fields come
 from the row with the largest ``(last_seen, event_time, key)``, peaks take max.
 
-Skew: one address may carry a third of all rows. Every step is a hash
-aggregate with map-side partial aggregation, so the hot address is reduced
+Skew: one address may carry a third of all rows. Every step aggregates with
+a map-side partial aggregation (sort aggregates, as the newest row is a struct), so the hot address is reduced
 inside each task before anything is shuffled; the per-type counter map is
 built only after the rows are reduced to one per (address, type).
 """
