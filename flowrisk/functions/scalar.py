@@ -165,10 +165,6 @@ def sorted_counts_text(m: str | Column) -> Column:
     return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
 
 
-def as_of_literal(ts) -> Column:
-    return F.lit(ts).cast("timestamp")
-
-
 def counts_as_entries(m: str | Column, key_name: str = "attack_type", value_name: str = "count") -> Column:
     """A ``{name: count}`` map as a list of ``{key_name, value_name}`` structs (the
     legacy dictionary form of a breakdown turned into its list form)."""

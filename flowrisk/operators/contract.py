@@ -25,14 +25,6 @@ def features_frame(spark: SparkSession, features: list[str] = S.MODEL_FEATURES)
     return spark.createDataFrame([(f, i + 1) for i, f in enumerate(features)], "feature string, position int")
 
 
-def dataset_summary(df: DataFrame, file_col: str | None = "_metadata.file_path") -> DataFrame:
-    """Row count, column count and number of distinct source files, one pass."""
-    aggs = [F.count(F.lit(1)).alias("row_count"), F.lit(len(df.columns)).alias("column_count")]
-    if file_col:
-        aggs.append(F.count_distinct(F.col(file_col)).alias("file_count"))
-    return df.agg(*aggs)
-
-
 def null_counts(df: DataFrame, critical: list[str] = S.CRITICAL_FIELDS) -> DataFrame:
     """Null count of every column in one aggregate, unpivoted to rows."""
     names = df.columns

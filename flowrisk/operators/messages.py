@@ -39,16 +39,22 @@ def parse_messages(messages: DataFrame, schema: StructType = S.FLOW_SCHEMA, keep
     """(key, value, timestamp) -> kafka_key, kafka_timestamp, declared columns, is_corrupt.
 
     With ``keep_value`` a corrupt message's text comes along as ``corrupt_value``
-    (null for good ones), so a quarantine can keep it."""
-    v = F.col("value").cast("string")
-    bad = F.from_json(v, "map<string,string>", JSON_OPTS).isNull()
-    return messages.select(
+    (null for good ones), so a quarantine can keep it. A message is parsed once; only
+    one that gave no field at all is parsed again, to tell malformed text from a
+    record of nulls."""
+    v = F.col("_text")
+    parsed = messages.select(
         F.col("key").cast("string").alias("kafka_key"),
         F.col("timestamp").alias("kafka_timestamp"),
-        F.from_json(v, schema, JSON_OPTS).alias("data"),
-        bad.alias("is_corrupt"),
-        *([F.when(bad, v).alias("corrupt_value")] if keep_value else []),
-    ).select("kafka_key", "kafka_timestamp", "data.*", "is_corrupt", *(["corrupt_value"] if keep_value else []))
+        F.col("value").cast("string").alias("_text"),
+        F.from_json(F.col("value").cast("string"), schema, JSON_OPTS).alias("data"),
+    )
+    empty = F.coalesce(*[F.col("data")[f.name].cast("string") for f in schema.fields]).isNull()
+    bad = F.when(empty, F.from_json(v, "map<string,string>", JSON_OPTS).isNull()).otherwise(F.lit(False))
+    out = parsed.select("kafka_key", "kafka_timestamp", "data.*", bad.alias("is_corrupt"), "_text")
+    if keep_value:
+        out = out.withColumn("corrupt_value", F.when(F.col("is_corrupt"), v))
+    return out.drop("_text")
 
 
 def label_histogram(parsed: DataFrame, label_col: str = "Label", max_messages: int = 0) -> DataFrame:

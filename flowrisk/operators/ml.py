@@ -18,7 +18,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,17 +40,20 @@ CV_FOLDS = 3
 CV_SEED = 42
 
 
+def assembler(features: list[str], handle_invalid: str = "keep") -> VectorAssembler:
+    return VectorAssembler(inputCols=list(features), outputCol=RAW_FEATURES, handleInvalid=handle_invalid)
+
+
 def feature_pipeline(features: list[str] | None, label_col: str = "Label", vector_col: str | None = None,
                      handle_invalid: str = "keep") -> Pipeline:
     """Label indexer -> assembler over named columns (or a ready vector) -> scaler.
 
     ``handle_invalid``: ``keep`` turns null/NaN features into NaN, ``skip``
-    drops such rows (callers that must not lose rows route them to quarantine
-    first with :func:`invalid_feature_rows`), ``error`` fails the job.
+    drops such rows, ``error`` fails the job.
     """
     stages = [StringIndexer(inputCol=label_col, outputCol=LABEL_INDEX, handleInvalid="keep")]
     if vector_col is None:
-        stages.append(VectorAssembler(inputCols=list(features or []), outputCol=RAW_FEATURES, handleInvalid=handle_invalid))
+        stages.append(assembler(features or [], handle_invalid))
         scaled_in = RAW_FEATURES
     else:
         scaled_in = vector_col
@@ -58,15 +61,6 @@ def feature_pipeline(features: list[str] | None, label_col: str = "Label", vecto
     return Pipeline(stages=stages)
 
 
-def invalid_feature_rows(df: DataFrame, features: list[str]) -> DataFrame:
-    """Rows with a null or NaN feature (the quarantine side of ``skip``)."""
-    cond = F.lit(False)
-    for c in features:
-        x = F.col(f"`{c}`")
-        cond = cond | x.isNull() | F.isnan(x.cast("double"))
-    return df.filter(cond)
-
-
 def with_vector(df: DataFrame, array_col: str, out: str = "vec") -> DataFrame:
     return df.withColumn(out, array_to_vector(F.col(array_col).cast("array<double>")))
 
@@ -144,7 +138,3 @@ def load_models(feature_path: str, primary_path: str, fallback_path: str, label_
     except Exception as exc:  # noqa: BLE001
         raise RuntimeError("No classifier could be loaded") from exc
     return ModelBundle(pipe, clf, "random_forest", labels)
-
-
-def features_as_array(df: DataFrame) -> DataFrame:
-    return df.withColumn(FEATURES, vector_to_array(F.col(FEATURES)))

@@ -23,14 +23,17 @@ from flowrisk.streaming import pipeline as SP
 # Reference best point of the forest search (trees x depth).
 BEST_RF_TREES = 100
 BEST_RF_DEPTH = 10
-STREAM_FILES = 4
-# Upper bound on the average rows per micro-batch of the registered stream runs.
-STREAM_BATCH_ROWS = 2_000_000
+# Rows of a message file, and bytes of a micro-batch, at most.
+FILE_ROWS = 500_000
+STREAM_BATCH_BYTES = 1 << 30
 
 
 def flow_features(df: DataFrame) -> list[str]:
-    """Model features present in the flow frame (the contract lists which are missing)."""
-    return [f for f in S.MODEL_FEATURES if f in df.columns]
+    """The model's features; a frame that lacks one breaks the contract and is refused."""
+    missing = [f for f in S.MODEL_FEATURES if f not in df.columns]
+    if missing:
+        raise ValueError(f"model features missing from the flows: {missing}")
+    return list(S.MODEL_FEATURES)
 
 
 def train_flow_model(spark: SparkSession, sf_dir: str, root: str) -> ML.ModelBundle:
@@ -57,6 +60,15 @@ def q_feature_vectors(spark, sf_dir):
     return out.select("kafka_key", ML.LABEL_INDEX, vector_to_array(ML.FEATURES).alias("features"))
 
 
+@register("feature_values")
+def q_feature_values(spark, sf_dir):
+    """The model's features as the assembler packs them (before scaling), unpacked by name."""
+    flows = EV.load_flows(spark, sf_dir).drop("label_index")
+    feats = flow_features(flows)
+    raw = ML.assembler(feats).transform(flows).select("kafka_key", vector_to_array(ML.RAW_FEATURES).alias("v"))
+    return raw.select("kafka_key", *[F.col("v")[i].alias(f) for i, f in enumerate(feats)])
+
+
 def _embedding_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     return ML.with_vector(e, "embedding", "vec").withColumn("label_name", F.col("label").cast("string"))
@@ -110,36 +122,64 @@ def q_score_flows(spark, sf_dir):
     return scored.select("kafka_key", "source_ip", "Label", "predicted_attack", "confidence", "model_name", "risk_score")
 
 
-def _write_messages(spark: SparkSession, sf_dir: str, path: str, copies: int = 1) -> tuple[str, int]:
-    """Publish every flow as messages in consecutive event-time ranges (at
-    least ``STREAM_FILES``, more as the input grows; one micro-batch each, in
-    event-time order); returns the stream's source path and its
-    ``maxFilesPerTrigger``."""
+def _write_messages(spark: SparkSession, sf_dir: str, path: str, copies: int = 1) -> str:
+    """Write every flow as messages into a plain folder; ``copies`` > 1 delivers them again,
+    as an at-least-once source does. Returns the watermark that covers the folder: its span
+    of message times, so that files may be read in any order and no message counts as late."""
     msgs = to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS)
-    return SP.publish_in_ranges(msgs, path, spark.sparkContext.defaultParallelism, min_ranges=STREAM_FILES,
-                                max_rows_per_range=STREAM_BATCH_ROWS, copies=copies)
+    for _ in range(copies):
+        msgs.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    t = F.unix_seconds("timestamp")
+    span = spark.read.parquet(path).agg((F.max(t) - F.min(t)).alias("s")).first()["s"]
+    return f"{int(span or 0) + 1} seconds"
 
 
-def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, copies: int = 1) -> SP.Sinks:
+def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, copies: int = 1, scorer=None, clock=None) -> SP.Sinks:
+    """The job over all flows as messages; scored by ``scorer`` if given, else by a forest trained on the flows."""
     root = scratch_path(spark, "stream")
-    src = f"{root}/source"
-    source, per_batch = _write_messages(spark, sf_dir, src, copies)
-    bundle = train_flow_model(spark, sf_dir, f"{root}/models")
+    span = _write_messages(spark, sf_dir, f"{root}/source", copies)
+    scorer = scorer or train_flow_model(spark, sf_dir, f"{root}/models").score
     sinks = SP.Sinks(f"{root}/tables")
-    stream = SP.file_stream(spark, source, max_files_per_trigger=per_batch)
-    flows = SP.parsed_flows(stream, dedup_watermark="24 hours" if dedup else None)
-    q = SP.start(flows, SP.BatchProcessor(sinks, bundle.score), f"{root}/checkpoint", available_now=True)
+    stream = SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=STREAM_BATCH_BYTES)
+    flows = SP.parsed_flows(stream, dedup_watermark=span if dedup else None)
+    q = SP.start(flows, SP.BatchProcessor(sinks, scorer, clock=clock), f"{root}/checkpoint", available_now=True)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return sinks
 
 
+def _run_checked(spark: SparkSession, sf_dir: str, **options) -> SP.Sinks:
+    """The job with the fixed scorer of the wire fields and the message time as its clock, so SQL can restate it."""
+    return run_stream(spark, sf_dir, scorer=EV.score_wire_flows, clock=lambda: F.col("kafka_timestamp"), **options)
+
+
+@register("stream_scored")
+def q_stream_scored(spark, sf_dir):
+    """The predictions table after the stream."""
+    preds = spark.read.parquet(_run_checked(spark, sf_dir).predictions)
+    return preds.select("kafka_key", "source_ip", "predicted_attack", "confidence", "risk_score", "sensor_id", "created_at")
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    """The alerts table after the stream."""
+    return spark.read.parquet(_run_checked(spark, sf_dir).alerts).drop("epoch_id")
+
+
+@register("stream_attackers")
+def q_stream_attackers(spark, sf_dir):
+    """Attacker profiles read back from the stream's deltas."""
+    from flowrisk.operators.profiles import profiles_for_check
+
+    return profiles_for_check(SP.read_profiles(spark, _run_checked(spark, sf_dir)))
+
+
 def _ingest(spark, sf_dir):
     root = scratch_path(spark, "ingest")
-    source, per_batch = _write_messages(spark, sf_dir, f"{root}/source")
+    _write_messages(spark, sf_dir, f"{root}/source")
     out = f"{root}/flows"
-    flows = SP.parsed_flows(SP.file_stream(spark, source, max_files_per_trigger=per_batch))
+    flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=STREAM_BATCH_BYTES))
     q = (flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -155,7 +195,7 @@ def q_stream_ingest(spark, sf_dir):
 @register("stream_progress")
 def q_stream_progress(spark, sf_dir):
     """Counters of every micro-batch of the stream, from its batch log."""
-    return SP.progress_frame(spark, run_stream(spark, sf_dir))
+    return SP.progress_frame(spark, _run_checked(spark, sf_dir))
 
 
 @register("stream_pipeline")
@@ -168,7 +208,7 @@ def q_stream_pipeline(spark, sf_dir):
 def q_stream_profiles(spark, sf_dir):
     """Profiles after the stream: all but the last epoch compacted into a
     snapshot, read back merged with the last epoch's delta."""
-    sinks = run_stream(spark, sf_dir)
+    sinks = _run_checked(spark, sf_dir)
     from flowrisk.operators.profiles import profiles_for_check
 
     last = spark.read.parquet(sinks.batch_log).agg(F.max("epoch_id").alias("e")).first()["e"]
@@ -179,5 +219,5 @@ def q_stream_profiles(spark, sf_dir):
 
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
-    sinks = run_stream(spark, sf_dir, dedup=True, copies=2)
+    sinks = _run_checked(spark, sf_dir, dedup=True, copies=2)
     return spark.read.parquet(sinks.predictions).select("kafka_key", "predicted_attack", "risk_score")

@@ -6,6 +6,28 @@ statement re-derives the flow adapter with the fixed formulas.
 
 from __future__ import annotations
 
+from flowrisk.schema import FLOW_COLUMNS, MODEL_FEATURES
+
+_DUCK_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
+
+
+def _q(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _lit(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _derived(i: int, name: str, kind: str) -> str:
+    """Column ``i`` of the flow record (the formula of sources/events.py)."""
+    n = f"(event_id * {2 * i + 3} + user_id * {i + 1}) % {1000 + 7 * i}"
+    v = f"CAST({n} AS DOUBLE) / 8" if kind == "double" else f"CAST({n} AS {_DUCK_TYPE[kind]})"
+    return f"CASE WHEN event_id % 97 <> 0 THEN {v} END" if name == "Idle Std" else v
+
+
+_DERIVED = [(i, n, t) for i, (n, t) in enumerate(FLOW_COLUMNS) if n not in ("Destination Port", "Flow Duration", "Label")]
+
 # Flow adapter: events -> envelope + flow fields (same formulas as sources/events.py).
 FLOWS = """
 flows AS (
@@ -21,7 +43,8 @@ flows AS (
     CAST(json_extract_string(props, '$.k') AS INTEGER) AS k,
     'sensor-0' || CAST(user_id % 3 + 1 AS VARCHAR) AS sensor_id,
     date_trunc('minute', CAST(ts AS TIMESTAMP)) AS event_time,
-    '10.0.' || CAST(CAST(user_id * 37 % 65536 AS INTEGER) % 250 + 1 AS VARCHAR) || '.1' AS source_ip
+    '10.0.' || CAST(CAST(user_id * 37 % 65536 AS INTEGER) % 250 + 1 AS VARCHAR) || '.1' AS source_ip,
+    """ + ",\n    ".join(f"{_derived(i, n, t)} AS {_q(n)}" for i, n, t in _DERIVED) + """
   FROM events
 )"""
 
@@ -130,21 +153,10 @@ SQL["batch_metrics"] = _w(
 
 # Columns of the flow adapter, in order (the FLOWS CTE above).
 FLOW_ADAPTER_COLUMNS = ["kafka_key", "kafka_timestamp", "Destination Port", "Flow Duration", "Label", "label_index",
-                        "k", "sensor_id", "event_time", "source_ip"]
-_DUCK_TYPE = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR"}
-
-
-def _q(name: str) -> str:
-    return '"' + name.replace('"', '""') + '"'
-
-
-def _lit(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+                        "k", "sensor_id", "event_time", "source_ip", *[n for _, n, _ in _DERIVED]]
 
 
 def _parse_sql() -> str:
-    from flowrisk.schema import FLOW_COLUMNS
-
     fields = ",\n    ".join(
         f"TRY_CAST(json_extract_string(value, '$.{_q(n)}') AS {_DUCK_TYPE[t]}) AS {_q(n)}" for n, t in FLOW_COLUMNS
     )
@@ -155,8 +167,6 @@ def _parse_sql() -> str:
 
 
 def _features_cte() -> str:
-    from flowrisk.schema import MODEL_FEATURES
-
     rows = ", ".join(f"({_lit(f)}, {i + 1})" for i, f in enumerate(MODEL_FEATURES))
     return f""",
 feat(feature, position) AS (VALUES {rows}),
@@ -166,7 +176,7 @@ cols AS (SELECT column_name FROM (DESCRIBE flows))"""
 MESSAGES = """,
 messages AS (
   SELECT kafka_key AS key,
-         CAST(json_object('Destination Port', "Destination Port", 'Flow Duration', "Flow Duration", 'Label', "Label") AS VARCHAR) AS value,
+         CAST(json_object(""" + ", ".join(f"{_lit(n)}, {_q(n)}" for n, _ in FLOW_COLUMNS) + """) AS VARCHAR) AS value,
          kafka_timestamp AS "timestamp"
   FROM flows
 )"""
@@ -294,7 +304,8 @@ SQL["prediction_docs"] = _w(
               CAST(NULL AS INTEGER) AS prediction_latency_ms, model_name, "Label" AS actual_label, sensor_id, created_at,
               kafka_key AS event_kafka_key, kafka_timestamp AS event_kafka_timestamp,
               "Destination Port" AS "event_Destination_Port", "Flow Duration" AS "event_Flow_Duration",
-              "Label" AS "event_Label", label_index AS event_label_index, k AS event_k, prediction AS event_prediction,
+              "Label" AS "event_Label", """ + "".join(
+        f'{_q(n)} AS {_q("event_" + n.replace(" ", "_").replace("/", "_"))}, ' for _, n, _ in _DERIVED) + """label_index AS event_label_index, k AS event_k, prediction AS event_prediction,
               CAST(NULL AS INTEGER) AS event_prediction_latency_ms
        FROM scored""",
 )
@@ -304,6 +315,12 @@ SQL["predictions_page"] = _w(
     f"""SELECT row_number() OVER (ORDER BY created_at DESC, kafka_key DESC) + 20 AS row_number, kafka_key, source_ip,
                predicted_attack, confidence, risk_score, created_at FROM {PAGE}""",
 )
+SQL["predictions_page_source"] = _w(
+    SCORED,
+    """SELECT row_number() OVER (ORDER BY created_at DESC, kafka_key DESC) AS row_number, kafka_key, source_ip,
+              predicted_attack, confidence, risk_score, created_at FROM scored WHERE source_ip = '10.0.38.1'
+       ORDER BY created_at DESC, kafka_key DESC LIMIT 20""",
+)
 SQL["page_info"] = _w(
     SCORED,
     """SELECT count(*) AS total, 2 AS page, 20 AS page_size,
@@ -313,6 +330,15 @@ SQL["page_info"] = _w(
 SQL["recent_alerts"] = _w(
     SCORED + ALERTS, f"SELECT * FROM alerts WHERE expires_at > {AS_OF} ORDER BY \"timestamp\" DESC, alert_id DESC LIMIT 50"
 )
+SQL["latest_alerts"] = _w(
+    SCORED + ALERTS, f"SELECT * FROM alerts WHERE expires_at > {AS_OF} ORDER BY \"timestamp\" DESC, alert_id DESC LIMIT 100"
+)
+SQL["alert_payloads"] = _w(
+    SCORED + ALERTS,
+    """SELECT alert_id, CAST(json_object('attack_type', attack_type, 'source_ip', source_ip, 'risk_score', risk_score,
+              'sensor_id', sensor_id, 'timestamp', strftime("timestamp", '%Y-%m-%dT%H:%M:%S.%gZ')) AS VARCHAR) AS payload
+       FROM alerts""",
+)
 SQL["alert_key_time"] = _w(
     SCORED + ALERTS + """,
 keyed AS (
@@ -386,6 +412,32 @@ SQL["latest_prediction"] = _w(
          FROM scored) WHERE rn = 1""",
 )
 
+# The stream's own scoring: class and confidence from the wire, its default sensor, message time as clock.
+STREAMED = FLOWS + """,
+pred AS (
+  SELECT kafka_key, source_ip, 'sensor-01' AS sensor_id, kafka_timestamp AS event_time, kafka_timestamp AS created_at,
+    CASE "Destination Port" % 6 WHEN 0 THEN 'Normal' WHEN 1 THEN 'Recon' WHEN 2 THEN 'WebAttack' WHEN 3 THEN 'Botnet'
+                                WHEN 4 THEN 'DoS/DDoS' ELSE 'Unknown' END AS predicted_attack,
+    CAST(("Flow Duration" % 500 + 500) / 1000 AS DOUBLE) AS confidence
+  FROM flows
+),
+scored AS (
+  SELECT *, round(least(100.0, confidence * 100.0 * CAST(0.6 AS DOUBLE)
+                  + CAST(""" + SEVERITY_CASE.format(a="predicted_attack") + """ AS DOUBLE) * CAST(0.4 AS DOUBLE)), 2) AS risk_score
+  FROM pred
+)"""
+SQL["stream_scored"] = _w(
+    STREAMED, "SELECT kafka_key, source_ip, predicted_attack, confidence, risk_score, sensor_id, created_at FROM scored")
+SQL["stream_dedup"] = _w(STREAMED, "SELECT kafka_key, predicted_attack, risk_score FROM scored")
+SQL["stream_profiles"] = _w(STREAMED + PROFILES, PROFILE_SELECT)
+SQL["stream_ingest"] = _w(
+    FLOWS, "SELECT kafka_key, kafka_timestamp, " + ", ".join(
+        f"CAST({_q(n)} AS {_DUCK_TYPE[t]}) AS {_q(n)}" for n, t in FLOW_COLUMNS)
+    + """, false AS is_corrupt, CAST(NULL AS VARCHAR) AS corrupt_value, 'sensor-01' AS sensor_id,
+       kafka_timestamp AS event_time, source_ip FROM flows""")
+SQL["stream_alerts"] = _w(STREAMED + ALERTS, "SELECT * FROM alerts")
+SQL["stream_attackers"] = _w(STREAMED + PROFILES, PROFILE_SELECT)
+
 SQL["contract_profile"] = _w(
     FLOWS,
     """SELECT count(*) AS row_count, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE flows)) AS column_count,
@@ -416,6 +468,8 @@ SQL["contract_ok"] = _w(
             (SELECT count(*) FILTER (WHERE "Label" IS NULL) + count(*) FILTER (WHERE "Destination Port" IS NULL)
                     + count(*) FILTER (WHERE "Flow Duration" IS NULL) AS critical_nulls FROM flows) c""",
 )
+SQL["feature_values"] = _w(
+    FLOWS, "SELECT kafka_key, " + ", ".join(f"CAST({_q(f)} AS DOUBLE) AS {_q(f)}" for f in MODEL_FEATURES) + " FROM flows")
 SQL["confusion_matrix"] = _w(
     SCORED, 'SELECT "Label" AS actual, predicted_attack AS predicted, count(*) AS count FROM scored GROUP BY 1, 2'
 )

@@ -31,6 +31,7 @@ REGISTRY: dict[str, Query] = {}
 
 THRESHOLD = S.RISK_ALERT_THRESHOLD
 PAGE_FILTER_ATTACK = "Botnet"
+PAGE_FILTER_SOURCE = "10.0.38.1"
 
 
 def register(name: str):
@@ -144,7 +145,8 @@ def q_batch_metrics(spark, sf_dir):
 
 # --- parse, messages, validation ----------------------------------------------------------
 
-WIRE_FIELDS = ["Destination Port", "Flow Duration", "Label"]
+#: The whole flow record goes over the wire.
+WIRE_FIELDS = [n for n, _ in S.FLOW_COLUMNS]
 PROFILE_SPLIT = "2024-01-15 00:00:00"
 
 
@@ -212,6 +214,14 @@ def q_predictions_page(spark, sf_dir):
                        "created_at")
 
 
+@register("predictions_page_source")
+def q_predictions_page_source(spark, sf_dir):
+    """First page of one source address."""
+    page = TB.predictions_page(EV.load_scored(spark, sf_dir), source_ip=PAGE_FILTER_SOURCE, page=1, page_size=20)
+    return page.select("row_number", "kafka_key", "source_ip", "predicted_attack", "confidence", "risk_score",
+                       "created_at")
+
+
 @register("page_info")
 def q_page_info(spark, sf_dir):
     return TB.page_info(EV.load_scored(spark, sf_dir), attack_type=PAGE_FILTER_ATTACK, page=2, page_size=20)
@@ -227,6 +237,19 @@ def q_recent_alerts(spark, sf_dir):
     return AL.recent_alerts(AL.to_alerts(recent, THRESHOLD, S.ALERT_TTL_SECONDS), now, 50)
 
 
+@register("latest_alerts")
+def q_latest_alerts(spark, sf_dir):
+    """Newest 100 live alerts."""
+    now = as_of_col(spark, sf_dir)
+    recent = TB.retain(EV.load_scored(spark, sf_dir), "created_at", now, S.ALERT_TTL_SECONDS)
+    return AL.recent_alerts(AL.to_alerts(recent, THRESHOLD, S.ALERT_TTL_SECONDS), now, 100)
+
+
+@register("alert_payloads")
+def q_alert_payloads(spark, sf_dir):
+    return AL.alert_payload(AL.to_alerts(EV.load_scored(spark, sf_dir), THRESHOLD))
+
+
 @register("alert_key_time")
 def q_alert_key_time(spark, sf_dir):
     a = AL.to_alerts(EV.load_scored(spark, sf_dir), THRESHOLD)

@@ -58,12 +58,16 @@ def build_session(app_name: str = "flowrisk", master: str | None = None, shuffle
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; a local default is set only when the
-    cluster has named none (tests, local runs).
+    Read from ``spark.checkpoint.dir``; a local default is set only on a local
+    master (tests). On a cluster a machine's own folder would scatter the tables,
+    so an unset folder is an error there.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = os.environ.get("FLOWRISK_CHECKPOINT_DIR", _LOCAL_CHECKPOINT_DEFAULT)
+        d = os.environ.get("FLOWRISK_CHECKPOINT_DIR")
+        if not d and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        d = d or _LOCAL_CHECKPOINT_DEFAULT
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)

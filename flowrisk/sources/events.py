@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowrisk import schema as S
 from flowrisk.functions import scalar as X
 from flowrisk.operators.enrich import enrich_columns, score_predictions
 from flowrisk.sources.tables import read_table
@@ -19,6 +20,11 @@ EVENT_TYPE_INDEX: dict[str, int] = {"signup": 0, "click": 1, "view": 2, "purchas
 ADAPTER_LABELS: list[str] = ["Normal", "Recon", "WebAttack", "Botnet", "DoS/DDoS"]
 ADAPTER_MODEL_NAME = "events_adapter"
 UNKNOWN_INDEX = 99
+#: Flow columns with a formula of their own; the others follow :func:`derived_column`.
+OWN_FORMULA = ("Destination Port", "Flow Duration", "Label")
+#: The one derived column with nulls (no model feature, so training keeps every row).
+NULLABLE = "Idle Std"
+DERIVED: list[tuple[int, str, str]] = [(i, n, t) for i, (n, t) in enumerate(S.FLOW_COLUMNS) if n not in OWN_FORMULA]
 
 
 def _type_index(col_name: str):
@@ -30,9 +36,17 @@ def _type_label(col_name: str):
     return F.expr(f"try_element_at({X.map_sql(labels)}, {X.sql_name(col_name)})")
 
 
+def derived_column(i: int, name: str, kind: str):
+    """Flow column ``i`` of the record from the event's ids: a remainder of its own
+    modulus; eighths for doubles, so their text is exact."""
+    n = (F.col("event_id") * (2 * i + 3) + F.col("user_id") * (i + 1)) % (1000 + 7 * i)
+    v = n.cast("double") / 8 if kind == "double" else n.cast(kind)
+    return F.when(F.col("event_id") % 97 != 0, v) if name == NULLABLE else v
+
+
 def flows_from_events(events: DataFrame, extra: list | None = None) -> DataFrame:
-    """Envelope + flow fields for each event (two projections; no shuffle: how a scan
-    is split is left to ``spark.sql.files.maxPartitionBytes``).
+    """Envelope + the whole flow record for each event (two projections; no shuffle: how a scan
+    is split is left to ``spark.sql.files.maxPartitionBytes``; unused columns are pruned).
 
     ``events`` must be the Parquet scan itself (the key uses ``_metadata.file_name``);
     ``extra`` columns of the scan are carried along.
@@ -58,6 +72,7 @@ def flows_from_events(events: DataFrame, extra: list | None = None) -> DataFrame
         idx.alias("label_index"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
         *[e.alias(n) for n, e in env.items()],
+        *[derived_column(i, n, t).alias(n) for i, n, t in DERIVED],
         *[F.col(c) for c in scan.columns[7:]],
     )
 
@@ -78,6 +93,15 @@ def score_flows_from_events(flows: DataFrame) -> DataFrame:
     )
 
 
+def score_wire_flows(flows: DataFrame) -> DataFrame:
+    """Stand-in classifier of the stream: class index and confidence from two wire
+    fields (one index in six is unknown), then the real scoring operator."""
+    return score_predictions(
+        flows.withColumn("prediction", (F.col("`Destination Port`") % 6).cast("double")), ADAPTER_LABELS, ADAPTER_MODEL_NAME,
+        confidence_col=((F.col("`Flow Duration`") % 500 + 500) / F.lit(1000)).cast("double"), probability_col=None,
+    )
+
+
 def load_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows_from_events(read_table(spark, sf_dir, "events"))
 

@@ -21,7 +21,6 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
 
 from flowrisk import schema as S
 from flowrisk.operators import alerts as AL
@@ -115,78 +114,18 @@ def kafka_options(bootstrap: str, topic: str, starting_offsets: str, max_offsets
     }
 
 
-def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """Message files (key, value, timestamp) as a stream — the shape a topic scan yields."""
+def file_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None,
+                max_bytes_per_trigger: int | None = None) -> DataFrame:
+    """Message files (key, value, timestamp) as a stream — the shape a topic scan yields.
+    A micro-batch takes so many files or bytes at most (the file source allows one of the two)."""
     r = spark.readStream.schema(S.MESSAGE_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    elif max_bytes_per_trigger:
+        r = r.option("maxBytesPerTrigger", str(max_bytes_per_trigger))
     return r.parquet(path)
 
 
-def publish_in_ranges(messages: DataFrame, path: str, files_per_range: int, min_ranges: int = 4,
-                      max_rows_per_range: int | None = None, copies: int = 1) -> tuple[str, int]:
-    """Append ``messages`` to a file topic as consecutive event-time ranges,
-    oldest first, each written as exactly ``files_per_range`` files.
-
-    Returns ``(source, files_per_range)``: a stream reading ``source`` (a glob
-    over the range folders) with ``maxFilesPerTrigger = files_per_range`` gets
-    one range per micro-batch, in event-time order (the file source takes files
-    in modification order). Ranges are equal slices of the time span (one
-    min/max/count aggregate fixes them); there are at least ``min_ranges`` and
-    enough that none needs to hold more than ``max_rows_per_range`` rows on
-    average, so micro-batches stay bounded as the input grows. Messages without
-    a time go to the last range.
-
-    The messages are staged once, partitioned by range, next to ``path``; each
-    range is then published from its own staged partition (partition pruning
-    reads only that range), spread round-robin over its files, into its own
-    folder (so checking what a write produced lists that folder only).
-    ``copies`` > 1 redelivers each range right after itself, as an
-    at-least-once source does.
-    """
-    spark = messages.sparkSession
-    source = f"{path.rstrip('/')}/*"
-    t = F.unix_micros("timestamp")
-    span = messages.agg(F.min(t).alias("lo"), F.max(t).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if span["n"] == 0:
-        return source, files_per_range
-    ranges = max(1, min_ranges)
-    if max_rows_per_range:
-        ranges = max(ranges, -(-span["n"] // max_rows_per_range))
-    lo = span["lo"] if span["lo"] is not None else 0
-    width = max(1, -(-((span["hi"] if span["hi"] is not None else lo) - lo + 1) // ranges))
-    bucket = F.coalesce(F.floor((t - F.lit(lo)) / F.lit(width)).cast("int"), F.lit(ranges - 1))
-    staging = path.rstrip("/") + "-staging"
-    messages.withColumn("_range", bucket).write.mode("overwrite").partitionBy("_range").parquet(staging)
-    staged = spark.read.schema(StructType([*S.MESSAGE_SCHEMA.fields, StructField("_range", IntegerType())])).parquet(staging)
-    digits = len(str(ranges))
-    for i in range(ranges):
-        part = staged.filter(F.col("_range") == F.lit(i)).drop("_range").repartition(files_per_range)
-        for c in range(copies):
-            folder = f"{path.rstrip('/')}/r{i:0{digits}d}-{c}"
-            part.write.mode("append").parquet(folder)
-            written = _file_count(spark, folder)
-            if written == 0:
-                continue  # an empty range gives no micro-batch
-            # A range smaller than the fan-out leaves some of its files unwritten;
-            # empty files keep the next range from sharing its micro-batch.
-            for _ in range(files_per_range - written):
-                spark.createDataFrame([], S.MESSAGE_SCHEMA).write.mode("append").parquet(folder)
-    return source, files_per_range
-
-
-def _file_count(spark: SparkSession, folder: str) -> int:
-    """Number of Parquet part files in ``folder`` (empty ones included), counted
-    by a metadata-only scan: only file paths are read, one number comes back."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(folder)
-        return files.select("path").count()
-    except AnalysisException:
-        return 0
-
-
 def parsed_flows(messages: DataFrame, sensor_id: str = S.DEFAULT_SENSOR_ID, as_of: Column | None = None,
                  dedup_watermark: str | None = None) -> DataFrame:
     """Parse + enrich; optionally drop replayed keys within a watermark (off by default).
@@ -388,21 +327,27 @@ def refresh_statistics(spark: SparkSession, sinks: Sinks, as_of: Column, k: int
     """Statistics snapshot, recomputed only when older than ``max_age_seconds``.
 
     A refresh reads the per-epoch statistics deltas (written by each batch,
-    with the batch's alert threshold), not the predictions themselves.
+    with the batch's alert threshold), not the predictions themselves. Snapshots are
+    kept per (k, hours) and their age is that of the write, whatever ``as_of`` is. The
+    document (one row: attack types, k addresses, hours) is returned detached from the
+    files, so a later refresh can't replace them under a caller's frame.
     """
     from pyspark.errors import AnalysisException
 
+    path = f"{sinks.statistics}/k={int(k)}/hours={int(hours)}"
+    wall = now if now is not None else time.time()
     try:
-        cached = spark.read.parquet(sinks.statistics)
-        row = cached.select(F.unix_micros("updated_at").alias("u")).first()
-        wall = now if now is not None else time.time()
-        if row is not None and row["u"] is not None and wall - row["u"] / 1e6 <= max_age_seconds:
-            return cached
+        doc = spark.read.parquet(path)
+        row = doc.first()
+        if row is not None and 0 <= wall - row["refreshed_at"] <= max_age_seconds:
+            return spark.createDataFrame([row], doc.schema).drop("refreshed_at")
     except AnalysisException:
         pass
     deltas = spark.read.parquet(sinks.statistics_deltas).drop("epoch_id")
-    ST.statistics_from_deltas(deltas, as_of, k, hours).write.mode("overwrite").parquet(sinks.statistics)
-    return spark.read.parquet(sinks.statistics)
+    fresh = ST.statistics_from_deltas(deltas, as_of, k, hours).withColumn("refreshed_at", F.lit(time.time()))
+    fresh.write.mode("overwrite").parquet(path)
+    doc = spark.read.parquet(path)
+    return spark.createDataFrame(doc.collect(), doc.schema).drop("refreshed_at")
 
 
 def reset_tables(spark: SparkSession, sinks: Sinks) -> None:

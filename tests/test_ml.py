@@ -55,3 +55,14 @@ def test_loader_fallback_chain_and_scoring(spark):
                    F.count_if(~F.col("predicted_attack").isin(*b.labels)).alias("unknown"),
                    F.max("risk_score").alias("risk_hi")).first()
     assert r.n == 500 and 0.0 < r.lo <= r.hi <= 1.0 and r.unknown == 0 and r.risk_hi <= 98.0
+
+
+def test_model_takes_all_features_and_refuses_a_frame_that_lacks_one(spark):
+    from flowrisk import schema as S
+    from flowrisk.plans.jobs import flow_features
+    from flowrisk.sources import events as EV
+
+    flows = EV.load_flows(spark, SF_SMALL)
+    assert flow_features(flows) == S.MODEL_FEATURES
+    with pytest.raises(ValueError, match="Idle Min"):
+        flow_features(flows.drop("Idle Min"))

@@ -190,46 +190,37 @@ def test_topic_reads_are_bounded():
     assert SP.kafka_options("b:9092", "flows", "earliest", 500)["maxOffsetsPerTrigger"] == "500"
 
 
-def _batches(spark, root, source, per):
-    out = f"{root}/out"
-    stream = SP.file_stream(spark, source, max_files_per_trigger=per)
-
-    def keep(batch, epoch_id):
-        batch.withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").parquet(out)
-
-    q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/cp").trigger(
-        availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(out).groupBy("epoch_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).orderBy(
-        "epoch_id").collect()
-
-
-def test_publish_in_ranges_gives_one_ordered_range_per_batch(spark):
-    """Ranges smaller than the file fan-out are padded with empty files, so each
-    micro-batch still holds exactly one time range, oldest first."""
-    root = scratch_path(spark, "t-ranges")
+def test_plain_folder_is_read_in_bounded_batches_and_deduplicated(spark):
+    """Files of a plainly written folder, two a micro-batch at most; a second delivery of
+    every message is dropped, none counts as late, whatever the order of the files."""
+    root = scratch_path(spark, "t-folder")
     msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
-    tiny = msgs.orderBy("timestamp").limit(6)  # 2 ranges, 5 files each
-    source, per = SP.publish_in_ranges(tiny, f"{root}/source", files_per_range=5, min_ranges=2)
-    assert per == 5
-    assert len(spark.read.parquet(source).inputFiles()) == 10
-    got = _batches(spark, root, source, per)
-    assert len(got) == 2 and sum(r.n for r in got) == 6
-    assert got[0].hi < got[1].lo
+    for part in msgs.randomSplit([1.0, 1.0, 1.0], seed=3):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/source")
+    msgs.coalesce(1).write.mode("append").parquet(f"{root}/source")
+    sinks = SP.Sinks(f"{root}/tables")
+    t = F.unix_seconds("timestamp")
+    span = msgs.agg((F.max(t) - F.min(t)).alias("s")).first().s
+    flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_files_per_trigger=2),
+                            dedup_watermark=f"{span + 1} seconds")
+    q = SP.start(flows, SP.BatchProcessor(sinks, scorer), f"{root}/cp", available_now=True)
+    q.awaitTermination()
+    assert q.exception() is None
+    preds = spark.read.parquet(sinks.predictions)
+    assert preds.count() == preds.select("kafka_key").distinct().count() == msgs.count()
+    assert preds.select("epoch_id").distinct().count() == 2
 
 
-def test_publish_in_ranges_bounds_batches_and_keeps_untimed_messages(spark):
-    root = scratch_path(spark, "t-ranges-bound")
-    msgs = to_messages(EV.load_flows(spark, SF_SMALL), WIRE)
-    data = msgs.orderBy("timestamp").limit(12).unionByName(
-        msgs.limit(1).withColumn("key", F.lit("no-time")).withColumn("timestamp", F.lit(None).cast("timestamp")))
-    source, per = SP.publish_in_ranges(data, f"{root}/source", files_per_range=3, min_ranges=1, max_rows_per_range=4)
-    got = _batches(spark, root, source, per)
-    assert sum(r.n for r in got) == 13  # every message, the untimed one included
-    assert len(got) >= 3  # 13 rows at most 4 per range on average -> 4 time slices
-    timed = [r for r in got if r.lo is not None]
-    assert all(a.hi < b.lo for a, b in zip(timed, timed[1:]))
+def test_statistics_snapshots_are_kept_by_parameters(spark):
+    root = scratch_path(spark, "t-stats-params")
+    sinks = SP.Sinks(f"{root}/tables")
+    SP.BatchProcessor(sinks, scorer)(SP.parsed_flows(to_messages(EV.load_flows(spark, SF_SMALL), WIRE)), 0)
+    as_of = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    ten = SP.refresh_statistics(spark, sinks, as_of, k=10)
+    assert len(SP.refresh_statistics(spark, sinks, as_of, k=3).first().top_ips) == 3
+    again = SP.refresh_statistics(spark, sinks, as_of, k=10)
+    SP.refresh_statistics(spark, sinks, as_of, k=10, now=10.0 ** 12)  # replaces the files, not the callers' rows
+    assert len(ten.first().top_ips) == len(again.first().top_ips) == 10
 
 
 def test_profile_compaction_equals_merge_of_all_deltas(spark):
