@@ -100,6 +100,15 @@ def max_probability(probability: str | Column, digits: int = 6) -> Column:
     return F.round(F.array_max(vector_to_array(col(probability))), digits)
 
 
+def max_margin_probability(margins: str | Column, digits: int = 6) -> Column:
+    """Confidence of one-vs-rest boosted trees: each class's margin m as the binary
+    model's probability 1 / (1 + exp(-2m)), the largest as a share of their sum."""
+    from pyspark.ml.functions import vector_to_array
+
+    p = F.transform(vector_to_array(col(margins)), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+    return F.round(F.array_max(p) / F.aggregate(p, F.lit(0.0), lambda a, x: a + x), digits)
+
+
 def max_of_array(values: str | Column, digits: int = 6) -> Column:
     return F.round(F.array_max(col(values)), digits)
 

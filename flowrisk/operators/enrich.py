@@ -60,7 +60,7 @@ def score_predictions(
 
     ``labels`` decodes the class index; with ``labels=None`` an existing
     ``predicted_attack`` column is kept. Confidence comes from the probability
-    vector, or from ``confidence_col`` (a column or expression) when the
+    vector (the margins of a one-vs-rest model, which has none), or from ``confidence_col`` (a column or expression) when the
     classifier already gives one. Two projections in all.
     """
     new: dict[str, Column] = {}
@@ -71,6 +71,8 @@ def score_predictions(
         new["confidence"] = c.cast("double")
     elif probability_col is not None and probability_col in df.columns:
         new["confidence"] = X.max_probability(probability_col)
+    elif probability_col is not None and "rawPrediction" in df.columns:
+        new["confidence"] = X.max_margin_probability("rawPrediction")
     new["model_name"] = F.lit(model_name)
     new.update(extra or {})
     out = df.withColumns(new)

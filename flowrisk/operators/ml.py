@@ -80,8 +80,8 @@ def gbt_estimator(max_depth: int = GBT_MAX_DEPTH[0], n_estimators: int = GBT_EST
     """Multiclass gradient-boosted trees.
 
     Uses ``xgboost.spark.SparkXGBClassifier`` when it is installed; otherwise
-    one-vs-rest over Spark's binary ``GBTClassifier`` (which has no
-    ``probability`` column, so the random forest stays the scored model).
+    one-vs-rest over Spark's binary ``GBTClassifier``, whose margins give the
+    confidence when it is scored (it has no ``probability`` column).
     """
     try:  # optional dependency
         from xgboost.spark import SparkXGBClassifier  # type: ignore

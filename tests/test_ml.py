@@ -66,3 +66,17 @@ def test_model_takes_all_features_and_refuses_a_frame_that_lacks_one(spark):
     assert flow_features(flows) == S.MODEL_FEATURES
     with pytest.raises(ValueError, match="Idle Min"):
         flow_features(flows.drop("Idle Min"))
+
+
+def test_one_vs_rest_trees_are_scored_by_their_margins(spark):
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+
+    data = _data(spark).withColumn("label_name", F.concat(F.lit("c"), (F.col("label") % 3).cast("string")))
+    pipe = ML.feature_pipeline(None, "label_name", vector_col="vec").fit(data)
+    gbt = GBTClassifier(featuresCol=ML.FEATURES, labelCol="label", maxDepth=2, maxIter=2, seed=ML.CV_SEED)
+    ovr = OneVsRest(classifier=gbt, featuresCol=ML.FEATURES, labelCol=ML.LABEL_INDEX)
+    bundle = ML.ModelBundle(pipe, ovr.fit(pipe.transform(data).drop("label")), "gbt_one_vs_rest", ML.indexer_labels(pipe))
+    scored = bundle.score(data.drop("label"))
+    r = scored.agg(F.count(F.lit(1)).alias("n"), F.min("confidence").alias("lo"), F.max("confidence").alias("hi"),
+                   F.count_if(~F.col("predicted_attack").isin(*bundle.labels)).alias("unknown")).first()
+    assert r.n == 500 and 1 / 3 <= r.lo <= r.hi <= 1.0 and r.unknown == 0
