@@ -98,15 +98,18 @@ def schema_diff(spark: SparkSession, df: DataFrame, declared: StructType = S.FLO
 
 
 def contract_document(df: DataFrame, features: list[str] = S.MODEL_FEATURES, critical: list[str] = S.CRITICAL_FIELDS,
-                      label_col: str = "Label") -> DataFrame:
+                      label_col: str = "Label", source: str | None = None, file_col: str | None = None) -> DataFrame:
     """The whole contract as one row, from one aggregate over the data.
 
+    ``source`` names the data; ``file_col`` holds each row's file, is counted and is
+    no column of the record.
+
     Row count, a null count per column and the label set (a partial
     ``collect_set``: each task holds at most the distinct labels) come from the
     data; names, types, missing features and non-feature columns come from the
     schema.
     """
-    names = df.columns
+    names = [c for c in df.columns if c != file_col]
     missing = [f for f in features if f not in names]
     extra = sorted(set(names) - set(features) - {label_col})
     present_critical = [c for c in critical if c in names]
@@ -116,6 +119,7 @@ def contract_document(df: DataFrame, features: list[str] = S.MODEL_FEATURES, cri
         aggs.append(F.array_sort(F.collect_set(X.col(label_col).cast("string"))).alias("label_values"))
     else:
         aggs.append(F.array().cast("array<string>").alias("label_values"))
+    aggs.append((F.count_distinct(F.col(file_col)) if file_col else F.lit(None).cast("bigint")).alias("file_count"))
     wide = df.agg(*aggs)
     nulls = F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*[F.col(f"n{i}") for i in range(len(names))]))
     crit = F.map_from_arrays(F.array(*[F.lit(c) for c in present_critical]).cast("array<string>"),
@@ -123,11 +127,15 @@ def contract_document(df: DataFrame, features: list[str] = S.MODEL_FEATURES, cri
     crit_total = sum((F.col(f"n{names.index(c)}") for c in present_critical), F.lit(0).cast("bigint"))
     lit_arr = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
     return wide.select(
+        F.lit(source).cast("string").alias("source"),
+        F.current_timestamp().alias("generated_at"),
+        "file_count",
         "row_count",
         F.lit(len(names)).alias("column_count"),
         lit_arr(names).alias("columns"),
-        F.map_from_arrays(lit_arr(names), lit_arr([f.dataType.simpleString() for f in df.schema.fields])).alias("dtypes"),
+        F.map_from_arrays(lit_arr(names), lit_arr([df.schema[c].dataType.simpleString() for c in names])).alias("dtypes"),
         nulls.alias("null_counts"),
+        lit_arr(critical).alias("required_fields"),
         crit.alias("critical_field_nulls"),
         "label_values",
         lit_arr(features).alias("selected_features"),

@@ -470,6 +470,20 @@ SQL["contract_ok"] = _w(
 )
 SQL["feature_values"] = _w(
     FLOWS, "SELECT kafka_key, " + ", ".join(f"CAST({_q(f)} AS DOUBLE) AS {_q(f)}" for f in MODEL_FEATURES) + " FROM flows")
+SQL["contract_summary"] = _w(
+    FLOWS + _features_cte(),
+    """SELECT 'events' AS source, (SELECT count(DISTINCT kafka_file) FROM (SELECT split_part(kafka_key, '-', 1) AS kafka_file FROM flows)) AS file_count,
+              (SELECT count(*) FROM flows) AS row_count, (SELECT count(*) FROM cols) AS column_count,
+              (SELECT string_agg(DISTINCT "Label", ',' ORDER BY "Label") FROM flows) AS label_values,
+              (SELECT CAST(""" + " + ".join(f"count(*) FILTER (WHERE {_q(c)} IS NULL)" for c in FLOW_ADAPTER_COLUMNS)
+    + """ AS BIGINT) FROM flows) AS nulls,
+              c.critical_nulls, m.missing,
+              (SELECT count(*) FROM cols WHERE column_name <> 'Label' AND column_name NOT IN (SELECT feature FROM feat)) AS non_features,
+              m.missing = 0 AND c.critical_nulls = 0 AS contract_ok
+       FROM (SELECT count(*) AS missing FROM feat WHERE feature NOT IN (SELECT column_name FROM cols)) m,
+            (SELECT count(*) FILTER (WHERE "Label" IS NULL) + count(*) FILTER (WHERE "Destination Port" IS NULL)
+                    + count(*) FILTER (WHERE "Flow Duration" IS NULL) AS critical_nulls FROM flows) c""",
+)
 SQL["confusion_matrix"] = _w(
     SCORED, 'SELECT "Label" AS actual, predicted_attack AS predicted, count(*) AS count FROM scored GROUP BY 1, 2'
 )

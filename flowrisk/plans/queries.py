@@ -381,7 +381,26 @@ def q_contract_ok(spark, sf_dir):
 
 @register("contract_document")
 def q_contract_document(spark, sf_dir):
-    return CT.contract_document(EV.load_flows(spark, sf_dir))
+    return _contract(spark, sf_dir)
+
+
+def _contract(spark, sf_dir):
+    flows = EV.flows_from_events(read_table(spark, sf_dir, "events"), extra=[F.col("_metadata.file_path").alias("_file")])
+    return CT.contract_document(flows, source="events", file_col="_file")
+
+
+@register("contract_summary")
+def q_contract_summary(spark, sf_dir):
+    """The contract document's fields that depend on the data, and the sizes of its lists."""
+    return _contract(spark, sf_dir).select(
+        "source", "file_count", "row_count", F.col("column_count").cast("bigint").alias("column_count"),
+        F.array_join("label_values", ",").alias("label_values"),
+        F.aggregate(F.map_values("null_counts"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("nulls"),
+        F.aggregate(F.map_values("critical_field_nulls"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("critical_nulls"),
+        F.size("missing_selected_features").cast("bigint").alias("missing"),
+        F.size("non_feature_columns").cast("bigint").alias("non_features"),
+        "contract_ok",
+    )
 
 
 @register("schema_diff")
