@@ -1,8 +1,8 @@
 """I-Match fingerprints.
 
 Terms are the lower-cased words of a text. A term is in the lexicon if the share of
-documents that hold it lies within a band (its inverse document frequency is neither
-low nor high); the lower edge bounds the lexicon: its terms have shares of at least
+different texts that hold it lies within a band (its inverse document frequency is neither
+low nor high; copies count once); the lower edge bounds the lexicon: its terms have shares of at least
 ``LOW``, so there are at most (mean number of different terms a document) / ``LOW`` of
 them at any corpus size. Each of several randomised subsets of the lexicon gives a
 hash of the text's sorted distinct terms in the subset. Subsets come in levels of
@@ -13,9 +13,11 @@ hex, ``-`` for a subset without a term. The likeness of two is the share of equa
 hashes among the smallest subsets that hold a term of either: such a subset holds
 about one term, so the share follows that of the terms in common.
 
-Defined results: null is the empty text; texts without any lexicon term are
-fingerprinted by all their terms (none: the fingerprint of the empty text), likeness 1
-if equal, else 0; null doc_ids come last in descending order, equal ids are ordered by
+Texts without any lexicon term are fingerprinted by all their terms in the same way,
+marked ``all:``; a pair of which either is such a text is compared by all terms of both.
+
+Defined results: null is the empty text; a text without terms has an ``all:`` fingerprint of
+its own, likeness 1 if equal, else 0; null doc_ids come last in descending order, equal ids are ordered by
 the hash of their text; a single document is its own next one; an empty table gives no rows.
 """
 
@@ -39,6 +41,8 @@ LEVELS, PER_LEVEL = 11, 5
 SUBSETS = LEVELS * PER_LEVEL
 #: Subsets that a likeness looks at, the smallest first, whole levels at a time.
 COMPARED = 10
+#: Bound on the copied texts whose counts go to all tasks; more are joined.
+BROADCAST_COPIES = 1_000_000
 
 
 def term_hashes(text: str) -> np.ndarray:
@@ -48,9 +52,16 @@ def term_hashes(text: str) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, set(text.lower().split())), dtype=np.uint64))
 
 
-def document_frequencies(docs: DataFrame) -> DataFrame:
-    """term (hash), df over all rows: counted in tasks, summed by Spark."""
-    schema = pa.schema([("term", pa.int64()), ("df", pa.int64())])
+def copy_counts(docs: DataFrame) -> DataFrame:
+    """hash, copies of every different text; null is the empty text."""
+    return settled(docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).groupBy("hash").agg(F.count("*").alias("copies")))
+
+
+def document_frequencies(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """term (hash), df over all different texts: counted in tasks, summed by Spark.
+
+    Each of a text's n copies adds 1 / n, so no text is moved to find one of them."""
+    schema = pa.schema([("term", pa.int64()), ("df", pa.float64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -59,24 +70,32 @@ def document_frequencies(docs: DataFrame) -> DataFrame:
 
         def flush():
             terms = np.fromiter(map(xxh64_intdigest, seen), dtype=np.uint64, count=len(seen))
-            out = rows({"term": terms.view(np.int64), "df": np.fromiter(seen.values(), np.int64, len(seen))}, schema)
+            out = rows({"term": terms.view(np.int64), "df": np.fromiter(seen.values(), np.float64, len(seen))}, schema)
             seen.clear()
             return out
 
         for b in batches:
-            for t in texts(b.column("text")):
-                seen.update(set(t.lower().split()))
+            for t, n in zip(texts(b.column("text")), b.column("copies").to_pylist(), strict=True):
+                if n == 1:
+                    seen.update(set(t.lower().split()))
+                else:
+                    for term in set(t.lower().split()):
+                        seen[term] += 1 / n
                 if len(seen) > 400_000:
                     yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    several = copies.where("copies > 1")
+    several = F.broadcast(several) if several.count() <= BROADCAST_COPIES else several
+    counted = docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash")).join(several, "hash", "left")
+    return counted.select("text", F.coalesce("copies", F.lit(1)).alias("copies")).mapInArrow(run, "term long, df double").groupBy("term").agg(F.round(F.sum("df")).cast("long").alias("df"))
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray:
-    """Sorted term hashes whose share of documents lies in the band."""
-    n = docs.count()
-    kept = document_frequencies(docs).where((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1.0))).select("term")
+    """Sorted term hashes whose share of the different texts lies in the band."""
+    copies = copy_counts(docs)
+    n = copies.count()
+    kept = document_frequencies(docs, copies).where((F.col("df") >= low * n) & (F.col("df") <= max(high * n, 1.0))).select("term")
     return np.sort(kept.toArrow().column("term").to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -98,8 +117,10 @@ def fingerprint(text: str, band: np.ndarray) -> str:
         inside = terms[band[at] == terms]
     else:
         inside = terms[:0]
-    if not len(inside):
-        return "all:" + hashlib.blake2b(terms.tobytes(), digest_size=16).hexdigest()
+    return _hashes(inside) if len(inside) else "all:" + _hashes(terms)
+
+
+def _hashes(inside: np.ndarray) -> str:
     out = [hashlib.blake2b(inside.tobytes(), digest_size=8).hexdigest()]
     for part in range(PER_LEVEL):
         level = _levels(inside, part)
@@ -119,7 +140,7 @@ def likeness(a: str, b: str) -> float:
     """0 to 1: share of the smallest subsets that agree, of those that hold a term of either text."""
     if a == b:
         return 1.0
-    if a.startswith("all:") or b.startswith("all:"):
+    if a.startswith("all:") != b.startswith("all:"):  # of different terms: see likeness_of
         return 0.0
     x, y = a.split(".")[1:], b.split(".")[1:]
     held = same = 0
@@ -133,6 +154,14 @@ def likeness(a: str, b: str) -> float:
     return same / held if held else 0.0
 
 
+def likeness_of(a: str, a_print: str, b: str, b_print: str) -> float:
+    """Likeness of two texts with their fingerprints: by all terms of both if either has none in the lexicon."""
+    none = np.empty(0, np.uint64)
+    if a_print.startswith("all:") != b_print.startswith("all:"):
+        a_print, b_print = fingerprint(a, none), fingerprint(b, none)
+    return likeness(a_print, b_print)
+
+
 def fingerprints(docs: DataFrame, band: np.ndarray, columns: list[str]) -> DataFrame:
     """The given columns of ``docs`` with the text's fingerprint."""
     shared = docs.sparkSession.sparkContext.broadcast(band)
@@ -207,7 +236,7 @@ def compare_with_next(docs: DataFrame, band: np.ndarray, buckets: int | None = N
         for _, doc, text, own, nxt, nxt_print in pairs():
             new = edited(text, nxt)
             new_print = fingerprint(new, terms)
-            made.append((doc, len(text), hashlib.sha256(new.encode()).hexdigest(), own, new_print, likeness(own, new_print), likeness(own, nxt_print or fingerprint(nxt, terms))))
+            made.append((doc, len(text), hashlib.sha256(new.encode()).hexdigest(), own, new_print, likeness_of(text, own, new, new_print), likeness_of(text, own, nxt, nxt_print or fingerprint(nxt, terms))))
             if len(made) >= 2000:
                 yield rows(dict(zip(_EDITED.names, zip(*made, strict=True), strict=True)), _EDITED)
                 made = []

@@ -103,3 +103,33 @@ def test_query(spark):
     long = [r for r in got if r["n_chars"] > 400]
     assert np.mean([r["near_edited"] > r["near_next"] for r in long]) > 0.9
     assert np.mean([r["near_edited"] for r in long]) > 0.3 > np.mean([r["near_next"] for r in long])
+
+
+def test_copies_count_once_in_the_lexicon(spark):
+    rng = np.random.default_rng(3)
+    singles = [" ".join(f"w{i}" for i in rng.permutation(400)[:40]) for _ in range(60)]
+    hot = " ".join(f"w{i}" for i in range(30)) + " " + " ".join(f"h{i}" for i in range(30))
+    rows = list(enumerate([*singles, *[hot] * 30]))
+    band = imatch.lexicon(frame(spark, rows).repartition(5), 0.01, 0.2)
+    assert band.tolist() == brute_band([*singles, hot], 0.01, 0.2)
+    got = [r for r in imatch.compare_with_next(frame(spark, rows), band).collect() if r["doc_id"] >= 61]
+    assert len(got) == 29 and all(not r["fingerprint"].startswith("all:") for r in got)
+
+
+def test_more_copied_texts_than_are_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(imatch, "BROADCAST_COPIES", 0)
+    texts = ["a b", "a b", "a b", "a c", None, ""]
+    docs = frame(spark, list(enumerate(texts)))
+    got = imatch.document_frequencies(docs, imatch.copy_counts(docs)).collect()
+    assert {r["term"] % 2**64: r["df"] for r in got} == {xxhash.xxh64_intdigest(w): n for w, n in {"a": 2, "b": 1, "c": 1}.items()}
+
+
+def test_likeness_without_lexicon_terms_follows_the_common_terms(spark):
+    band = np.sort(np.array([xxhash.xxh64_intdigest(w) for w in ("known", "other")], np.uint64))
+    text = " ".join(f"w{i}" for i in range(300))
+    near = imatch.edited(text, "x" * 50 + " y" * 100)
+    assert imatch.likeness(imatch.fingerprint(text, band), imatch.fingerprint(near, band)) > 0.2
+    rows = [(2, text), (1, "known other " + " ".join(f"v{i}" for i in range(300)))]
+    got = {r["doc_id"]: r for r in imatch.compare_with_next(frame(spark, rows), band).collect()}
+    assert got[2]["fingerprint"].startswith("all:") and not got[2]["edited_fingerprint"].startswith("all:")
+    assert got[2]["near_edited"] > 0.1 > got[2]["near_next"]
