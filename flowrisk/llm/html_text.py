@@ -8,10 +8,12 @@ node's marginals. Text under a node whose content marginal is the largest is kep
 
 Potentials are learned from labelled pages: a bounded sample (``SAMPLE_PAGES``) of the
 pages that mark their article (``article``, ``main``, ``role=main``), the marks giving
-the labels. Pseudo-counts stand for kinds that the sample does not show.
+the labels. Each is learned from twice: as it is, for pages with marks, and with its
+marks hidden (their elements plain), for pages without. Small pseudo-counts stand for
+kinds that the sample does not show.
 
 Defined results: null and empty html give an empty text; broken mark-up is read as far
-as it goes; pages without article marks are decided by the potentials; repeated rows
+as it goes; pages without article marks are decided by the potentials of hidden marks; repeated rows
 give repeated results; an empty table gives no rows; further columns are ignored.
 """
 
@@ -190,25 +192,33 @@ def marked_labels(page: Page) -> list[int] | None:
 # Pseudo-counts of (child's kind, parent's label, child's label): what the sample need not show.
 _PRIOR = np.array(
     [
-        [[960, 20, 20], [1, 998, 1], [0.001, 0.001, 1000]],
-        [[1, 98, 1], [1, 98, 1], [0.001, 0.001, 100]],
-        [[0.5, 0.5, 99], [0.5, 0.5, 99], [0.001, 0.001, 100]],
+        [[9.6, 0.2, 0.2], [0.01, 9.98, 0.01], [1e-5, 1e-5, 10]],
+        [[0.1, 9.8, 0.1], [0.1, 9.8, 0.1], [1e-5, 1e-5, 10]],
+        [[0.05, 0.05, 9.9], [0.05, 0.05, 9.9], [1e-5, 1e-5, 10]],
     ]
 )
+# The same for a page without marks: a plain element may be the article.
+_BARE_PRIOR = np.array([[[5, 4.8, 0.2], *_PRIOR[0, 1:].tolist()], *_PRIOR[1:].tolist()])
+#: Bound on the logarithm of a unary potential: keeps sums finite, decides nothing.
+_UNARY = 30
 
 
 @dataclass
 class TreeModel:
-    """Edge potentials by the child's kind, and the weights of the unary potential."""
+    """Edge potentials by the child's kind, and the weights of the unary potential; the
+    ``bare`` ones are those of pages without marks."""
 
     edge: np.ndarray = field(default_factory=lambda: _PRIOR / _PRIOR.sum(axis=2, keepdims=True))
     weights: np.ndarray = field(default_factory=lambda: np.array([-1.0, 1.0, -2.0, 1.0]))
+    bare_edge: np.ndarray = field(default_factory=lambda: _BARE_PRIOR / _BARE_PRIOR.sum(axis=2, keepdims=True))
+    bare_weights: np.ndarray = field(default_factory=lambda: np.array([-2.0, 2.5, -4.0, 1.0]))
 
     def marginals(self, page: Page) -> list[tuple[float, float, float]]:
         """Sum-product on the page's tree: the marginals of all nodes."""
         n = len(page.tag)
-        unary = np.exp(np.clip(features(page) @ self.weights, -2, 2)).tolist()
-        edge = self.edge.tolist()
+        bare = marked_labels(page) is None
+        unary = np.exp(np.clip(features(page) @ (self.bare_weights if bare else self.weights), -_UNARY, _UNARY)).tolist()
+        edge = (self.bare_edge if bare else self.edge).tolist()
         parent, kind = page.parent, page.kind
         up = [(1.0, u, 1.0) if k == PLAIN and page.own[i] else (1.0, 1.0, 1.0) for i, (u, k) in enumerate(zip(unary, kind, strict=True))]  # potential times messages of the children
         sent: list[tuple[float, float, float]] = [(1.0, 1.0, 1.0)] * n
@@ -261,31 +271,40 @@ class TreeModel:
         return "\n\n".join(blocks)
 
 
+def _weights(x: list[np.ndarray], y: list[bool], mean: np.ndarray) -> np.ndarray:
+    """Logistic regression drawn to ``mean``; without both labels ``mean``."""
+    if not x or not 0 < sum(y) < len(y):
+        return mean
+    a, t, c = np.vstack(x), np.array(y, float), mean.copy()
+    ridge = np.eye(4)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
+        c += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (t - p) - ridge @ (c - mean))
+    return c
+
+
 def learn(pages: Iterable[str]) -> TreeModel:
-    """Potentials from labelled pages."""
-    counts, x, y = np.zeros((3, 3, 3)), [], []
+    """Potentials from labelled pages, as they are and with their marks hidden."""
+    counts, bare, x, y, bare_x, bare_y = np.zeros((3, 3, 3)), np.zeros((3, 3, 3)), [], [], [], []
     for html in pages:
         page = parse(html)
         labels = marked_labels(page)
         if labels is None:
             continue
+        hidden = [PLAIN if k == MARKED else k for k in page.kind]
         for i in range(1, len(labels)):
             counts[page.kind[i], labels[page.parent[i]], labels[i]] += 1
-        pick = [i for i, k in enumerate(page.kind) if page.own[i]]
-        x.append(features(page)[pick])
+            bare[hidden[i], labels[page.parent[i]], labels[i]] += 1
+        known = features(page)
+        pick = [i for i in range(len(labels)) if page.own[i]]
+        x.append(known[pick])
         y += [labels[i] == CONTENT for i in pick]
+        pick = [i for i in pick if hidden[i] == PLAIN]  # the others have no unary potential
+        bare_x.append(known[pick])
+        bare_y += [labels[i] == CONTENT for i in pick]
     model = TreeModel()
-    # relative frequencies count as 50 observations at most: an article may hold what the sample does not show
-    total = counts.sum(axis=2, keepdims=True)
-    seen = counts / np.maximum(total, 1) * np.minimum(total, 50)
-    model.edge = (_PRIOR + seen) / (_PRIOR + seen).sum(axis=2, keepdims=True)
-    if x and 0 < sum(y) < len(y):
-        a, t, c = np.vstack(x), np.array(y, float), model.weights.copy()
-        ridge, mean = np.eye(4), model.weights
-        for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
-            c += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge, a.T @ (t - p) - ridge @ (c - mean))
-        model.weights = c
+    model.edge, model.bare_edge = ((p + n) / (p + n).sum(axis=2, keepdims=True) for p, n in ((_PRIOR, counts), (_BARE_PRIOR, bare)))
+    model.weights, model.bare_weights = _weights(x, y, model.weights), _weights(bare_x, bare_y, model.bare_weights)
     return model
 
 

@@ -107,3 +107,29 @@ def test_labels_of_marked_pages():
     assert {page.tag[i] for i, y in enumerate(labels) if y == CONTENT} == {"article", "h1", "p", "ul", "li", "blockquote"}
     assert labels[page.tag.index("nav")] == BOILER
     assert html_text.marked_labels(parse("<p>x</p>")) is None
+
+
+SENTENCE = "This is a sentence of an article, like any other. "
+
+
+@pytest.mark.parametrize("learned", [False, True])
+@pytest.mark.parametrize(
+    "blocks",
+    [[("div", 10)], [("div", 200)], [("p", 4)] * 2, [("div", 100)] * 3, [("h1", 1), ("p", 4), ("p", 8)]],
+)
+def test_unmarked_pages_give_their_article(blocks, learned):
+    model = html_text.learn([PAGE] * 30) if learned else TreeModel()
+    body = "".join(f"<{tag}>{SENTENCE * n}</{tag}>" for tag, n in blocks)
+    want = "\n\n".join((SENTENCE * n).strip() for _, n in blocks)
+    assert model.extract(f"<html><body><div>{body}</div></body></html>") == want
+    around = '<nav><ul><li><a href="/a">Home</a></ul></nav>', '<div><a href="/b">One link</a> <a href="/c">Other link</a></div><div class="footer">(c)</div>'
+    assert model.extract(f"<html><body>{around[0]}<div>{body}</div>{around[1]}</body></html>") == want
+
+
+def test_pages_of_the_table_with_their_marks_hidden(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF_CHECK}/pages.parquet").orderBy("page_id").collect()]
+    half = len(pages) // 2
+    model = html_text.learn(pages[:half])
+    for html in pages[half:]:
+        bare = html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert html_text.marked_labels(parse(bare)) is None and model.extract(bare) == model.extract(html) != ""
