@@ -11,8 +11,9 @@ matches a passage at edit distance ``d = floor(RATIO * n)`` or less. Per documen
 2. CGK embedding. Random walks map a window and the item to strings of steps whose
    Hamming distance follows the edit distance. Bands of sampled steps are compared
    (bit-sampling LSH); a window goes on if one band agrees whole. The number of walks is
-   the least at which items with ``d`` random edits are found at ``RECALL``, measured on
-   the items before the search.
+   the least at which items with ``d`` random edits are found at ``RECALL``, measured
+   before the search on all items, ``TRIALS`` times each, in the windows that step 1
+   gives; all windows of an item that was lost once go on.
 3. Verification: exact edit distance (bit-parallel, free ends) between the item and the
    passage around the window.
 
@@ -42,6 +43,8 @@ RATIO, RECALL = 0.1, 0.99
 GRAM = 8
 BANDS, STEPS = 8, 2
 MAX_WALKS = 32
+#: Random edits of each item that calibrate the walks.
+TRIALS = 4
 #: Characters of benchmark items that go to all tasks at once.
 BLOCK_CHARS = 20_000_000
 
@@ -138,6 +141,7 @@ class Items:
         self.q = np.minimum(GRAM, (self.n - self.d) // (self.d + 1))
         self.least = np.maximum(1, self.n - self.q + 1 - self.q * self.d)
         self.groups = [self._indexed(int(q)) for q in np.unique(self.q)] if named else []
+        self.exact = np.zeros(len(named), bool)  # items whose windows are all verified
         self.embedding, self.recall = self._calibrated(recall)
         self.own = self.embedding.bands(self.points, self.n) if named else None
 
@@ -157,26 +161,41 @@ class Items:
         return q, keys, np.append(first, len(grams)), item[order], offset[order], np.uint64(64 - bits), maybe
 
     def _calibrated(self, recall: float) -> tuple[Embedding, float]:
-        """The fewest walks at which items with as many random edits as allowed are found at ``recall``."""
+        """The fewest walks at which items with as many random edits as allowed are found at
+        ``recall``, and the share found with them; marks the items that are lost as ``exact``."""
         if not self.texts:
             return Embedding(1), 1.0
         rng = np.random.default_rng(7)
-        pick = np.sort(rng.choice(len(self.texts), min(len(self.texts), 200), replace=False))
-        alphabet = np.unique(np.concatenate([self.points[i] for i in pick]))
+        alphabet = np.unique(np.concatenate(self.points))
         full = Embedding(MAX_WALKS)
-        originals = [self.points[i] for i in pick]
-        same = np.zeros((len(pick), MAX_WALKS), bool)
-        own = full.bands(originals, self.n[pick])
-        other = full.bands([_mutated(p, int(self.d[i]), alphabet, rng) for i, p in zip(pick, originals, strict=True)], self.n[pick])
-        same = (own == other).all(axis=3).any(axis=2)
-        for walks in range(1, MAX_WALKS + 1):
-            got = float(same[:, :walks].any(axis=1).mean())
-            if got >= recall or walks == MAX_WALKS:
-                return Embedding(walks), got
+        same = np.zeros((len(self.texts), TRIALS, MAX_WALKS), bool)
+        for a in range(0, len(self.texts), 64):
+            of = np.repeat(np.arange(a, min(a + 64, len(self.texts))), TRIALS)
+            batch = []
+            for i in of:
+                around = ("".join(map(chr, rng.choice(alphabet, 40))) for _ in range(2))
+                edited = _mutated(self.points[i], int(self.d[i]), alphabet, rng)
+                batch.append(normalise(" ".join([next(around), "".join(map(chr, edited)), next(around)])))
+            found = [f for f in self._found(batch) if f[1] == of[f[0]]]
+            own = full.bands([self.points[i] for i in of[::TRIALS]], self.n[of[::TRIALS]])
+            for b in range(0, len(found), 256):
+                part = found[b : b + 256]
+                who = np.array([i for _, i, _ in part])
+                hit = (full.bands(self._cut(batch, part), self.n[who]) == own[who - a]).all(axis=3).any(axis=2)
+                np.logical_or.at(same, (who, np.array([t % TRIALS for t, _, _ in part])), hit)
+        at_least = np.logical_or.accumulate(same, axis=2)
+        walks = next((w for w in range(1, MAX_WALKS + 1) if at_least[:, :, w - 1].mean() >= recall), MAX_WALKS)
+        self.exact = ~at_least[:, :, walks - 1].all(axis=1)
+        return Embedding(walks), float((at_least[:, :, walks - 1] | self.exact[:, None]).mean())
 
     def search(self, batch: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of the best passage of each text and item; offsets in the normalised text."""
         batch = [normalise(t) for t in batch]
+        found = self._found(batch)
+        return self._verified(batch, self._near(batch, found)) if found else []
+
+    def _found(self, batch: list[str]) -> list[tuple[int, int, int]]:
+        """Text, item and start of the windows of normalised texts."""
         data = points("\0".join([*batch, ""]))
         sizes = np.fromiter(map(len, batch), np.int64, len(batch))
         ends = np.cumsum(sizes + 1) - 1
@@ -196,9 +215,7 @@ class Items:
             who, start = item[entry], pos - offset[entry]
             text = np.searchsorted(ends, pos)
             found += self._windows(text, who, start - (ends - sizes)[text], offset[entry])
-        if not found:
-            return []
-        return self._verified(batch, self._near(batch, found))
+        return found
 
     def _windows(self, text: np.ndarray, who: np.ndarray, start: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int]]:
         """Starts of windows on bands of diagonals that hold enough of the item's grams: the
@@ -224,15 +241,18 @@ class Items:
                 out += [(int(text[first]), int(who[first]), s) for s in {int(starts[times.argmax()]), int(start[first])}]
         return out
 
+    def _cut(self, batch: list[str], found: list[tuple[int, int, int]]) -> list[np.ndarray]:
+        return [points(batch[t][max(0, s) : max(0, s + int(self.n[i]))]) for t, i, s in found]
+
     def _near(self, batch: list[str], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Windows of which one LSH band agrees with the item's."""
+        """Windows of which one LSH band agrees with the item's, and all of ``exact`` items."""
         found = sorted(set(found))
-        kept = []
+        kept = [f for f in found if self.exact[f[1]]]
+        found = [f for f in found if not self.exact[f[1]]]
         for a in range(0, len(found), 256):
             part = found[a : a + 256]
-            windows = [points(batch[t][max(0, s) : max(0, s + int(self.n[i]))]) for t, i, s in part]
             who = np.array([i for _, i, _ in part])
-            same = (self.embedding.bands(windows, self.n[who]) == self.own[who]).all(axis=3).any(axis=(1, 2))
+            same = (self.embedding.bands(self._cut(batch, part), self.n[who]) == self.own[who]).all(axis=3).any(axis=(1, 2))
             kept += [f for f, x in zip(part, same, strict=True) if x]
         return kept
 

@@ -133,3 +133,15 @@ def test_edge_rows(spark):
 def test_short_items_match_exactly(spark):
     d, i = spark.createDataFrame([(1, "so be it", "a", "b"), (2, "sobeit", "a", "b")], DOCS), spark.createDataFrame([(1, "be it", "z")], ITEMS)
     assert [r["doc_id"] for r in decontaminate.find_matches(d, i).collect()] == [1]
+
+
+def test_items_lost_in_calibration_are_verified_exactly(data, monkeypatch):
+    """With a single walk most random edits are lost: every item still reaches the target."""
+    monkeypatch.setattr(decontaminate, "MAX_WALKS", 1)
+    items = decontaminate.Items(*zip(*data[1], strict=True))
+    assert items.exact.any() and items.recall >= 0.99
+    rng = np.random.default_rng(11)
+    for i in np.nonzero(items.exact)[0]:
+        text = f"{words(rng, 20)} {edited(rng, items.texts[i], int(items.d[i]))} {words(rng, 20)}"
+        if decontaminate.edit_match(items.texts[i], decontaminate.normalise(text), int(items.d[i])):
+            assert i in {found[1] for found in items.search([text])}
