@@ -90,20 +90,22 @@ class Kind:
     pattern: re.Pattern
     keep: Callable[[re.Match], bool]
     base: bool = False
+    #: Whether the automaton, which gives hits by their ends, gives them by their starts, too.
+    in_order: bool = True
 
 
 HEX_GRAM = 4
 KINDS: tuple[Kind, ...] = (
     Kind("assign", ("password", "passwd", "secret", "token", "apikey", "api_key"),
          re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?((?-i:[A-Za-z0-9+/_.=-])+)""", re.I),
-         lambda m: m.end(2) - m.start(2) >= 6, True),
+         lambda m: m.end(2) - m.start(2) >= 6, True, in_order=False),
     Kind("access", ("akia",), re.compile(rb"AKIA[A-Z0-9]+"), lambda m: m.end() - m.start() >= 20, True),
     Kind("hex", tuple(map("".join, product("0123456789abcdef", repeat=HEX_GRAM))), re.compile(rb"[0-9a-f]+"), lambda m: m.end() - m.start() >= 24, True),
     Kind("forge", ("gho_", "ghp_", "ghr_", "ghs_", "ghu_"), re.compile(rb"gh[opusr]_[A-Za-z0-9]{36}(?![A-Za-z0-9_])"), lambda m: crc62(m[0])),
     Kind("package", ("npm_",), re.compile(rb"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9_])"), lambda m: crc62(m[0])),
     Kind("xprv", ("xprv",), re.compile(rb"xprv[1-9A-HJ-NP-Za-km-z]{107}(?![1-9A-HJ-NP-Za-km-z])"), lambda m: base58check(m[0])),
     Kind("bech32", ("nsec1", "age-secret-key-1"),
-         re.compile(rb"(?:nsec1[02-9ac-hj-np-z]{58}|NSEC1[02-9AC-HJ-NP-Z]{58}|AGE-SECRET-KEY-1[02-9AC-HJ-NP-Z]{58})(?![0-9A-Za-z])"), lambda m: bech32(m[0])),
+         re.compile(rb"(?:nsec1[02-9ac-hj-np-z]{58}|NSEC1[02-9AC-HJ-NP-Z]{58}|AGE-SECRET-KEY-1[02-9AC-HJ-NP-Z]{58})(?![0-9A-Za-z])"), lambda m: bech32(m[0]), in_order=False),
 )
 BASE_KINDS = tuple(k.name for k in KINDS if k.base)
 
@@ -131,7 +133,7 @@ def spans(raw: bytes) -> list[tuple[int, int, int]]:
     found = []
     for i, starts in enumerate(hits):
         kind = KINDS[i]
-        if len({len(w) for w in kind.keywords}) > 1:
+        if not kind.in_order:
             starts.sort()
         for at in starts:
             if at >= past[i] and (m := kind.pattern.match(raw, at)):
