@@ -12,7 +12,7 @@ tokens of both sides end cut the text into groups.
 How a text is encoded: neither vocabulary joins a word's last character to the space after
 it (A's pattern cuts there; B has no piece with a space behind another character, which is
 checked when it is loaded). So a text is cut before single spaces that follow a non-space and
-precede a letter or digit, each different stretch is encoded once per task (a bounded memory
+precede one, each different stretch is encoded once per task (a bounded memory
 of them), and the ids stand side by side as in one run over the whole text. A batch, or a
 window of a long text, holds about ``WINDOW`` characters of stretches, so a text of any
 length needs a bounded frame (a stretch without such a space stays whole).
@@ -39,15 +39,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowrisk.llm.common import texts
+from flowrisk.llm.common import slices, texts
 from flowrisk.session import scratch_path
 
 #: Vocabulary files: read on the driver and shipped with the job, so executors need no copy.
 BYTE_VOCABULARY, PIECE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a window; stretches, and their characters, that a task remembers.
-WINDOW, REMEMBERED, REMEMBERED_CHARS = 1 << 18, 200_000, 1 << 24
-_STRETCH = re.compile(r"(?<=[^\s▁]) (?=[A-Za-z0-9])")
-_SEPARATORS = ("", ",", "|", ";")
+WINDOW, REMEMBERED, REMEMBERED_CHARS = 1 << 18, 400_000, 1 << 24
+_STRETCH = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
+#: Between tokens of a side, between the sides, behind a group.
+_SEPARATORS = (",", "|", ";")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -73,6 +74,15 @@ class Side:
         self.ids = np.concatenate([self.ids, np.array([i for e in encoded for i in e], np.int32)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(e) for e in encoded], dtype=np.int64)])
 
+    def spell(self, encoded: list[list[int]], stretches: list[str]) -> np.ndarray:
+        """Whether each stretch's tokens spell a space and the stretch."""
+        flat = [i for e in encoded for i in e]
+        bounds = np.append(0, np.cumsum(self.sizes[flat]))[np.append(0, np.cumsum([len(e) for e in encoded]))]
+        whole = [b" " + s.encode() for s in stretches]
+        if b"".join([self.spelled[i] for i in flat]) == b"".join(whole) and np.array_equal(np.diff(bounds), [len(w) for w in whole]):
+            return np.ones(len(whole), bool)
+        return np.array([b"".join([self.spelled[i] for i in e]) == w for e, w in zip(encoded, whole, strict=True)])
+
     def tokens(self, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all tokens in order, tokens of each stretch)."""
         lo, n = self.bounds[stretches], np.diff(self.bounds)[stretches]
@@ -108,7 +118,7 @@ class Encoders:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.chars = 0
-        self.valid: list[bool] = []
+        self.valid = np.zeros(0, bool)
         self.a.forget()
         self.b.forget()
 
@@ -125,10 +135,8 @@ class Encoders:
         if new:
             a = [e.ids for e in self.bpe.encode_batch_fast([" " + s for s in new], add_special_tokens=False)]
             b = self.pieces.encode(new, num_threads=1)
-            for s, x, y in zip(new, a, b, strict=True):
-                place[s] = len(place)
-                whole = (" " + s).encode()
-                self.valid.append(b"".join([self.a.spelled[i] for i in x]) == whole and b"".join([self.b.spelled[i] for i in y]) == whole)
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+            self.valid = np.concatenate([self.valid, self.a.spell(a, new) & self.b.spell(b, new)])
             self.a.learn(a)
             self.b.learn(b)
             self.chars += sum(map(len, new))
@@ -140,11 +148,11 @@ def _encoders(byte_vocabulary: bytes, piece_vocabulary: bytes) -> Encoders:
     return Encoders(byte_vocabulary, piece_vocabulary)
 
 
-def _side(side: Side, stretches: np.ndarray, doc_of: np.ndarray) -> tuple[pd.DataFrame, np.ndarray]:
+def _side(side: Side, stretches: np.ndarray, doc_of: np.ndarray) -> pd.DataFrame:
     ids, n = side.tokens(stretches)
     sizes = side.sizes[ids]
     ends = np.cumsum(sizes)
-    return pd.DataFrame({"doc": np.repeat(doc_of, n), "start": ends - sizes, "end": ends, "id": ids, "token": np.arange(len(ids))}), n
+    return pd.DataFrame({"doc": np.repeat(doc_of, n), "start": ends - sizes, "end": ends, "id": ids, "token": np.arange(len(ids))})
 
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -158,87 +166,109 @@ def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
             np.concatenate([covering_b["token_b"].to_numpy(), covering_a["token_b"].to_numpy()[later]]))
 
 
-class Aligned:
-    """What is known of one document so far."""
+class Batch:
+    """Alignment of some documents, gathered window by window."""
+
+    def __init__(self, documents: int):
+        self.counts = {c: np.zeros(documents, np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
+        self.groups: list[list[str]] = [[] for _ in range(documents)]
+        self.pairs: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(documents)]
+
+    def empty(self, document: int) -> None:
+        for c in self.counts.values():
+            c[document] = 0
+        self.groups[document], self.pairs[document] = [], []
 
-    __slots__ = ("n_a", "n_b", "n_groups", "n_links", "groups", "pairs")
+    def links(self) -> tuple[pa.Array, pa.Array]:
+        """Of each document its different id pairs, and how often each is linked."""
+        merged = []
+        for parts in self.pairs:
+            if len(parts) > 1:
+                keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+                parts = [(keys, np.bincount(place, np.concatenate([t for _, t in parts])).astype(np.int64))]
+            merged += parts or [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        bounds = pa.array(np.concatenate([[0], np.cumsum([len(k) for k, _ in merged])]), pa.int32())
+        return tuple(pa.ListArray.from_arrays(bounds, np.concatenate([np.zeros(0, np.int64), *[m[i] for m in merged]])) for i in (0, 1))
 
-    def __init__(self):
-        self.n_a = self.n_b = self.n_groups = self.n_links = 0
-        self.groups: list[str] = []
-        self.pairs: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Different id pairs and how often each is linked."""
-        if len(self.pairs) < 2:
-            return self.pairs[0] if self.pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        keys, place = np.unique(np.concatenate([p for p, _ in self.pairs]), return_inverse=True)
-        times = np.zeros(len(keys), np.int64)
-        np.add.at(times, place, np.concatenate([t for _, t in self.pairs]))
-        return keys, times
+def group_words(enc: Encoders) -> np.ndarray:
+    """The text of each id with the separator behind it, by separator, side and id."""
+    return np.array([str(i) + s for s in _SEPARATORS for side in (enc.a, enc.b) for i in range(len(side.spelled))], object)
 
 
-def align_window(enc: Encoders, parts: list[tuple[int, list[str]]], made: list[Aligned], written: tuple[list[list[str]], list[list[str]]]) -> None:
-    """Adds the alignment of some documents' stretches to ``made``; parts are (document, stretches)."""
-    stretches = enc.known([s for _, p in parts for s in p])
-    doc_of = np.repeat(np.array([d for d, _ in parts], np.int64), [len(p) for _, p in parts])
-    a, _ = _side(enc.a, stretches, doc_of)
-    b, _ = _side(enc.b, stretches, doc_of)
+def align_window(enc: Encoders, documents: list[int], counts: list[int], places: np.ndarray, into: Batch, words: np.ndarray) -> None:
+    """Adds the alignment of stretches (``places`` in the memory; ``counts`` of them of each of ``documents``)."""
+    size_a, size_b, every = len(enc.a.spelled), len(enc.b.spelled), len(into.groups)
+    doc_of = np.repeat(np.array(documents, np.int64), counts)
+    a, b = _side(enc.a, places, doc_of), _side(enc.b, places, doc_of)
     token_a, token_b = overlaps(a, b)
-    a_ids, b_ids = a["id"].to_numpy(), b["id"].to_numpy()
+    a_ids, b_ids, a_end, b_end = a["id"].to_numpy(), b["id"].to_numpy(), a["end"].to_numpy(), b["end"].to_numpy()
     a_doc, b_doc = a["doc"].to_numpy(), b["doc"].to_numpy()
-    # groups: a token's group is the number of common ends before its end
-    common = np.intersect1d(a["end"].to_numpy(), b["end"].to_numpy(), assume_unique=True)
-    group_a, group_b = np.searchsorted(common, a["end"].to_numpy()), np.searchsorted(common, b["end"].to_numpy())
-    # A's and B's tokens in the order in which groups write them
-    group = np.concatenate([group_a, group_b])
-    side = np.concatenate([np.zeros(len(a), np.int8), np.ones(len(b), np.int8)])
-    order = np.lexsort((side, group))
-    group, side = group[order], side[order]
-    ids = np.concatenate([a_ids, b_ids])[order]
+    # a token's group is the number of common ends before its end; A's tokens stand first in a group
+    common = np.intersect1d(a_end, b_end, assume_unique=True)
+    group = np.concatenate([np.searchsorted(common, a_end), np.searchsorted(common, b_end)])
+    order = np.argsort(group, kind="stable")
+    group, of_b = group[order], order >= len(a)
+    last = np.append(group[1:] != group[:-1], True)
+    separator = np.where(last, 2, np.append(of_b[1:] != of_b[:-1], False))
+    ids = np.concatenate([a_ids, b_ids + size_a])[order]
     doc = np.concatenate([a_doc, b_doc])[order]
-    same = np.concatenate([group[1:] == group[:-1], [False]])
-    separator = np.where(~same, 3, np.where(np.concatenate([side[1:] != side[:-1], [False]]), 2, 1))
-    words = [written[s][k][i] for s, k, i in zip(side.tolist(), separator.tolist(), ids.tolist(), strict=True)]
-    links_doc = a_doc[token_a]
-    pair = a_ids[token_a].astype(np.int64) * len(enc.b.spelled) + b_ids[token_b]
-    by_doc = np.lexsort((pair, links_doc))
-    pair, links_doc = pair[by_doc], links_doc[by_doc]
-    first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (links_doc[1:] != links_doc[:-1])]))
-    times = np.diff(np.concatenate([first, [len(pair)]]))
-    pair, pair_doc = pair[first], links_doc[first]
-    for d, _ in parts:
-        lo, hi = np.searchsorted(doc, d), np.searchsorted(doc, d, "right")
-        x, y = np.searchsorted(pair_doc, d), np.searchsorted(pair_doc, d, "right")
-        m = made[d]
-        m.n_a += int(np.count_nonzero(side[lo:hi] == 0))
-        m.n_b += int(np.count_nonzero(side[lo:hi] == 1))
-        m.n_groups += int(np.count_nonzero(separator[lo:hi] == 3))
-        m.n_links += int(times[x:y].sum())
-        m.groups.append("".join(words[lo:hi]))
-        m.pairs.append((pair[x:y], times[x:y]))
-
-
-_MADE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.large_string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
-
-
-def _windows(cut: list[list[str]]) -> Iterator[list[tuple[int, list[str]]]]:
-    """(document, stretches) of about WINDOW characters at once; long documents go on in the next."""
+    written = words[separator * (size_a + size_b) + ids].tolist()
+    # each document's pairs, once each
+    key = np.sort((a_doc[token_a] * size_a + a_ids[token_a]) * size_b + b_ids[token_b])
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    times = np.diff(np.append(first, len(key)))
+    pair_doc, pair = np.divmod(key[first], size_a * size_b)
+    for name, of in (("n_a", a_doc), ("n_b", b_doc), ("n_groups", doc[last]), ("n_links", a_doc[token_a])):
+        into.counts[name] += np.bincount(of, minlength=every)
+    edges = [np.searchsorted(x, documents, side).tolist() for x in (doc, pair_doc) for side in ("left", "right")]
+    for d, lo, hi, x, y in zip(documents, *edges, strict=True):
+        into.groups[d].append("".join(written[lo:hi]))
+        into.pairs[d].append((pair[x:y], times[x:y]))
+
+
+def _windows(cut: list[list[str]], sizes: list[int]) -> Iterator[list[tuple[int, list[str]]]]:
+    """(document, stretches) of about WINDOW characters at once; a longer document goes on in the next."""
     held, size = [], 0
     for d, parts in enumerate(cut):
         lo = 0
-        for i, p in enumerate(parts):
-            size += len(p) + 1
-            if size >= WINDOW:
-                held.append((d, parts[lo : i + 1]))
-                yield held
-                held, size, lo = [], 0, i + 1
+        if size + sizes[d] >= 2 * WINDOW:
+            for i, p in enumerate(parts):
+                size += len(p) + 1
+                if size >= WINDOW:
+                    held.append((d, parts[lo : i + 1]))
+                    yield held
+                    held, size, lo = [], 0, i + 1
+        else:
+            size += sizes[d]
         if lo < len(parts):
             held.append((d, parts[lo:]))
     if held:
         yield held
 
 
+_MADE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.large_string()), ("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+
+
+def align_texts(enc: Encoders, held: list[str], words: np.ndarray) -> Batch:
+    made = Batch(len(held))
+    wrong: set[int] = set()
+    for window in _windows([enc.stretches(t) if t else [] for t in held], [len(t) for t in held]):
+        documents, counts = [d for d, _ in window], [len(p) for _, p in window]
+        places = enc.known([s for _, p in window for s in p])
+        bad = ~enc.valid[places]
+        if bad.any():
+            wrong.update(np.repeat(documents, counts)[bad].tolist())
+        if wrong:
+            places = places[~np.isin(np.repeat(documents, counts), list(wrong))]
+            documents, counts = [d for d in documents if d not in wrong], [n for d, n in zip(documents, counts, strict=True) if d not in wrong]
+        if documents:
+            align_window(enc, documents, counts, places, made, words)
+    for d in wrong:
+        made.empty(d)
+    return made
+
+
 def aligned(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, piece_vocabulary: str = PIECE_VOCABULARY) -> DataFrame:
     """Of each row (doc_id, text): row (a number of its own), doc_id, n_a, n_b, n_groups, n_links,
     groups (``a1,a2|b1;a3|b2,b3``), pairs (A id times B's vocabulary size plus B id, each once) and
@@ -249,43 +279,19 @@ def aligned(docs: DataFrame, byte_vocabulary: str = BYTE_VOCABULARY, piece_vocab
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoders(*files.value)
-        written = tuple([[str(i) + s for i in range(len(side.spelled))] for s in _SEPARATORS] for side in (enc.a, enc.b))
+        words = group_words(enc)
         for batch in batches:
-            held, size, lo = [], 0, 0
             col = texts(batch.column("text"))
-            for i, t in enumerate(col):
-                held.append(t)
-                size += len(t)
-                if size >= WINDOW or i + 1 == len(col):
-                    yield _batch(enc, batch.slice(lo, len(held)), held, written)
-                    held, size, lo = [], 0, i + 1
+            for lo, hi in slices(np.array([len(t) for t in col]), WINDOW):
+                made = align_texts(enc, col[lo:hi], words)
+                b = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("row"), b.column("doc_id"), *map(pa.array, made.counts.values()), pa.array(["".join(g)[:-1] for g in made.groups], pa.large_string()), *made.links()], schema=_MADE)
 
     chosen = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return chosen.mapInArrow(run, "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<bigint>, times array<bigint>")
 
 
-def _batch(enc: Encoders, b: pa.RecordBatch, held: list[str], written) -> pa.RecordBatch:
-    cut = [enc.stretches(t) if t else [] for t in held]
-    made = [Aligned() for _ in cut]
-    wrong: set[int] = set()
-    for window in _windows(cut):
-        places = enc.known([s for _, p in window for s in p])
-        bad = np.flatnonzero(~np.array(enc.valid)[places])
-        if len(bad):
-            doc_of = np.repeat([d for d, _ in window], [len(p) for _, p in window])
-            wrong.update(doc_of[bad].tolist())
-        kept = [(d, p) for d, p in window if d not in wrong]
-        if kept:
-            align_window(enc, kept, made, written)
-    for d in wrong:
-        made[d] = Aligned()
-    links = [m.links() for m in made]
-    return pa.RecordBatch.from_arrays([
-        b.column("row"), b.column("doc_id"), *[pa.array([getattr(m, c) for m in made], pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")],
-        pa.array(["".join(m.groups)[:-1] for m in made], pa.large_string()),
-        pa.array([k for k, _ in links], pa.list_(pa.int64())), pa.array([t for _, t in links], pa.list_(pa.int64()))], schema=_MADE)
-
-
 def pair_counts(links: DataFrame, pieces: int) -> DataFrame:
     """pair, count (documents that hold it) and best (whether no pair of its A id has more) of
     ``links`` (pair; one row for each document and pair)."""

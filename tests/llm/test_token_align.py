@@ -103,7 +103,7 @@ def test_stretches_encode_as_whole_texts(whole):
         assert enc.a.tokens(places)[0].tolist() == [i for i, _ in a], repr(text)
         assert enc.b.tokens(places)[0].tolist() == [i for i, _ in b], repr(text)
         raw = (" " + text).encode()
-        assert all(np.array(enc.valid)[places]) == (b"".join(s for _, s in a) == raw == b"".join(s for _, s in b)), repr(text)
+        assert all(enc.valid[places]) == (b"".join(s for _, s in a) == raw == b"".join(s for _, s in b)), repr(text)
 
 
 @pytest.mark.parametrize("window", [8, 200, 1 << 18])
@@ -117,18 +117,15 @@ def test_rows(spark, whole, window):
     T.WINDOW = window  # of this process; tasks keep theirs, so the windows are tested below without Spark
     try:
         enc = load()
-        written = tuple([[str(i) + s for i in range(len(side.spelled))] for s in T._SEPARATORS] for side in (enc.a, enc.b))
-        import pyarrow as pa
-
-        b = pa.RecordBatch.from_pydict({"row": list(range(len(docs))), "doc_id": [x for x, _ in docs]}, schema=pa.schema([("row", pa.int64()), ("doc_id", pa.int64())]))
-        made = T._batch(enc, b, [t or "" for _, t in docs], written).to_pylist()
+        made = T.align_texts(enc, [t or "" for _, t in docs], T.group_words(enc))
     finally:
         T.WINDOW = task_window
-    for (doc, text), r in zip(docs, made, strict=True):
+    size = len(enc.b.spelled)
+    for i, ((_, text), pairs, times) in enumerate(zip(docs, *[x.to_pylist() for x in made.links()], strict=True)):
         n_a, n_b, groups, links = plainly(whole, text)
-        assert (r["doc_id"], r["n_a"], r["n_b"], r["groups"], r["n_links"]) == (doc, n_a, n_b, groups, sum(links.values())), text
-        size = len(enc.b.spelled)
-        assert {(p // size, p % size): k for p, k in zip(r["pairs"], r["times"], strict=True)} == dict(links)
+        assert [made.counts[c][i] for c in ("n_a", "n_b", "n_links")] == [n_a, n_b, sum(links.values())], text
+        assert "".join(made.groups[i])[:-1] == groups
+        assert {(p // size, p % size): k for p, k in zip(pairs, times, strict=True)} == dict(links)
     if window == 200:
         key = lambda r: tuple(map(str, r))
         assert sorted(rows_of(spark, d, "t-align"), key=key) == sorted(expected(whole, docs), key=key)
