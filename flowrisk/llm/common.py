@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -71,3 +73,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def to_json(x) -> str:
     return json.dumps(x, separators=(",", ":"), sort_keys=True)
+
+
+@lru_cache(maxsize=1)
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # another C library
+        return lambda keep: 0
+
+
+def trimmed(result=None):
+    """``result``, after freed memory has gone back to the system: a Python worker lives on
+    between tasks and would keep what its largest task took, beside those of later stages."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+    return result

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from flowrisk.llm.common import byte_sizes, mix64, rows, slices, texts
+from flowrisk.llm.common import byte_sizes, mix64, rows, slices, texts, trimmed
 from flowrisk.llm.suffix_dedup import gram_hashes
 
 #: Edit distance per item character, share of random matches that LSH must find.
@@ -291,6 +291,7 @@ def _with_matches(docs: DataFrame, items: Items, column: str) -> DataFrame:
                 for t, i, edits, start, end in block.search(texts(b.column("text").slice(lo, hi - lo))):
                     found[lo + t].append({"item_id": block.ids[i], "n_edits": edits, "similarity": 1 - edits / int(block.n[i]), "start": start, "end": end})
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(found, type=kind)], names=[*columns, column])
+        trimmed()
 
     match = StructType([StructField("item_id", LongType()), StructField("n_edits", IntegerType()), StructField("similarity", DoubleType()), StructField("start", LongType()), StructField("end", LongType())])
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, ArrayType(match))]))

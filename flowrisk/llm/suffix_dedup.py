@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from flowrisk.llm.common import mix64, partitions, slices
+from flowrisk.llm.common import mix64, partitions, slices, trimmed
 
 LENGTH = 50
 ANCHOR = 16
@@ -394,14 +394,14 @@ def removed(docs: DataFrame, keep: list[str] | None = None, length: int = LENGTH
     if len(leads):
         plan.splitters = np.unique(leads[np.linspace(0, len(leads) - 1, min(ranges, len(leads)) + 1)[1:-1].astype(int)])
     by_batch = batched.groupBy("batch")
-    anchors = by_batch.applyInPandas(lambda f: plan.anchors(f), "bucket long, batch long, anchors binary, n binary")
-    told = anchors.groupBy("bucket").applyInPandas(lambda f: plan.repeated(f), "batch long, anchors binary, hot binary")
-    strings = by_batch.cogroup(told.groupBy("batch")).applyInPandas(lambda f, told: plan.strings(f, told), "bucket long, batch long, bytes binary, n binary, id binary, ref_of binary, ref_row binary, ref_start binary, ref_all binary")
-    reports = strings.groupBy("bucket").applyInPandas(lambda f: plan.compare(f), "batch long, row binary, start binary, n binary")
+    anchors = by_batch.applyInPandas(lambda f: trimmed(plan.anchors(f)), "bucket long, batch long, anchors binary, n binary")
+    told = anchors.groupBy("bucket").applyInPandas(lambda f: trimmed(plan.repeated(f)), "batch long, anchors binary, hot binary")
+    strings = by_batch.cogroup(told.groupBy("batch")).applyInPandas(lambda f, told: trimmed(plan.strings(f, told)), "bucket long, batch long, bytes binary, n binary, id binary, ref_of binary, ref_row binary, ref_start binary, ref_all binary")
+    reports = strings.groupBy("bucket").applyInPandas(lambda f: trimmed(plan.compare(f)), "batch long, row binary, start binary, n binary")
     made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
 
     def finish(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        return plan.remove(frame, told)[["rest", *made]]
+        return trimmed(plan.remove(frame, told)[["rest", *made]])
 
     schema = StructType([batched.schema["rest"], *(StructField(c, StringType() if c.startswith("kept") else LongType()) for c in made)])
     done = by_batch.cogroup(reports.groupBy("batch")).applyInPandas(finish, schema)
