@@ -136,6 +136,13 @@ def statistics_delta(preds: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+def merge_deltas(deltas: DataFrame) -> DataFrame:
+    """Deltas of several batches as one of the same shape (associative)."""
+    return deltas.groupBy("attack_type", "source_ip", "created_at", "gid").agg(
+        F.sum("count").alias("count"), F.sum("alerts").alias("alerts")).select(
+        "attack_type", "source_ip", "created_at", "count", "alerts", "gid")
+
+
 def statistics_from_deltas(deltas: DataFrame, as_of: Column, k: int = 10, hours: int = 24) -> DataFrame:
     """The statistics document from stored per-batch deltas: the deltas are
     re-aggregated by key (times folded into in-window hours), then packed as

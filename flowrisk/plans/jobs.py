@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 
 from flowrisk import schema as S
 from flowrisk.functions import scalar as X
+from flowrisk.operators import alerts as AL
 from flowrisk.operators import ml as ML
+from flowrisk.operators import tables as TB
 from flowrisk.operators.messages import to_messages
-from flowrisk.plans.queries import WIRE_FIELDS, register
+from flowrisk.plans.queries import WIRE_FIELDS, as_of_col, register
 from flowrisk.session import scratch_path
+from flowrisk.sinks.dated import DatedTable
+from flowrisk.sinks.topic import FileTopic
+from flowrisk.sinks.version_log import folder_bytes
 from flowrisk.sources import events as EV
 from flowrisk.sources.tables import read_table
 from flowrisk.streaming import pipeline as SP
@@ -23,9 +28,9 @@ from flowrisk.streaming import pipeline as SP
 # Reference best point of the forest search (trees x depth).
 BEST_RF_TREES = 100
 BEST_RF_DEPTH = 10
-# Rows of a message file, and bytes of a micro-batch, at most.
+# Rows of a message file at most; files and micro-batches that the messages make at least, whatever their number.
 FILE_ROWS = 500_000
-STREAM_BATCH_BYTES = 1 << 30
+FILES, EPOCHS = 8, 4
 
 
 def flow_features(df: DataFrame) -> list[str]:
@@ -124,30 +129,66 @@ def q_score_flows(spark, sf_dir):
     return scored.select("kafka_key", "source_ip", "Label", "predicted_attack", "confidence", "model_name", "risk_score")
 
 
-def _write_messages(spark: SparkSession, sf_dir: str, path: str, copies: int = 1) -> str:
-    """Write every flow as messages into a plain folder; ``copies`` > 1 delivers them again,
-    as an at-least-once source does. Returns the watermark that covers the folder: its span
-    of message times, so that files may be read in any order and no message counts as late."""
-    msgs = to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS)
-    for _ in range(copies):
-        msgs.write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
-    t = F.unix_seconds("timestamp")
-    span = spark.read.parquet(path).agg((F.max(t) - F.min(t)).alias("s")).first()["s"]
-    return f"{int(span or 0) + 1} seconds"
+def _write_messages(spark: SparkSession, sf_dir: str, path: str) -> int:
+    """Write every flow as messages into a plain folder of several files. Returns the bytes
+    of a micro-batch that make several of them."""
+    events = read_table(spark, sf_dir, "events")
+    rows = -(-events.count() // FILES)
+    msgs = to_messages(EV.flows_from_events(events), WIRE_FIELDS)
+    msgs.write.option("maxRecordsPerFile", max(1, min(FILE_ROWS, rows))).parquet(path)
+    return max(1, folder_bytes(spark, path) // EPOCHS)
 
 
-def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, copies: int = 1, scorer=None, clock=None) -> SP.Sinks:
-    """The job over all flows as messages; scored by ``scorer`` if given, else by a forest trained on the flows."""
-    root = scratch_path(spark, "stream")
-    span = _write_messages(spark, sf_dir, f"{root}/source", copies)
-    scorer = scorer or train_flow_model(spark, sf_dir, f"{root}/models").score
-    sinks = SP.Sinks(f"{root}/tables")
-    stream = SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=STREAM_BATCH_BYTES)
-    flows = SP.parsed_flows(stream, dedup_watermark=span if dedup else None)
-    q = SP.start(flows, SP.BatchProcessor(sinks, scorer, clock=clock), f"{root}/checkpoint", available_now=True)
+def _write_deliveries(spark: SparkSession, sf_dir: str, path: str) -> tuple[int, str]:
+    """Write every flow as messages in slices of time, one after another, each with a second
+    delivery of the slice before (and the last one's own behind it), as an at-least-once topic
+    is read in order. Returns the bytes of a micro-batch, and the watermark: the longest slice,
+    so the state holds the keys of a few slices, however long the topic."""
+    msgs = to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS)
+    at = F.unix_micros("timestamp")
+    cuts = msgs.select(at.cast("double").alias("t")).approxQuantile("t", [i / EPOCHS for i in range(EPOCHS + 1)], 0.01)
+    edges = [None, *cuts[1:-1], None]
+
+    def slice_of(i: int) -> DataFrame:
+        part = msgs
+        if edges[i] is not None:
+            part = part.filter(at >= F.lit(int(edges[i])))
+        return part if edges[i + 1] is None else part.filter(at < F.lit(int(edges[i + 1])))
+
+    for i in range(EPOCHS + 1):
+        now = [slice_of(k) for k in (i, i - 1) if 0 <= k < EPOCHS]
+        (now[0] if len(now) == 1 else now[0].unionByName(now[1])).write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+    bounds = spark.read.parquet(path).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    if bounds["lo"] is None:
+        return 1, "1 seconds"
+    edges = [bounds["lo"], *map(int, cuts[1:-1]), bounds["hi"]]
+    span = max(b - a for a, b in zip(edges, edges[1:]))
+    return max(1, folder_bytes(spark, path) // EPOCHS), f"{span // 1_000_000 + 2} seconds"
+
+
+def _finished(q) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+
+
+def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, scorer=None, clock=None, alert_topic=None,
+               root: str | None = None) -> SP.Sinks:
+    """The job over all flows as messages, in several micro-batches; scored by ``scorer`` if given, else by a
+    forest trained on the flows. With ``root`` it goes on where an earlier call with it was stopped."""
+    again, root = root is not None and folder_bytes(spark, f"{root}/source") > 0, root or scratch_path(spark, "stream")
+    span = None
+    if again:
+        size = max(1, folder_bytes(spark, f"{root}/source") // EPOCHS)
+    elif dedup:
+        size, span = _write_deliveries(spark, sf_dir, f"{root}/source")
+    else:
+        size = _write_messages(spark, sf_dir, f"{root}/source")
+    scorer = scorer or train_flow_model(spark, sf_dir, f"{root}/models").score
+    sinks = SP.Sinks(f"{root}/tables")
+    stream = SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=size)
+    flows = SP.parsed_flows(stream, dedup_watermark=span)
+    _finished(SP.start(flows, SP.BatchProcessor(sinks, scorer, clock=clock, alert_topic=alert_topic), f"{root}/checkpoint", available_now=True))
     return sinks
 
 
@@ -159,14 +200,50 @@ def _run_checked(spark: SparkSession, sf_dir: str, **options) -> SP.Sinks:
 @register("stream_scored")
 def q_stream_scored(spark, sf_dir):
     """The predictions table after the stream."""
-    preds = spark.read.parquet(_run_checked(spark, sf_dir).predictions)
+    sinks = _run_checked(spark, sf_dir)
+    preds = SP.read_committed(spark, sinks, sinks.predictions)
     return preds.select("kafka_key", "source_ip", "predicted_attack", "confidence", "risk_score", "sensor_id", "created_at")
 
 
 @register("stream_alerts")
 def q_stream_alerts(spark, sf_dir):
     """The alerts table after the stream."""
-    return spark.read.parquet(_run_checked(spark, sf_dir).alerts).drop("epoch_id")
+    sinks = _run_checked(spark, sf_dir)
+    return SP.read_committed(spark, sinks, sinks.alerts).drop("epoch_id")
+
+
+class _FailsOnce:
+    """An alert topic that breaks down in its second epoch, once: the epoch's other sinks are written by then."""
+
+    def __init__(self, sinks: SP.Sinks):
+        self.topic, self.calls = FileTopic(sinks.alert_messages), 0
+
+    def publish(self, messages: DataFrame, epoch_id: int | None = None) -> None:
+        self.calls += 1
+        if self.calls == 2:
+            raise ConnectionError("the topic is gone")
+        self.topic.publish(messages, epoch_id)
+
+
+def run_interrupted(spark: SparkSession, sf_dir: str) -> tuple[SP.Sinks, tuple[int, int]]:
+    """The job stopped between two sinks of an epoch and started again. Also returns the epochs
+    that readers see, and those that the predictions hold, in between."""
+    root = scratch_path(spark, "stream")
+    sinks = SP.Sinks(f"{root}/tables")
+    try:
+        _run_checked(spark, sf_dir, alert_topic=_FailsOnce(sinks), root=root)
+    except Exception:  # the stream's failure, whatever Spark wraps it in
+        pass
+    epochs = [df.select("epoch_id").distinct().count() for df in (SP.read_committed(spark, sinks, sinks.predictions), spark.read.parquet(sinks.predictions))]
+    _run_checked(spark, sf_dir, root=root)
+    return sinks, (epochs[0], epochs[1])
+
+
+@register("stream_recovered")
+def q_stream_recovered(spark, sf_dir):
+    """The alerts table after a stream that broke down between two sinks and was started again."""
+    sinks, _ = run_interrupted(spark, sf_dir)
+    return SP.read_committed(spark, sinks, sinks.alerts).drop("epoch_id")
 
 
 @register("stream_attackers")
@@ -179,9 +256,9 @@ def q_stream_attackers(spark, sf_dir):
 
 def _ingest(spark, sf_dir):
     root = scratch_path(spark, "ingest")
-    _write_messages(spark, sf_dir, f"{root}/source")
+    size = _write_messages(spark, sf_dir, f"{root}/source")
     out = f"{root}/flows"
-    flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=STREAM_BATCH_BYTES))
+    flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=size))
     q = (flows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
@@ -203,23 +280,83 @@ def q_stream_progress(spark, sf_dir):
 @register("stream_pipeline")
 def q_stream_pipeline(spark, sf_dir):
     sinks = run_stream(spark, sf_dir)
-    return spark.read.parquet(sinks.predictions).drop("event")
+    return SP.read_committed(spark, sinks, sinks.predictions).drop("event")
 
 
 @register("stream_profiles")
 def q_stream_profiles(spark, sf_dir):
-    """Profiles after the stream: all but the last epoch compacted into a
-    snapshot, read back merged with the last epoch's delta."""
-    sinks = _run_checked(spark, sf_dir)
+    """Profiles after the stream, read from the segments that its batches merged (several
+    epochs make at least one merged segment)."""
     from flowrisk.operators.profiles import profiles_for_check
 
-    last = spark.read.parquet(sinks.batch_log).agg(F.max("epoch_id").alias("e")).first()["e"]
-    if last is not None and last >= 1:
-        SP.compact_profiles(spark, sinks, int(last) - 1)
+    sinks = _run_checked(spark, sf_dir)
+    log = SP.commits(spark, sinks)
+    if log.last() + 1 >= log.fanout and not any(level for level, *_ in log.segments("profiles")):
+        raise RuntimeError("the stream merged no segments")
     return profiles_for_check(SP.read_profiles(spark, sinks))
 
 
 @register("stream_dedup")
 def q_stream_dedup(spark, sf_dir):
-    sinks = _run_checked(spark, sf_dir, dedup=True, copies=2)
-    return spark.read.parquet(sinks.predictions).select("kafka_key", "predicted_attack", "risk_score")
+    """Predictions of a topic that delivers every message twice, the second time in a later micro-batch."""
+    sinks = _run_checked(spark, sf_dir, dedup=True)
+    return SP.read_committed(spark, sinks, sinks.predictions).select("kafka_key", "predicted_attack", "risk_score")
+
+
+# --- dated tables ------------------------------------------------------------------------------
+
+
+def load_raw_by_date(spark: SparkSession, sf_dir: str) -> DatedTable:
+    """Raw telemetry by date and sensor, loaded in two parts that share dates and keys."""
+    raw = TB.raw_rows(EV.load_flows(spark, sf_dir))
+    table = DatedTable(spark, scratch_path(spark, "raw"), "event_time", ("sensor_id",), ("sensor_id", "event_time"), ("arrival", "kafka_key"))
+    late = F.crc32("kafka_key") % 4 == 0
+    table.append(raw.filter(~late))
+    table.append(raw.filter(late))
+    return table
+
+
+@register("raw_by_date")
+def q_raw_by_date(spark, sf_dir):
+    """The raw table by date and sensor, as a whole: last write wins also across loads."""
+    return load_raw_by_date(spark, sf_dir).read().drop("arrival", "kafka_key")
+
+
+@register("recent_events_by_date")
+def q_recent_events_by_date(spark, sf_dir):
+    """Newest 100 events of a sensor, from the newest dates that hold as many."""
+    return load_raw_by_date(spark, sf_dir).recent(100, cluster_value="sensor-01").drop("arrival", "kafka_key")
+
+
+def load_predictions_by_date(spark: SparkSession, sf_dir: str) -> DatedTable:
+    table = DatedTable(spark, scratch_path(spark, "predictions"), "created_at")
+    table.append(EV.load_scored(spark, sf_dir).select("kafka_key", "source_ip", "predicted_attack", "confidence", "risk_score", "created_at"))
+    return table
+
+
+@register("predictions_seek")
+def q_predictions_seek(spark, sf_dir):
+    """Page 200 of all predictions by its cursor, the last row of page 199: both pages' cost is that of the first."""
+    table = load_predictions_by_date(spark, sf_dir)
+    size, page = 20, 200
+    last = TB.predictions_page(EV.load_scored(spark, sf_dir), page=page - 1, page_size=size).orderBy(F.desc("row_number")).select("created_at", "kafka_key").first()
+    return table.recent(size, key_col="kafka_key", before=(last["created_at"], last["kafka_key"]) if last else None)
+
+
+#: Days after the newest event at which the sweeps run, so that part of the rows has expired.
+PREDICTIONS_SWEPT, REPORTS_SWEPT = 80, 170
+
+
+@register("retention_sweep")
+def q_retention_sweep(spark, sf_dir):
+    """Rows of the dated tables that their sweeps leave: predictions after 90 days, anomaly
+    reports (one for each alert) after 180."""
+    now = as_of_col(spark, sf_dir)
+    predictions = load_predictions_by_date(spark, sf_dir)
+    predictions.sweep(now + F.make_interval(days=F.lit(PREDICTIONS_SWEPT)), S.PREDICTION_RETENTION_DAYS * 86400)
+    reports = DatedTable(spark, scratch_path(spark, "anomaly-reports"), "created_at")
+    alerts = AL.to_alerts(EV.load_scored(spark, sf_dir), S.RISK_ALERT_THRESHOLD)
+    reports.append(alerts.select(F.lit("open").alias("status"), "source_ip", F.col("alert_id"), F.col("timestamp").alias("created_at")))
+    reports.sweep(now + F.make_interval(days=F.lit(REPORTS_SWEPT)), S.ANOMALY_REPORT_RETENTION_DAYS * 86400)
+    return (predictions.read().select(F.lit("predictions").alias("table_name"), F.col("kafka_key").alias("id"), "source_ip", "created_at")
+            .unionByName(reports.read().select(F.lit("anomaly_reports").alias("table_name"), F.col("alert_id").alias("id"), "source_ip", "created_at")))

@@ -435,6 +435,22 @@ SQL["stream_ingest"] = _w(
         f"CAST({_q(n)} AS {_DUCK_TYPE[t]}) AS {_q(n)}" for n, t in FLOW_COLUMNS)
     + """, false AS is_corrupt, CAST(NULL AS VARCHAR) AS corrupt_value, 'sensor-01' AS sensor_id,
        kafka_timestamp AS event_time, source_ip FROM flows""")
+SQL["stream_recovered"] = _w(STREAMED + ALERTS, "SELECT * FROM alerts")
+SQL["raw_by_date"] = SQL["raw_upsert"]
+SQL["recent_events_by_date"] = SQL["recent_events"]
+SQL["predictions_seek"] = _w(
+    SCORED,
+    """SELECT kafka_key, source_ip, predicted_attack, confidence, risk_score, created_at FROM scored
+       ORDER BY created_at DESC, kafka_key DESC LIMIT 20 OFFSET 3980""",
+)
+SQL["retention_sweep"] = _w(
+    SCORED + ALERTS,
+    f"""SELECT 'predictions' AS table_name, kafka_key AS id, source_ip, created_at FROM scored
+          WHERE created_at >= {AS_OF} + INTERVAL 80 DAY - INTERVAL 90 DAY
+       UNION ALL
+       SELECT 'anomaly_reports', alert_id, source_ip, "timestamp" FROM alerts
+          WHERE "timestamp" >= {AS_OF} + INTERVAL 170 DAY - INTERVAL 180 DAY""",
+)
 SQL["stream_alerts"] = _w(STREAMED + ALERTS, "SELECT * FROM alerts")
 SQL["stream_attackers"] = _w(STREAMED + PROFILES, PROFILE_SELECT)
 

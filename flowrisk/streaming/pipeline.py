@@ -1,20 +1,22 @@
 """Structured Streaming job: messages -> parse -> enrich -> classify -> risk ->
 raw table, predictions, alerts (+ published payloads), profile deltas.
 
-Exactly-once by construction: every sink is a table partitioned by
-``epoch_id`` and each micro-batch replaces its own epoch folder whole (an empty
-rewrite empties it), so a batch replayed after a failure rewrites the same rows
-instead of adding them twice. A stream with a fresh checkpoint counts its batches
-from 0 again; its epochs are shifted past those the tables hold, so it never
-overwrites another stream's (one stream writes the tables at a time). Counters and profiles are
-aggregates over those tables, hence exact across replays. A failed write fails
-the batch (and the query), so offsets are never committed past lost data.
+Exactly-once by construction: every sink is a table partitioned by ``epoch_id``.
+A micro-batch takes the epoch after the newest committed one, replaces that folder
+whole in every sink (also what an aborted batch left there) and then commits the
+epoch in one step (:mod:`flowrisk.streaming.commits`). Readers take committed
+epochs only, so none sees half of one. A batch that is replayed after its commit
+writes nothing. Streams count their batches on their own; epochs are given in the
+order of commits, and a second stream at work at the same time fails at its commit.
+Counters and profiles are aggregates over merged deltas, hence exact across replays.
+A failed write fails the batch (and the query), so offsets are never committed past lost data.
 """
 
 from __future__ import annotations
 
 import logging
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,6 +32,8 @@ from flowrisk.operators import tables as TB
 from flowrisk.operators.enrich import enrich_flows
 from flowrisk.operators.messages import parse_messages
 from flowrisk.sinks.topic import FileTopic, as_message
+from flowrisk.sinks.version_log import VersionLog, delete_folder
+from flowrisk.streaming.commits import FANOUT, GRACE_EPOCHS, Commits, Deltas
 
 LOG = logging.getLogger(__name__)
 
@@ -81,12 +85,29 @@ class Sinks:
         return f"{self.root}/quarantine"
 
     @property
-    def streams(self) -> str:
-        return f"{self.root}/streams"
+    def commit_log(self) -> str:
+        return f"{self.root}/commits"
+
+    @property
+    def segments(self) -> str:
+        return f"{self.root}/segments"
+
+    def epoch_tables(self) -> list[str]:
+        """Tables with one folder an epoch."""
+        return [self.raw, self.predictions, self.alerts, self.alert_messages, self.profile_deltas, self.statistics_deltas,
+                self.batch_log, self.quarantine]
+
+    def derived(self) -> list[str]:
+        """What is made of the epochs."""
+        return [self.segments, self.profile_snapshots, self.statistics]
 
-    def all(self) -> list[str]:
-        return [self.raw, self.predictions, self.alerts, self.alert_messages, self.profile_deltas,
-                self.profile_snapshots, self.statistics, self.statistics_deltas, self.batch_log, self.quarantine, self.streams]
+
+def commits(spark: SparkSession, sinks: Sinks, fanout: int = FANOUT, grace: int = GRACE_EPOCHS) -> Commits:
+    """The commit log of the tables, with the segments of their deltas."""
+    return Commits(spark, sinks.commit_log, [
+        Deltas("profiles", sinks.profile_deltas, f"{sinks.segments}/profiles", PR.merge_profiles),
+        Deltas("statistics", sinks.statistics_deltas, f"{sinks.segments}/statistics", ST.merge_deltas),
+    ], fanout, grace)
 
 
 # --------------------------------------------------------------------------------------------
@@ -153,9 +174,13 @@ def _write_epoch(df: DataFrame, path: str, epoch_id: int, extra_partitions: list
     w.parquet(f"{path}/epoch_id={int(epoch_id)}")
 
 
+#: Stands for the stream's id where a batch is processed outside one.
+DIRECT = "direct"
+
+
 def _stream_id(batch: DataFrame) -> str:
     """Id of the streaming query that runs the batch (kept in its checkpoint); ``direct`` outside one."""
-    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "direct"
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or DIRECT
 
 
 class BatchProcessor:
@@ -163,7 +188,8 @@ class BatchProcessor:
 
     def __init__(self, sinks: Sinks, scorer: Callable[[DataFrame], DataFrame],
                  threshold: float = S.RISK_ALERT_THRESHOLD, ttl_seconds: int = S.ALERT_TTL_SECONDS,
-                 clock: Callable[[], Column] | None = None, alert_topic=None):
+                 clock: Callable[[], Column] | None = None, alert_topic=None,
+                 statistics: tuple[int, int] | None = None, fanout: int = FANOUT, grace: int = GRACE_EPOCHS):
         self.sinks = sinks
         self.scorer = scorer
         self.threshold = threshold
@@ -171,30 +197,19 @@ class BatchProcessor:
         self.clock = clock or (lambda: F.current_timestamp())
         # where alert payloads are published: a KafkaTopic on a cluster, else a file topic
         self.alert_topic = alert_topic or FileTopic(sinks.alert_messages)
-        self._first: dict[str, int] = {}  # by stream: the tables' epoch of its batch 0
-
-    def _epoch(self, batch: DataFrame, epoch_id: int) -> int:
-        """The batch's number in the tables: past the epochs that they held when its stream began."""
-        from pyspark.errors import AnalysisException
-
-        stream = _stream_id(batch)
-        if stream not in self._first:
-            spark = batch.sparkSession
-            path = f"{self.sinks.streams}/stream_id={stream}"
-            try:
-                self._first[stream] = int(spark.read.parquet(path).first()["first_epoch"])
-            except (AnalysisException, TypeError):
-                try:
-                    last = spark.read.parquet(self.sinks.batch_log).agg(F.max("epoch_id").alias("e")).first()["e"]
-                except AnalysisException:
-                    last = None
-                self._first[stream] = 0 if last is None else int(last) + 1
-                spark.createDataFrame([(self._first[stream],)], "first_epoch bigint").write.mode("overwrite").parquet(path)
-        return self._first[stream] + int(epoch_id)
-
-    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
+        # (k, hours) of the statistics document that batches keep fresh, if any
+        self.statistics = statistics
+        self.fanout, self.grace = fanout, grace
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
         t0 = time.monotonic()
-        epoch_id = self._epoch(batch, epoch_id)
+        spark, stream = batch.sparkSession, _stream_id(batch)
+        log = commits(spark, self.sinks, self.fanout, self.grace)
+        # a caller outside a stream may write its newest batch anew
+        epoch_id = log.next_epoch(stream, int(batch_id), again=stream == DIRECT)
+        if epoch_id is None:
+            LOG.info("batch %s of %s is committed already", batch_id, stream)
+            return
         source = None
         if "is_corrupt" in batch.columns:
             source = batch.persist(StorageLevel.MEMORY_AND_DISK)
@@ -207,7 +222,7 @@ class BatchProcessor:
             metrics = ST.batch_metrics(scored, self.threshold).first()
             latency_ms = int(round((time.monotonic() - t0) * 1000))
             scored_l = scored.withColumn("prediction_latency_ms", F.lit(latency_ms).cast("int"))
-            _write_epoch(_raw_rows(scored_l), self.sinks.raw, epoch_id, ["sensor_id"])
+            _write_epoch(TB.raw_rows(scored_l), self.sinks.raw, epoch_id, ["sensor_id"])
             preds = TB.prediction_docs(scored_l).withColumn("kafka_key", F.col("event.kafka_key"))
             _write_epoch(preds, self.sinks.predictions, epoch_id)
             alerts = AL.to_alerts(scored_l, self.threshold, self.ttl_seconds)
@@ -223,26 +238,14 @@ class BatchProcessor:
                 self.sinks.batch_log,
                 epoch_id,
             )
+            log.commit(epoch_id, stream, int(batch_id), row_count=int(metrics["row_count"]), high_risk=int(metrics["high_risk"]))
             LOG.info("epoch %s: %s rows scored, %s high risk", epoch_id, metrics["row_count"], metrics["high_risk"])
         finally:
             scored.unpersist()
             if source is not None:
                 source.unpersist()
-
-
-def _raw_rows(scored: DataFrame) -> DataFrame:
-    """Raw telemetry plus the arrival order used by the keyed-upsert read."""
-    return scored.select(
-        "sensor_id",
-        "event_time",
-        "source_ip",
-        F.col("`Destination Port`").cast("int").alias("destination_port"),
-        F.col("`Flow Duration`").cast("bigint").alias("flow_duration"),
-        F.col("Label").alias("label"),
-        F.lit(None).cast("map<string,string>").alias("metadata"),
-        F.col("kafka_timestamp").alias("arrival"),
-        "kafka_key",
-    )
+        if self.statistics:
+            refresh_statistics(spark, self.sinks, F.current_timestamp(), *self.statistics)
 
 
 def start(stream: DataFrame, processor: BatchProcessor, checkpoint: str, available_now: bool = False,
@@ -257,68 +260,47 @@ def start(stream: DataFrame, processor: BatchProcessor, checkpoint: str, availab
 # --------------------------------------------------------------------------------------------
 
 
+def read_committed(spark: SparkSession, sinks: Sinks, path: str) -> DataFrame:
+    """Rows of a table's committed epochs."""
+    return commits(spark, sinks).committed(path)
+
+
 def read_raw(spark: SparkSession, sinks: Sinks) -> DataFrame:
     """Raw table with keyed-upsert semantics: per (sensor_id, event_time), the
     latest epoch, then latest arrival, then largest key wins."""
-    raw = spark.read.parquet(sinks.raw)
+    raw = commits(spark, sinks).committed(sinks.raw)
     up = TB.keyed_upsert(raw, ["sensor_id", "event_time"], ["epoch_id", "arrival", "kafka_key"])
     return up.drop("epoch_id", "arrival", "kafka_key")
 
 
-def _latest_snapshot(spark: SparkSession, sinks: Sinks) -> tuple[int | None, DataFrame | None]:
-    """Newest profile snapshot and the last epoch folded into it (None, None if none)."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        snaps = spark.read.parquet(sinks.profile_snapshots)
-    except AnalysisException:
-        return None, None
-    upto = snaps.agg(F.max("upto").alias("u")).first()["u"]
-    if upto is None:
-        return None, None
-    return int(upto), snaps.filter(F.col("upto") == F.lit(upto)).drop("upto")
-
-
 def read_profiles(spark: SparkSession, sinks: Sinks) -> DataFrame:
-    """Profiles = newest snapshot merged with the deltas of later epochs (each
-    epoch counted once); without a snapshot, the merge of all deltas."""
-    upto, snap = _latest_snapshot(spark, sinks)
-    deltas = spark.read.parquet(sinks.profile_deltas)
-    if upto is None:
-        return PR.merge_profiles(deltas.drop("epoch_id"))
-    newer = deltas.filter(F.col("epoch_id") > F.lit(upto)).drop("epoch_id")
-    return PR.merge_profiles(snap, newer)
+    """Profiles = the live segments merged (each committed epoch counted once)."""
+    return commits(spark, sinks).merged("profiles")
 
 
 def compact_profiles(spark: SparkSession, sinks: Sinks, upto_epoch: int) -> None:
-    """Fold the profile deltas up to ``upto_epoch`` into a new snapshot version.
+    """Keep the profiles as they were after ``upto_epoch`` as a snapshot of its own
+    (a partition ``upto``; one that is there already stays). Its segments must still be kept."""
+    from pyspark.errors import AnalysisException
 
-    Reads then merge one snapshot with the deltas after it, so their cost stops
-    growing with the stream's age. The snapshot is written as its own
-    ``upto=<epoch>`` partition (dynamic overwrite: a retried compaction rewrites
-    the same version; readers keep using the previous one until it exists).
-    Old deltas are left in place, so any version can be rebuilt.
-    """
-    upto, snap = _latest_snapshot(spark, sinks)
-    if upto is not None and upto_epoch <= upto:
+    try:
+        kept = spark.read.parquet(sinks.profile_snapshots).agg(F.max("upto").alias("u")).first()["u"]
+    except AnalysisException:
+        kept = None
+    if kept is not None and upto_epoch <= kept:
         return
-    deltas = spark.read.parquet(sinks.profile_deltas)
-    window = deltas.filter(F.col("epoch_id") <= F.lit(int(upto_epoch)))
-    if upto is not None:
-        window = window.filter(F.col("epoch_id") > F.lit(upto))
-    parts = [window.drop("epoch_id")] if snap is None else [snap, window.drop("epoch_id")]
     (
-        PR.merge_profiles(*parts).withColumn("upto", F.lit(int(upto_epoch)).cast("bigint"))
+        commits(spark, sinks).merged("profiles", int(upto_epoch)).withColumn("upto", F.lit(int(upto_epoch)).cast("bigint"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("upto")
         .parquet(sinks.profile_snapshots)
     )
 
 
 def read_alert_counters(spark: SparkSession, sinks: Sinks) -> DataFrame:
-    """All-time alert counters per attack type, from the per-batch statistics
-    deltas (each batch's alerts per type, same threshold as its alerts table),
-    so a read does not rescan every alert ever raised."""
-    d = spark.read.parquet(sinks.statistics_deltas).filter((F.col("gid") == 3) & (F.col("alerts") > 0))
+    """All-time alert counters per attack type, from the statistics deltas (each
+    batch's alerts per type, same threshold as its alerts table), so a read does not
+    rescan every alert ever raised."""
+    d = commits(spark, sinks).merged("statistics").filter((F.col("gid") == 3) & (F.col("alerts") > 0))
     return d.groupBy("attack_type").agg(F.sum("alerts").cast("bigint").alias("count"))
 
 
@@ -326,46 +308,49 @@ def refresh_statistics(spark: SparkSession, sinks: Sinks, as_of: Column, k: int
                        max_age_seconds: int = S.STATS_STALE_SECONDS, now: float | None = None) -> DataFrame:
     """Statistics snapshot, recomputed only when older than ``max_age_seconds``.
 
-    A refresh reads the per-epoch statistics deltas (written by each batch,
-    with the batch's alert threshold), not the predictions themselves. Snapshots are
-    kept per (k, hours) and their age is that of the write, whatever ``as_of`` is. The
-    document (one row: attack types, k addresses, hours) is returned detached from the
-    files, so a later refresh can't replace them under a caller's frame.
+    A refresh reads the merged statistics deltas (written by each batch, with the
+    batch's alert threshold), not the predictions themselves. Documents are kept per
+    (k, hours), and their age is that of the write, whatever ``as_of`` is. Each is a
+    version of its own: a refresh adds one and then removes those before the last, so a
+    reader in between meets a whole one. It is one row (attack types, k addresses, hours)
+    and returned detached from the files.
     """
-    from pyspark.errors import AnalysisException
-
     path = f"{sinks.statistics}/k={int(k)}/hours={int(hours)}"
     wall = now if now is not None else time.time()
-    try:
-        doc = spark.read.parquet(path)
-        row = doc.first()
-        if row is not None and 0 <= wall - row["refreshed_at"] <= max_age_seconds:
-            return spark.createDataFrame([row], doc.schema).drop("refreshed_at")
-    except AnalysisException:
-        pass
-    deltas = spark.read.parquet(sinks.statistics_deltas).drop("epoch_id")
-    fresh = ST.statistics_from_deltas(deltas, as_of, k, hours).withColumn("refreshed_at", F.lit(time.time()))
-    fresh.write.mode("overwrite").parquet(path)
-    doc = spark.read.parquet(path)
-    return spark.createDataFrame(doc.collect(), doc.schema).drop("refreshed_at")
+    versions = VersionLog(spark, f"{path}/versions")
+    number, state = versions.newest()
+    if state is None or not 0 <= wall - state["refreshed_at"] <= max_age_seconds:
+        folder = f"{path}/document-{uuid.uuid4().hex[:12]}"
+        ST.statistics_from_deltas(commits(spark, sinks).merged("statistics"), as_of, k, hours).write.parquet(folder)
+        versions.put(number + 1, {"folder": folder, "before": (state or {}).get("folder"), "refreshed_at": time.time()})
+        if state and state["before"]:
+            delete_folder(spark, state["before"])
+        state = {"folder": folder}
+    doc = spark.read.parquet(state["folder"])
+    return spark.createDataFrame(doc.collect(), doc.schema)
 
 
 def reset_tables(spark: SparkSession, sinks: Sinks) -> None:
-    """Empty every pipeline table (each overwritten by an empty frame of its own schema)."""
+    """Empty every pipeline table (its schema stays) and forget the epochs."""
     from pyspark.errors import AnalysisException
 
-    for path in sinks.all():
+    commits(spark, sinks).clear()
+    for path in sinks.derived():
+        delete_folder(spark, path)
+    for path in sinks.epoch_tables():
         try:
-            schema = spark.read.parquet(path).schema
+            table = spark.read.parquet(path)
         except AnalysisException:
             continue
-        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+        empty = spark.createDataFrame([], table.drop("epoch_id").schema)
+        delete_folder(spark, path)
+        empty.write.parquet(f"{path}/epoch_id=-1")
 
 
 def progress_frame(spark: SparkSession, sinks: Sinks) -> DataFrame:
     """Counters of every micro-batch (rows, time, rate) from the batch log, which
     each batch writes; however many batches a stream has run."""
-    log = spark.read.parquet(sinks.batch_log)
+    log = commits(spark, sinks).committed(sinks.batch_log)
     return log.select(
         F.col("epoch_id").cast("bigint").alias("batch_id"),
         F.col("row_count").alias("input_rows"),

@@ -1,0 +1,128 @@
+"""Commit log and levelled segments: whole epochs only, one writer, few segments; recovery of the stream."""
+
+import math
+import os
+from concurrent.futures import ThreadPoolExecutor
+
+import pytest
+from pyspark.sql import functions as F
+
+from conftest import SF_SMALL
+from flowrisk.operators import profiles as PR
+from flowrisk.operators import stats as ST
+from flowrisk.operators.messages import to_messages
+from flowrisk.plans import jobs as J
+from flowrisk.session import scratch_path
+from flowrisk.sinks.version_log import VersionLog, VersionTaken
+from flowrisk.sources import events as EV
+from flowrisk.streaming import pipeline as SP
+from flowrisk.streaming.commits import Commits, Deltas, cascade
+from test_stream import WIRE, scorer
+
+
+def test_one_of_two_writers_puts_a_state(spark):
+    log = VersionLog(spark, scratch_path(spark, "t-log"))
+    assert log.newest() == (-1, None)
+    log.put(0, {"a": 1})
+
+    def put(i):
+        try:
+            VersionLog(spark, log.path).put(1, {"writer": i})
+            return i
+        except VersionTaken:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(put, range(8)) if x is not None]
+    assert len(won) == 1 and log.newest() == (1, {"writer": won[0]})
+    with pytest.raises(VersionTaken):
+        log.put(3, {})  # leaves a gap
+    assert log.numbers() == [0, 1]
+    assert not [n for n in os.listdir(log.path) if n.startswith(".draft")]
+
+
+def test_cascade_keeps_few_segments():
+    live, seen = [], []
+    for epoch in range(300):
+        before = live
+        live, old, merged = cascade(live, epoch, 4)
+        assert [s[1] for s in live[1:]] == [s[2] + 1 for s in live[:-1]] and live[0][1] == 0 and live[-1][2] == epoch
+        assert len(live) <= 3 * (1 + math.log(epoch + 1, 4))
+        if merged:
+            assert merged == live[-1] and [old[0][1], old[-1][2]] == merged[1:] and all(s in [*before, [0, epoch, epoch]] for s in old)
+        seen.append(merged)
+    assert sum(m is not None for m in seen) == 75
+
+
+def test_fifty_epochs_of_deltas(spark):
+    root = scratch_path(spark, "t-segments")
+    deltas = Deltas("statistics", f"{root}/deltas", f"{root}/segments", ST.merge_deltas)
+    log = Commits(spark, f"{root}/commits", [deltas], fanout=4, grace=3)
+    whole = None
+    schema = "attack_type string, source_ip string, created_at timestamp, count bigint, alerts bigint, gid bigint"
+    for epoch in range(50):
+        df = spark.createDataFrame([(f"a{epoch % 3}", None, None, epoch, 1, 3), (None, f"ip{epoch % 7}", None, 2, 0, 5)], schema).coalesce(1)
+        df.write.parquet(f"{deltas.path}/epoch_id={epoch}")
+        assert log.next_epoch("s", epoch) == epoch
+        log.commit(epoch, "s", epoch)
+        assert log.next_epoch("s", epoch) is None  # a replay writes nothing
+        whole = df if whole is None else whole.unionByName(df)
+    segments = log.segments("statistics")
+    assert len(segments) <= 3 * math.ceil(math.log(50, 4)) and segments[0][1] == 0 and segments[-1][2] == 49
+    key = lambda r: tuple(map(str, r))
+    assert sorted(log.merged("statistics").collect(), key=key) == sorted(ST.merge_deltas(whole).collect(), key=key)
+    # folded deltas are gone, but for the last epochs'
+    left = sorted(int(d.split("=")[1]) for d in os.listdir(deltas.path) if d.startswith("epoch_id"))
+    assert left and left[0] >= 44
+    # a reader of a state inside the grace finds its files
+    assert log.merged("statistics", 48).agg(F.sum("count")).first()[0] == sum(range(49)) + 2 * 49
+
+
+def test_a_second_stream_fails_at_its_commit(spark):
+    root = scratch_path(spark, "t-two")
+    a, b = Commits(spark, root, []), Commits(spark, root, [])
+    assert a.next_epoch("a", 0) == b.next_epoch("b", 0) == 0
+    a.commit(0, "a", 0)
+    with pytest.raises(VersionTaken):
+        b.commit(0, "b", 0)
+    assert b.next_epoch("b", 0) == 1  # its retry takes the next epoch
+    b.commit(1, "b", 0)
+    assert a.next_epoch("a", 1) == 2 and a.next_epoch("a", 0) is None
+    with pytest.raises(ValueError):
+        a.next_epoch("a", 0, again=True)  # not the newest
+    assert b.next_epoch("b", 0, again=True) == 1 and b.last() == 0
+
+
+def test_half_an_epoch_is_invisible(spark):
+    sinks, (seen, written) = J.run_interrupted(spark, SF_SMALL)
+    assert (seen, written) == (1, 2)  # the second epoch's predictions were written, its alerts were not published
+    n = EV.load_flows(spark, SF_SMALL).count()
+    preds = SP.read_committed(spark, sinks, sinks.predictions)
+    assert preds.count() == preds.select("kafka_key").distinct().count() == n
+    assert SP.read_committed(spark, sinks, sinks.alert_messages).count() == SP.read_committed(spark, sinks, sinks.alerts).count()
+    log = SP.commits(spark, sinks)
+    assert log.last() >= 3 and any(s[0] for s in log.segments("profiles"))  # the job merged segments
+    got = PR.profiles_for_check(SP.read_profiles(spark, sinks))
+    every = PR.profiles_for_check(PR.batch_profiles(preds.select("*", F.col("event.kafka_timestamp").alias("event_time"))))
+    assert sorted(got.collect()) == sorted(every.collect())
+    assert SP.progress_frame(spark, sinks).agg(F.sum("input_rows")).first()[0] == n
+
+
+def test_batches_keep_statistics_fresh_and_reset_forgets(spark):
+    root = scratch_path(spark, "t-fresh")
+    sinks = SP.Sinks(f"{root}/tables")
+    batch = SP.parsed_flows(to_messages(EV.load_flows(spark, SF_SMALL), WIRE))
+    proc = SP.BatchProcessor(sinks, scorer, statistics=(10, 24))
+    proc(batch, 0)
+    versions = VersionLog(spark, f"{sinks.statistics}/k=10/hours=24/versions")
+    assert versions.newest()[0] == 0
+    first = spark.read.parquet(versions.newest()[1]["folder"])  # a reader's frame
+    for i in range(2):
+        SP.refresh_statistics(spark, sinks, F.current_timestamp(), now=0.0)
+        if i == 0:
+            assert first.first().total_predictions == batch.count()  # still there after one refresh
+    assert versions.newest()[0] == 2 and sum(d.startswith("document") for d in os.listdir(f"{sinks.statistics}/k=10/hours=24")) == 2
+    SP.reset_tables(spark, sinks)
+    proc(batch.limit(10), 1)
+    assert SP.read_committed(spark, sinks, sinks.predictions).count() == spark.read.parquet(sinks.predictions).count() == 10
+    assert SP.read_profiles(spark, sinks).agg(F.sum("event_count")).first()[0] == 10
