@@ -55,8 +55,13 @@ _SHUNNED_WORDS = frozenset(
 )
 _MARKED_WORDS = frozenset("article main articlebody".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+# An attribute, its value quoted or not (a quote inside an unquoted value is part of it; a quote
+# that never closes ends with the tag); groups: name and the three forms of value.
+_ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_ATTRIBUTES = r"(?>(?:[\s/]++|" + _ATTRIBUTE.pattern.replace("(\"", "(?:\"").replace("([^", "(?:[^") + r")*+)"
+# Comments, declarations, tags; a tag that the page ends in says nothing.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRIBUTES + r")>|</?[a-zA-Z][^>]*\Z", re.S)
+_TELLING = frozenset("class id role itemprop hidden aria-hidden".split())
 _WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
@@ -66,6 +71,8 @@ def _kind(tag: str, attributes: str) -> int:
         return SHUNNED
     marked = tag in ("article", "main")
     for m in _ATTRIBUTE.finditer(attributes):
+        if m[1].lower() not in _TELLING:
+            continue
         value = m[2] or m[3] or m[4] or ""
         words = {w.lower() for w in _WORD.findall(value)} | set(re.split(r"[\s_-]+", value.lower()))
         if m[1].lower() == "hidden" or m[1].lower() == "aria-hidden" and value.lower() == "true" or words & _SHUNNED_WORDS:
@@ -89,15 +96,26 @@ class Page:
 def parse(html: str) -> Page:
     page = Page()
     open_: list[tuple[str, int]] = [("#root", 0)]  # tag, its block node
-    at, links, hidden = 0, 0, 0
+    places: dict[str, list[int]] = {}  # of the open elements, by tag
+    blocks = [0]  # places of those that are no inline elements
+    at, links = 0, 0
     pieces = page.pieces
 
+    def push(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(open_))
+        if tag not in _INLINE:
+            blocks.append(len(open_))
+        open_.append((tag, node))
+
     def close(depth: int) -> None:
         nonlocal links
-        for tag, node in open_[depth:]:
+        for tag, _ in open_[depth:]:
+            places[tag].pop()
             links -= tag == "a"
-        if any(tag not in _INLINE for tag, _ in open_[depth:]):
+        if blocks[-1] >= depth:
             pieces.append((open_[depth - 1][1], None))
+            while blocks[-1] >= depth:
+                blocks.pop()
         del open_[depth:]
 
     def text(raw: str) -> None:
@@ -116,8 +134,8 @@ def parse(html: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            depth = next((i for i in range(len(open_) - 1, 0, -1) if open_[i][0] == tag), 0)
-            if depth and not (tag in _INLINE and any(t not in _INLINE for t, _ in open_[depth + 1 :])):
+            depth = places[tag][-1] if places.get(tag) else 0
+            if depth and not (tag in _INLINE and blocks[-1] > depth):
                 close(depth)
             elif tag == "br" or tag == "p" and not depth:
                 pieces.append((open_[-1][1], " " if tag == "br" else None))
@@ -132,29 +150,24 @@ def parse(html: str) -> Page:
         if tag in _VOID:
             pieces.append((open_[-1][1], None if tag == "hr" else " " if tag == "br" else ""))
             continue
-        if tag in _CLOSES_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] == "p":
-                    close(i)
-                    break
-                if open_[i][0] not in _INLINE:
-                    break
+        if tag in _CLOSES_P and open_[blocks[-1]][0] == "p":
+            close(blocks[-1])
         if siblings := _SIBLINGS.get(tag):
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i][0] in siblings:
-                    close(i)
-                    if tag not in ("tr", "tbody", "tfoot"):
-                        break
-                elif open_[i][0] in _SCOPE:
+            while True:
+                near = max((places[t][-1] for t in (*siblings, *_SCOPE) if places.get(t)), default=0)
+                if not near or open_[near][0] not in siblings:
+                    break
+                close(near)
+                if tag not in ("tr", "tbody", "tfoot"):
                     break
-        if tag == "body" and any(t == "head" for t, _ in open_):
-            close(next(i for i, (t, _) in enumerate(open_) if t == "head"))
+        if tag == "body" and places.get("head"):
+            close(places["head"][0])
         if tag in _INLINE:
             node = open_[-1][1]
             kind = _kind(tag, m[3]) if "=" in m[3] and tag != "a" else PLAIN
             if kind != SHUNNED:
                 links += tag == "a"
-                open_.append((tag, node))
+                push(tag, node)
                 continue
             # an inline element that is boilerplate is a node, but no block
         else:
@@ -166,9 +179,7 @@ def parse(html: str) -> Page:
         page.own.append(0)
         page.linked.append(0)
         links += tag == "a"
-        open_.append((tag, len(page.tag) - 1))
-        if len(open_) > 4000:  # deeper nesting than any page means: elements that never close
-            close(2000)
+        push(tag, len(page.tag) - 1)
     text(html[at:])
     return page
 

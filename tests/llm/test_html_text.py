@@ -133,3 +133,26 @@ def test_pages_of_the_table_with_their_marks_hidden(spark):
     for html in pages[half:]:
         bare = html.replace("<article>", "<div>").replace("</article>", "</div>")
         assert html_text.marked_labels(parse(bare)) is None and model.extract(bare) == model.extract(html) != ""
+
+
+def test_any_depth_of_nesting():
+    for deep in (1_500, 2_500, 20_000):
+        page = html_text.parse("<div>" * deep + "<nav>" + "<div>" * 1_600 + "Home About" + "</div>" * 1_600 + "</nav>" + "<p>text</p>")
+        nav = page.tag.index("nav")
+        for node, text in page.pieces:
+            inside = False
+            at = node
+            while at > 0 and not inside:
+                inside, at = at == nav, page.parent[at]
+            assert text is None or inside == (text == "Home About")
+
+
+def test_quotes_in_attributes():
+    said = lambda html: [t for _, t in html_text.parse(html).pieces if t]
+    assert said('<div class=a"b>one</div>two') == ["one", "two"]
+    assert said("<p class=it's>one</p><p>two</p>") == ["one", "two"]
+    assert said('<p class="it>one</p><p>two</p>') == ["one", "two"]  # never closed: ends with the tag
+    assert said("<p title='a > b' class=\"c\"d=e>one</p>") == ["one"]
+    assert said("one <b") == ["one "] and said("1 < 2 > 0") == ["1 < 2 > 0"]
+    kinds = lambda html: html_text.parse(html).kind[1:]
+    assert kinds("<div title='class=nav'>x</div><div CLASS = nav>y</div>") == [html_text.PLAIN, html_text.SHUNNED]
