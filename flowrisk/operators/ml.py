@@ -119,22 +119,29 @@ def indexer_labels(pipeline_model: PipelineModel) -> list[str]:
     return []
 
 
+def _missing(exc: Exception) -> bool:
+    """Whether a load failed because nothing, or a model of another class, is saved there; a
+    storage fault is not that, and must not select another model."""
+    return any(x in str(exc) for x in ("PATH_NOT_FOUND", "Expected class name"))
+
+
 def load_models(feature_path: str, primary_path: str, fallback_path: str, label_path: str | None = None) -> ModelBundle:
-    """Primary classifier (cross-validated) -> cross-validated forest -> bare best forest -> error."""
+    """The feature pipeline with the first classifier that is saved: the cross-validated primary
+    one, the cross-validated forest, the bare forest. Raises what keeps a saved one from loading."""
     pipe = PipelineModel.load(feature_path)
     labels = list(StringIndexerModel.load(label_path).labels) if label_path else indexer_labels(pipe)
-    try:
-        clf = CrossValidatorModel.load(primary_path).bestModel
-        return ModelBundle(pipe, clf, "xgboost", labels)
-    except Exception as exc:  # noqa: BLE001
-        LOG.warning("primary model load failed (%s); falling back to random forest", exc)
-    try:
-        clf = CrossValidatorModel.load(fallback_path).bestModel
-        return ModelBundle(pipe, clf, "random_forest", labels)
-    except Exception as exc:  # noqa: BLE001
-        LOG.warning("cross-validated forest load failed (%s); loading bestModel", exc)
-    try:
-        clf = RandomForestClassificationModel.load(f"{fallback_path}/bestModel")
-    except Exception as exc:  # noqa: BLE001
-        raise RuntimeError("No classifier could be loaded") from exc
-    return ModelBundle(pipe, clf, "random_forest", labels)
+    candidates = [
+        ("xgboost", primary_path, lambda p: CrossValidatorModel.load(p).bestModel),
+        ("random_forest", fallback_path, lambda p: CrossValidatorModel.load(p).bestModel),
+        ("random_forest", f"{fallback_path}/bestModel", RandomForestClassificationModel.load),
+    ]
+    absent = []
+    for name, path, load in candidates:
+        try:
+            return ModelBundle(pipe, load(path), name, labels)
+        except Exception as exc:  # noqa: BLE001
+            if not _missing(exc):
+                raise
+            absent.append(path)
+            LOG.info("no %s model at %s", name, path)
+    raise RuntimeError(f"none of these holds a saved classifier: {', '.join(absent)}")

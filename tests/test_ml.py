@@ -47,6 +47,15 @@ def test_loader_fallback_chain_and_scoring(spark):
     b = ML.load_models(f"{root}/features", f"{root}/primary", f"{root}/forest")
     assert b.classifier_name == "xgboost"
 
+    # a saved model that can't be read is no reason to take another one
+    import glob
+    for f in glob.glob(f"{root}/primary/metadata/part-*"):
+        with open(f, "w") as out:
+            out.write("{broken")
+    with pytest.raises(Exception) as failed:
+        ML.load_models(f"{root}/features", f"{root}/primary", f"{root}/forest")
+    assert "none of these holds" not in str(failed.value)
+
     scored = b.score(data)
     cols = set(scored.columns)
     assert {"predicted_attack", "confidence", "model_name", "risk_score"} <= cols
