@@ -20,8 +20,8 @@ from flowrisk.functions import scalar as X
 _LATEST = ["last_seen", "latest_attack", "risk_score", "sensor_id"]
 
 
-def batch_profiles(preds: DataFrame, time_col: str = "created_at") -> DataFrame:
-    """Profiles of one set of predictions (the per-batch delta)."""
+def profile_cells(preds: DataFrame, time_col: str = "created_at") -> DataFrame:
+    """What a profile is folded from: per address and attack type the count, newest row and peak."""
     order = F.struct(F.col(time_col), F.col("event_time"), F.col("kafka_key"))
     latest = F.struct(
         order.alias("order"),
@@ -35,10 +35,15 @@ def batch_profiles(preds: DataFrame, time_col: str = "created_at") -> DataFrame:
         F.max(latest).alias("latest"),
         F.max("risk_score").alias("peak"),
     )
-    return _fold(per_type.select("source_ip", F.col("predicted_attack").alias("attack_type"), "n", "latest", "peak"))
+    return per_type.select("source_ip", F.col("predicted_attack").alias("attack_type"), "n", "latest", "peak")
+
+
+def batch_profiles(preds: DataFrame, time_col: str = "created_at") -> DataFrame:
+    """Profiles of one set of predictions (the per-batch delta)."""
+    return fold_cells(profile_cells(preds, time_col))
 
 
-def _fold(per_type: DataFrame) -> DataFrame:
+def fold_cells(per_type: DataFrame) -> DataFrame:
     """(source_ip, attack_type, n, latest, peak) rows -> one profile per address."""
     agg = per_type.groupBy("source_ip").agg(
         F.sum("n").cast("bigint").alias("event_count"),
@@ -73,7 +78,7 @@ def merge_profiles(*profiles: DataFrame) -> DataFrame:
     per_type = rows.groupBy("source_ip", "attack_type").agg(
         F.sum("n").alias("n"), F.max("latest").alias("latest"), F.max("peak_risk_score").alias("peak")
     )
-    return _fold(per_type)
+    return fold_cells(per_type)
 
 
 def public_profiles(profiles: DataFrame) -> DataFrame:

@@ -19,10 +19,12 @@ from flowrisk.operators.messages import to_messages
 from flowrisk.plans.queries import WIRE_FIELDS, as_of_col, register
 from flowrisk.session import scratch_path
 from flowrisk.sinks.dated import DatedTable
+from flowrisk.sinks.offset_topic import OffsetTopic
 from flowrisk.sinks.topic import FileTopic
 from flowrisk.sinks.version_log import folder_bytes
 from flowrisk.sources import events as EV
 from flowrisk.sources.tables import read_table
+from flowrisk.streaming import live as SL
 from flowrisk.streaming import pipeline as SP
 
 # Reference best point of the forest search (trees x depth).
@@ -303,6 +305,97 @@ def q_stream_dedup(spark, sf_dir):
     return SP.read_committed(spark, sinks, sinks.predictions).select("kafka_key", "predicted_attack", "risk_score")
 
 
+# --- aggregates that a stream keeps live ---------------------------------------------------------
+
+
+def run_live_profiles(spark: SparkSession, sf_dir: str) -> SL.ProfileStates:
+    """Profiles of all flows as messages, kept on the state store: the first half of the files, then,
+    started again from its checkpoint, the others."""
+    root = scratch_path(spark, "live-profiles")
+    sinks = SL.ProfileStates(f"{root}/profiles")
+    msgs = to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS)
+    file_rows = max(1, min(FILE_ROWS, -(-msgs.count() // FILES)))
+    second = F.crc32("key") % 2 == 0
+    for part in (msgs.filter(~second), msgs.filter(second)):
+        part.write.mode("append").option("maxRecordsPerFile", file_rows).parquet(f"{root}/source")
+        size = max(1, folder_bytes(spark, f"{root}/source") // EPOCHS)
+        flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=size))
+        scored = EV.score_wire_flows(flows.filter(~F.col("is_corrupt"))).withColumn("created_at", F.col("kafka_timestamp"))
+        _finished(sinks.start(scored, f"{root}/checkpoint", available_now=True))
+    return sinks
+
+
+@register("stream_live_profiles")
+def q_stream_live_profiles(spark, sf_dir):
+    """Attacker profiles from a streaming aggregation in update mode, across a restart."""
+    from flowrisk.operators.profiles import profiles_for_check
+
+    return profiles_for_check(run_live_profiles(spark, sf_dir).read(spark))
+
+
+def run_timeline(spark: SparkSession, sf_dir: str) -> SL.Timeline:
+    """The timeline of all flows as messages. They come in slices of time, in order; one in twenty is held
+    back and comes when all others have been read. The allowed delay is the length of a slice, a
+    quarter of the whole time, so of those held back the ones of the last quarter are still in time."""
+    root = scratch_path(spark, "timeline")
+    flows = EV.load_flows(spark, sf_dir)
+    at = F.unix_micros("kafka_timestamp")
+    ends = flows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    lo, hi = ends["lo"] or 0, ends["hi"] or 0
+    delay = (hi - lo) // EPOCHS + 1
+    held = F.coalesce(F.col("k") % 20 == 7, F.lit(False)) & (at < F.lit(hi))
+    sink = SL.Timeline(f"{root}/timeline", delay, "kafka_timestamp")
+
+    def deliver(rows: DataFrame) -> None:
+        to_messages(rows, WIRE_FIELDS).write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{root}/source")
+
+    def read_on() -> None:
+        size = max(1, folder_bytes(spark, f"{root}/source") // EPOCHS)
+        flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=size))
+        _finished(sink.start(flows.select("kafka_key", "kafka_timestamp"), f"{root}/checkpoint", available_now=True))
+
+    for i in range(EPOCHS):
+        deliver(flows.filter(~held & (at >= F.lit(lo + i * delay)) & (at < F.lit(lo + (i + 1) * delay))))
+    read_on()
+    deliver(flows.filter(held))
+    read_on()
+    return sink
+
+
+@register("stream_timeline")
+def q_stream_timeline(spark, sf_dir):
+    """Rows of every hour that came in time, and those that came late."""
+    sink = run_timeline(spark, sf_dir)
+    late = sink.late(spark).groupBy(F.date_trunc("hour", "kafka_timestamp").alias("timestamp")).agg(F.count(F.lit(1)).alias("late"))
+    zero = F.lit(0).cast("bigint")
+    both = sink.read(spark).withColumn("late", zero).unionByName(late.withColumn("count", zero))
+    return both.groupBy("timestamp").agg(F.sum("count").cast("bigint").alias("count"), F.sum("late").cast("bigint").alias("late"))
+
+
+# --- topic read by offsets -----------------------------------------------------------------------
+
+TOPIC_PARTITIONS = 3
+
+
+def load_topic(spark: SparkSession, sf_dir: str) -> OffsetTopic:
+    """All flows as messages in a topic of three partitions, in two appends."""
+    topic = OffsetTopic(spark, scratch_path(spark, "topic"))
+    msgs = to_messages(EV.load_flows(spark, sf_dir), WIRE_FIELDS)
+    number = F.substring_index("key", "-", -1).cast("bigint")
+    for part in (number % 4 != 0, number % 4 == 0):
+        topic.append(msgs.filter(part), (number % TOPIC_PARTITIONS).cast("int"))
+    return topic
+
+
+@register("topic_read")
+def q_topic_read(spark, sf_dir):
+    """The middle half of each partition, by start and end offsets."""
+    topic = load_topic(spark, sf_dir)
+    ends = topic.ends()
+    found = topic.read({p: n // 4 for p, n in ends.items()}, {p: 3 * n // 4 for p, n in ends.items()})
+    return found.select(F.col("partition").alias("topic_partition"), F.col("offset").alias("topic_offset"), "key", "timestamp")
+
+
 # --- dated tables ------------------------------------------------------------------------------
 
 

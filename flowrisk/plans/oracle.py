@@ -454,6 +454,33 @@ SQL["retention_sweep"] = _w(
 SQL["stream_alerts"] = _w(STREAMED + ALERTS, "SELECT * FROM alerts")
 SQL["stream_attackers"] = _w(STREAMED + PROFILES, PROFILE_SELECT)
 
+SQL["stream_live_profiles"] = _w(STREAMED + PROFILES, PROFILE_SELECT)
+# Delay: a quarter of the whole time; one row in twenty comes when all others have been read.
+SQL["stream_timeline"] = _w(
+    FLOWS + """,
+ends AS (SELECT min(kafka_timestamp) AS lo, max(kafka_timestamp) AS hi FROM flows),
+timed AS (
+  SELECT date_trunc('hour', kafka_timestamp) AS h,
+    coalesce(k % 20 = 7, false) AND kafka_timestamp < hi
+      AND epoch_us(date_trunc('hour', kafka_timestamp) + INTERVAL 1 HOUR)
+          <= epoch_us(hi) - ((epoch_us(hi) - epoch_us(lo)) // 4 + 1) AS late
+  FROM flows, ends WHERE kafka_timestamp IS NOT NULL
+)""",
+    """SELECT h AS "timestamp", count(*) FILTER (WHERE NOT late) AS count, count(*) FILTER (WHERE late) AS late
+       FROM timed GROUP BY 1""",
+)
+SQL["topic_read"] = _w(
+    FLOWS + """,
+topic AS (
+  SELECT CAST(event_id % 3 AS INTEGER) AS topic_partition, kafka_key AS key, kafka_timestamp AS "timestamp",
+    row_number() OVER (PARTITION BY event_id % 3 ORDER BY event_id % 4 = 0, kafka_timestamp, kafka_key) - 1 AS topic_offset,
+    count(*) OVER (PARTITION BY event_id % 3) AS n
+  FROM (SELECT *, CAST(split_part(kafka_key, '-', 2) AS BIGINT) AS event_id FROM flows)
+)""",
+    """SELECT topic_partition, topic_offset, key, "timestamp" FROM topic
+       WHERE topic_offset >= n // 4 AND topic_offset < 3 * n // 4""",
+)
+
 SQL["contract_profile"] = _w(
     FLOWS,
     """SELECT count(*) AS row_count, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE flows)) AS column_count,

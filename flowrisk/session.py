@@ -21,6 +21,8 @@ CLUSTER_CONF: dict[str, str] = {
     "spark.sql.files.maxPartitionBytes": "512m",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.session.timeZone": "UTC",
+    # state of streaming aggregations on local disk instead of the heap
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

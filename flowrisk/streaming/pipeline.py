@@ -166,7 +166,7 @@ def parsed_flows(messages: DataFrame, sensor_id: str = S.DEFAULT_SENSOR_ID, as_o
 # --------------------------------------------------------------------------------------------
 
 
-def _write_epoch(df: DataFrame, path: str, epoch_id: int, extra_partitions: list[str] | None = None) -> None:
+def write_epoch(df: DataFrame, path: str, epoch_id: int, extra_partitions: list[str] | None = None) -> None:
     """Replace the epoch's folder (not only the partitions that ``df`` has rows for)."""
     w = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if extra_partitions:
@@ -178,7 +178,7 @@ def _write_epoch(df: DataFrame, path: str, epoch_id: int, extra_partitions: list
 DIRECT = "direct"
 
 
-def _stream_id(batch: DataFrame) -> str:
+def stream_id(batch: DataFrame) -> str:
     """Id of the streaming query that runs the batch (kept in its checkpoint); ``direct`` outside one."""
     return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or DIRECT
 
@@ -203,7 +203,7 @@ class BatchProcessor:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         t0 = time.monotonic()
-        spark, stream = batch.sparkSession, _stream_id(batch)
+        spark, stream = batch.sparkSession, stream_id(batch)
         log = commits(spark, self.sinks, self.fanout, self.grace)
         # a caller outside a stream may write its newest batch anew
         epoch_id = log.next_epoch(stream, int(batch_id), again=stream == DIRECT)
@@ -214,7 +214,7 @@ class BatchProcessor:
         if "is_corrupt" in batch.columns:
             source = batch.persist(StorageLevel.MEMORY_AND_DISK)
             kept = [c for c in ("kafka_key", "kafka_timestamp", "corrupt_value") if c in batch.columns]
-            _write_epoch(source.filter(F.col("is_corrupt")).select(*kept), self.sinks.quarantine, epoch_id)
+            write_epoch(source.filter(F.col("is_corrupt")).select(*kept), self.sinks.quarantine, epoch_id)
             batch = source.filter(~F.col("is_corrupt")).drop("is_corrupt", "corrupt_value")
         scored = self.scorer(batch).withColumn("created_at", self.clock())
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
@@ -222,15 +222,15 @@ class BatchProcessor:
             metrics = ST.batch_metrics(scored, self.threshold).first()
             latency_ms = int(round((time.monotonic() - t0) * 1000))
             scored_l = scored.withColumn("prediction_latency_ms", F.lit(latency_ms).cast("int"))
-            _write_epoch(TB.raw_rows(scored_l), self.sinks.raw, epoch_id, ["sensor_id"])
+            write_epoch(TB.raw_rows(scored_l), self.sinks.raw, epoch_id, ["sensor_id"])
             preds = TB.prediction_docs(scored_l).withColumn("kafka_key", F.col("event.kafka_key"))
-            _write_epoch(preds, self.sinks.predictions, epoch_id)
+            write_epoch(preds, self.sinks.predictions, epoch_id)
             alerts = AL.to_alerts(scored_l, self.threshold, self.ttl_seconds)
-            _write_epoch(alerts, self.sinks.alerts, epoch_id)
+            write_epoch(alerts, self.sinks.alerts, epoch_id)
             self.alert_topic.publish(as_message(AL.alert_payload(alerts), "alert_id", "payload"), epoch_id)
-            _write_epoch(PR.batch_profiles(scored_l), self.sinks.profile_deltas, epoch_id)
-            _write_epoch(ST.statistics_delta(scored_l, self.threshold), self.sinks.statistics_deltas, epoch_id)
-            _write_epoch(
+            write_epoch(PR.batch_profiles(scored_l), self.sinks.profile_deltas, epoch_id)
+            write_epoch(ST.statistics_delta(scored_l, self.threshold), self.sinks.statistics_deltas, epoch_id)
+            write_epoch(
                 scored.sparkSession.createDataFrame(
                     [(int(metrics["row_count"]), int(metrics["high_risk"]), latency_ms)],
                     "row_count bigint, high_risk bigint, latency_ms int",
