@@ -62,7 +62,9 @@ class OffsetTopic:
         folder = f"{self.path}/append={version + 1}-{uuid.uuid4().hex[:8]}"
         (numbered.withColumn("of", F.col("partition")).sortWithinPartitions("partition", "offset").write.partitionBy("of")
          .option("maxRecordsPerFile", self.file_rows).parquet(f"{folder}/data"))
-        index = (self._data([f"{folder}/data"]).groupBy("partition", F.col("_metadata.file_path").alias("file"))
+        # files are named from the topic's folder on, so it may be mounted elsewhere
+        name = F.concat(F.lit(f"{folder[len(self.path) + 1:]}/data/of="), F.col("partition").cast("string"), F.lit("/"), F.col("_metadata.file_name"))
+        index = (self._data([f"{folder}/data"]).groupBy("partition", name.alias("file"))
                  .agg(F.min("offset").alias("first_offset"), F.max("offset").alias("last_offset")))
         index.select("partition", "first_offset", "last_offset", "file").write.parquet(f"{folder}/index")
         found = self.spark.read.schema(_INDEX).parquet(f"{folder}/index").groupBy("partition").agg(F.max("last_offset").alias("last")).collect()
@@ -81,7 +83,7 @@ class OffsetTopic:
         index = self.spark.read.schema(_INDEX).parquet(*indexes)
         ranges = self.spark.createDataFrame(wanted, "partition int, start bigint, end bigint")
         hit = index.join(F.broadcast(ranges), "partition").where("first_offset < end AND last_offset >= start")
-        return sorted(r["file"] for r in hit.select("file").collect())
+        return sorted(f"{self.path}/{r['file']}" for r in hit.select("file").collect())
 
     def read(self, start: dict[int, int], end: dict[int, int]) -> DataFrame:
         """Messages of offsets ``[start, end)`` of each partition in ``end`` (start 0 if it is not given)."""
