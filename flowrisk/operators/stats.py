@@ -74,13 +74,15 @@ def top_ip_bars(preds: DataFrame, k: int = 8) -> DataFrame:
     )
 
 
+def batch_counts(threshold: float) -> list[Column]:
+    """Row count and high-risk count, to be aggregated or observed."""
+    return [F.count(F.lit(1)).alias("row_count"), F.count_if(F.col("risk_score") >= F.lit(float(threshold))).alias("high_risk")]
+
+
 def batch_metrics(scored: DataFrame, threshold: float) -> DataFrame:
     """Row count, emptiness and high-risk count in one pass."""
-    return scored.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        (F.count(F.lit(1)) == 0).alias("is_empty"),
-        F.count_if(F.col("risk_score") >= F.lit(float(threshold))).alias("high_risk"),
-    )
+    rows, high = batch_counts(threshold)
+    return scored.agg(rows, (F.count(F.lit(1)) == 0).alias("is_empty"), high)
 
 
 def statistics(preds: DataFrame, as_of: Column, threshold: float, k: int = 10, hours: int = 24) -> DataFrame:

@@ -131,12 +131,16 @@ def q_score_flows(spark, sf_dir):
     return scored.select("kafka_key", "source_ip", "Label", "predicted_attack", "confidence", "model_name", "risk_score")
 
 
-def _write_messages(spark: SparkSession, sf_dir: str, path: str) -> int:
-    """Write every flow as messages into a plain folder of several files. Returns the bytes
-    of a micro-batch that make several of them."""
+def _write_messages(spark: SparkSession, sf_dir: str, path: str, malformed: bool = False) -> int:
+    """Write every flow as messages into a plain folder of several files, with ``malformed`` the
+    text of every 89th event with a second opening bracket. Returns the bytes of a micro-batch
+    that make several of them."""
     events = read_table(spark, sf_dir, "events")
     rows = -(-events.count() // FILES)
     msgs = to_messages(EV.flows_from_events(events), WIRE_FIELDS)
+    if malformed:
+        event = F.substring_index("key", "-", -1).cast("long")
+        msgs = msgs.withColumn("value", F.when(event % 89 == 0, F.concat(F.lit("{"), "value")).otherwise(F.col("value")))
     msgs.write.option("maxRecordsPerFile", max(1, min(FILE_ROWS, rows))).parquet(path)
     return max(1, folder_bytes(spark, path) // EPOCHS)
 
@@ -175,7 +179,7 @@ def _finished(q) -> None:
 
 
 def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, scorer=None, clock=None, alert_topic=None,
-               root: str | None = None) -> SP.Sinks:
+               root: str | None = None, malformed: bool = False) -> SP.Sinks:
     """The job over all flows as messages, in several micro-batches; scored by ``scorer`` if given, else by a
     forest trained on the flows. With ``root`` it goes on where an earlier call with it was stopped."""
     again, root = root is not None and folder_bytes(spark, f"{root}/source") > 0, root or scratch_path(spark, "stream")
@@ -185,7 +189,7 @@ def run_stream(spark: SparkSession, sf_dir: str, dedup: bool = False, scorer=Non
     elif dedup:
         size, span = _write_deliveries(spark, sf_dir, f"{root}/source")
     else:
-        size = _write_messages(spark, sf_dir, f"{root}/source")
+        size = _write_messages(spark, sf_dir, f"{root}/source", malformed)
     scorer = scorer or train_flow_model(spark, sf_dir, f"{root}/models").score
     sinks = SP.Sinks(f"{root}/tables")
     stream = SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=size)
@@ -279,6 +283,17 @@ def q_stream_progress(spark, sf_dir):
     return SP.progress_frame(spark, _run_checked(spark, sf_dir))
 
 
+@register("stream_counters")
+def q_stream_counters(spark, sf_dir):
+    """What the writes of all micro-batches counted, beside the rows that their sinks hold;
+    some messages are malformed."""
+    sinks = _run_checked(spark, sf_dir, malformed=True)
+    totals = SP.progress_frame(spark, sinks).agg(*[F.sum(c).alias(c) for c in ("published", "failed", "input_rows", "high_risk", "alerts_sent")])
+    for name, path in (("scored_rows", sinks.predictions), ("malformed_rows", sinks.quarantine), ("alert_rows", sinks.alerts), ("message_rows", sinks.alert_messages)):
+        totals = totals.withColumn(name, F.lit(SP.read_committed(spark, sinks, path).count()).cast("bigint"))
+    return totals
+
+
 @register("stream_pipeline")
 def q_stream_pipeline(spark, sf_dir):
     sinks = run_stream(spark, sf_dir)

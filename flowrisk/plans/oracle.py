@@ -436,6 +436,16 @@ SQL["stream_ingest"] = _w(
     + """, false AS is_corrupt, CAST(NULL AS VARCHAR) AS corrupt_value, 'sensor-01' AS sensor_id,
        kafka_timestamp AS event_time, source_ip FROM flows""")
 SQL["stream_recovered"] = _w(STREAMED + ALERTS, "SELECT * FROM alerts")
+SQL["stream_counters"] = _w(
+    STREAMED + """,
+counted AS (
+  SELECT count(*) AS published, count(*) FILTER (WHERE CAST(split_part(kafka_key, '-', -1) AS BIGINT) % 89 = 0) AS failed,
+    count(*) FILTER (WHERE CAST(split_part(kafka_key, '-', -1) AS BIGINT) % 89 <> 0) AS good,
+    count(*) FILTER (WHERE CAST(split_part(kafka_key, '-', -1) AS BIGINT) % 89 <> 0 AND risk_score >= 80) AS alerts
+  FROM scored
+)""",
+    """SELECT CAST(published AS BIGINT) AS published, failed, good AS input_rows, alerts AS high_risk, alerts AS alerts_sent,
+              good AS scored_rows, failed AS malformed_rows, alerts AS alert_rows, alerts AS message_rows FROM counted""")
 SQL["raw_by_date"] = SQL["raw_upsert"]
 SQL["recent_events_by_date"] = SQL["recent_events"]
 SQL["predictions_seek"] = _w(

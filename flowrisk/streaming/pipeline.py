@@ -21,7 +21,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from flowrisk import schema as S
@@ -174,6 +174,9 @@ def write_epoch(df: DataFrame, path: str, epoch_id: int, extra_partitions: list[
     w.parquet(f"{path}/epoch_id={int(epoch_id)}")
 
 
+#: What the writes of a micro-batch count as they run: messages read, of these malformed; rows scored,
+#: of these at high risk; alert messages sent.
+COUNTERS = ("published", "failed", "row_count", "high_risk", "alerts_sent")
 #: Stands for the stream's id where a batch is processed outside one.
 DIRECT = "direct"
 
@@ -210,36 +213,39 @@ class BatchProcessor:
         if epoch_id is None:
             LOG.info("batch %s of %s is committed already", batch_id, stream)
             return
-        source = None
+        source, read = None, None
         if "is_corrupt" in batch.columns:
             source = batch.persist(StorageLevel.MEMORY_AND_DISK)
             kept = [c for c in ("kafka_key", "kafka_timestamp", "corrupt_value") if c in batch.columns]
-            write_epoch(source.filter(F.col("is_corrupt")).select(*kept), self.sinks.quarantine, epoch_id)
+            read = Observation()
+            counted = source.observe(read, F.count(F.lit(1)).alias("published"), F.count_if("is_corrupt").alias("failed"))
+            write_epoch(counted.filter(F.col("is_corrupt")).select(*kept), self.sinks.quarantine, epoch_id)
             batch = source.filter(~F.col("is_corrupt")).drop("is_corrupt", "corrupt_value")
         scored = self.scorer(batch).withColumn("created_at", self.clock())
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            metrics = ST.batch_metrics(scored, self.threshold).first()
+            # the raw table takes no latency: its write scores the batch and counts it
+            stored = Observation()
+            counted = scored.observe(stored, *ST.batch_counts(self.threshold))
+            write_epoch(TB.raw_rows(counted), self.sinks.raw, epoch_id, ["sensor_id"])
             latency_ms = int(round((time.monotonic() - t0) * 1000))
             scored_l = scored.withColumn("prediction_latency_ms", F.lit(latency_ms).cast("int"))
-            write_epoch(TB.raw_rows(scored_l), self.sinks.raw, epoch_id, ["sensor_id"])
             preds = TB.prediction_docs(scored_l).withColumn("kafka_key", F.col("event.kafka_key"))
             write_epoch(preds, self.sinks.predictions, epoch_id)
             alerts = AL.to_alerts(scored_l, self.threshold, self.ttl_seconds)
             write_epoch(alerts, self.sinks.alerts, epoch_id)
-            self.alert_topic.publish(as_message(AL.alert_payload(alerts), "alert_id", "payload"), epoch_id)
+            sent = Observation()
+            messages = as_message(AL.alert_payload(alerts), "alert_id", "payload").observe(sent, F.count(F.lit(1)).alias("alerts_sent"))
+            self.alert_topic.publish(messages, epoch_id)
             write_epoch(PR.batch_profiles(scored_l), self.sinks.profile_deltas, epoch_id)
             write_epoch(ST.statistics_delta(scored_l, self.threshold), self.sinks.statistics_deltas, epoch_id)
-            write_epoch(
-                scored.sparkSession.createDataFrame(
-                    [(int(metrics["row_count"]), int(metrics["high_risk"]), latency_ms)],
-                    "row_count bigint, high_risk bigint, latency_ms int",
-                ),
-                self.sinks.batch_log,
-                epoch_id,
-            )
-            log.commit(epoch_id, stream, int(batch_id), row_count=int(metrics["row_count"]), high_risk=int(metrics["high_risk"]))
-            LOG.info("epoch %s: %s rows scored, %s high risk", epoch_id, metrics["row_count"], metrics["high_risk"])
+            counters = {"row_count": 0, "high_risk": 0} | stored.get
+            counters = {"published": counters["row_count"], "failed": 0} | counters | (read.get if read else {}) | sent.get
+            counters = {c: int(counters[c]) for c in COUNTERS} | {"elapsed_ms": int(round((time.monotonic() - t0) * 1000)), "latency_ms": latency_ms}
+            one_row = spark.createDataFrame([tuple(counters.values())], ", ".join(f"{c} {'int' if c == 'latency_ms' else 'bigint'}" for c in counters))
+            write_epoch(one_row, self.sinks.batch_log, epoch_id)
+            log.commit(epoch_id, stream, int(batch_id), **counters)
+            LOG.info("epoch %s: %s", epoch_id, counters)
         finally:
             scored.unpersist()
             if source is not None:
@@ -348,12 +354,18 @@ def reset_tables(spark: SparkSession, sinks: Sinks) -> None:
 
 
 def progress_frame(spark: SparkSession, sinks: Sinks) -> DataFrame:
-    """Counters of every micro-batch (rows, time, rate) from the batch log, which
-    each batch writes; however many batches a stream has run."""
+    """Counters of every micro-batch (messages, rows, alerts, time, rate) from the batch log,
+    which each batch writes; however many batches a stream has run. The counts are observed
+    in the writes themselves, so they cost no job of their own."""
     log = commits(spark, sinks).committed(sinks.batch_log)
     return log.select(
         F.col("epoch_id").cast("bigint").alias("batch_id"),
+        "published",
+        "failed",
         F.col("row_count").alias("input_rows"),
+        "high_risk",
+        "alerts_sent",
         F.col("latency_ms").cast("bigint").alias("trigger_ms"),
-        (F.col("row_count") * 1000.0 / F.greatest("latency_ms", F.lit(1))).alias("processed_rows_per_sec"),
+        "elapsed_ms",
+        (F.col("published") * 1000.0 / F.greatest("elapsed_ms", F.lit(1))).alias("processed_rows_per_sec"),
     )

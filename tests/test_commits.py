@@ -126,3 +126,43 @@ def test_batches_keep_statistics_fresh_and_reset_forgets(spark):
     proc(batch.limit(10), 1)
     assert SP.read_committed(spark, sinks, sinks.predictions).count() == spark.read.parquet(sinks.predictions).count() == 10
     assert SP.read_profiles(spark, sinks).agg(F.sum("event_count")).first()[0] == 10
+
+
+def test_observed_counters_equal_the_sinks(spark):
+    sinks = J._run_checked(spark, SF_SMALL, malformed=True)
+    log = SP.progress_frame(spark, sinks).orderBy("batch_id").collect()
+    assert len(log) >= 3 and sum(r.failed for r in log) > 0
+
+    def rows(path):
+        return {r["epoch_id"]: r["count"] for r in SP.read_committed(spark, sinks, path).groupBy("epoch_id").count().collect()}
+
+    scored, bad, sent = rows(sinks.predictions), rows(sinks.quarantine), rows(sinks.alert_messages)
+    for r in log:
+        assert (r.input_rows, r.failed, r.alerts_sent) == (scored.get(r.batch_id, 0), bad.get(r.batch_id, 0), sent.get(r.batch_id, 0))
+        assert r.published == r.input_rows + r.failed and r.high_risk == r.alerts_sent
+        assert r.elapsed_ms >= r.trigger_ms > 0 and r.processed_rows_per_sec > 0
+    state = SP.commits(spark, sinks).log.newest()[1]  # the commit says the same
+    assert all(state[c] == log[-1][n] for c, n in (("published", "published"), ("failed", "failed"), ("row_count", "input_rows"), ("alerts_sent", "alerts_sent")))
+
+
+def test_counting_costs_no_job(spark):
+    """A batch runs as many jobs as it has writes, whose counts come with them."""
+    root = scratch_path(spark, "t-jobs")
+    batch = SP.parsed_flows(to_messages(EV.load_flows(spark, SF_SMALL), WIRE)).drop("is_corrupt")
+    sinks = SP.Sinks(f"{root}/tables")
+    sc, group = spark.sparkContext, f"jobs-{root[-12:]}"
+    sc.setJobGroup(group, "one batch")
+    try:
+        SP.BatchProcessor(sinks, scorer)(batch, 0)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    assert len(jobs) <= 2 * len(sinks.epoch_tables())  # adaptive shuffles run a job of their own
+    assert SP.progress_frame(spark, sinks).first().published == batch.count()
+
+
+def test_counters_of_empty_batches(spark):
+    sinks = SP.Sinks(f"{scratch_path(spark, 't-none')}/tables")
+    SP.BatchProcessor(sinks, scorer)(SP.parsed_flows(to_messages(EV.load_flows(spark, SF_SMALL), WIRE)).limit(0), 0)
+    r = SP.progress_frame(spark, sinks).first()
+    assert (r.published, r.failed, r.input_rows, r.high_risk, r.alerts_sent) == (0, 0, 0, 0, 0)
