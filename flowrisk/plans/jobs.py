@@ -15,6 +15,7 @@ from flowrisk.functions import scalar as X
 from flowrisk.operators import alerts as AL
 from flowrisk.operators import ml as ML
 from flowrisk.operators import tables as TB
+from flowrisk.operators import variants as VR
 from flowrisk.operators.messages import to_messages
 from flowrisk.plans.queries import WIRE_FIELDS, as_of_col, register
 from flowrisk.session import scratch_path
@@ -23,6 +24,7 @@ from flowrisk.sinks.offset_topic import OffsetTopic
 from flowrisk.sinks.topic import FileTopic
 from flowrisk.sinks.version_log import folder_bytes
 from flowrisk.sources import events as EV
+from flowrisk.sources import footers as FT
 from flowrisk.sources.tables import read_table
 from flowrisk.streaming import live as SL
 from flowrisk.streaming import pipeline as SP
@@ -468,3 +470,65 @@ def q_retention_sweep(spark, sf_dir):
     reports.sweep(now + F.make_interval(days=F.lit(REPORTS_SWEPT)), S.ANOMALY_REPORT_RETENTION_DAYS * 86400)
     return (predictions.read().select(F.lit("predictions").alias("table_name"), F.col("kafka_key").alias("id"), "source_ip", "created_at")
             .unionByName(reports.read().select(F.lit("anomaly_reports").alias("table_name"), F.col("alert_id").alias("id"), "source_ip", "created_at")))
+
+
+def _part_files(spark: SparkSession, flows: DataFrame, path: str, files: int = FILES) -> None:
+    """Flows as several part files."""
+    rows = -(-flows.count() // files)
+    flows.write.option("maxRecordsPerFile", max(1, min(FILE_ROWS, rows))).parquet(path)
+
+
+@register("contract_footers")
+def q_contract_footers(spark, sf_dir):
+    """Rows and nulls of every column of the flows, from their part files' footers."""
+    path = scratch_path(spark, "parts")
+    _part_files(spark, EV.load_flows(spark, sf_dir), path)
+    return FT.totals(FT.file_facts(spark, path)).select("column_name", "row_count", "null_count", "critical")
+
+
+@register("contract_files")
+def q_contract_files(spark, sf_dir):
+    """Verdicts of part files, summed up by their sensor's folder: one sensor's files lack a
+    column, another's hold one as a wider type, and some critical fields are null."""
+    path = scratch_path(spark, "parts")
+    declared = dict(S.FLOW_COLUMNS)
+    flows = EV.load_flows(spark, sf_dir).withColumn("Flow Duration", X.col("Flow Duration").cast(declared["Flow Duration"]))
+    shapes = {
+        "sensor-01": flows.withColumn("Label", F.when(F.col("event_time").isNotNull() & (F.col("k") % 10 != 3), F.col("Label"))),
+        "sensor-02": flows.drop("Flow Duration"),
+        "sensor-03": flows.withColumn("Destination Port", X.col("Destination Port").cast("bigint")),
+    }
+    for sensor, shaped in shapes.items():
+        _part_files(spark, shaped.filter(F.col("sensor_id") == sensor), f"{path}/{sensor}", files=3)
+    v = FT.verdicts(FT.file_facts(spark, path), S.FLOW_SCHEMA)
+    listed = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), ", ")
+    return v.groupBy(F.element_at(F.split("file", "/"), -2).alias("folder")).agg(
+        F.sum("row_count").alias("row_count"), listed("missing").alias("missing"), listed("other_type").alias("other_type"),
+        F.sum("critical_nulls").alias("critical_nulls"), F.bool_and("contract_ok").alias("contract_ok"))
+
+
+@register("prediction_variants")
+def q_prediction_variants(spark, sf_dir):
+    """Prediction documents of three record shapes in one table of variants, read back by path."""
+    path = scratch_path(spark, "variants")
+    docs = TB.prediction_docs(EV.load_scored(spark, sf_dir))
+    event = docs.schema["event"].dataType.fieldNames()
+
+    def shaped(sensor: str, *fields) -> DataFrame:
+        own = docs.filter(F.col("sensor_id") == sensor)
+        return own.withColumn("event", F.struct(*fields)) if fields else own
+
+    field = lambda c: F.col("event")[c].alias(c)
+    VR.variant_docs(shaped("sensor-01")).write.parquet(path)
+    VR.variant_docs(shaped("sensor-02", *[field(c) for c in event[:4]], F.array(field("k"), F.lit(-1)).alias("seen"))).write.mode("append").parquet(path)
+    VR.variant_docs(shaped("sensor-03", field("kafka_key"), F.col("event")["Destination Port"].cast("string").alias("Destination Port"),
+                           F.struct(field("k")).alias("props"))).write.mode("append").parquet(path)
+    back = spark.read.parquet(path)
+    return back.select(
+        "sensor_id", "predicted_attack", "risk_score", "created_at",
+        VR.event_field("kafka_key", "string").alias("kafka_key"),
+        VR.event_field("Destination Port", "int").alias("destination_port"),
+        VR.event_field("Flow Duration", "bigint").alias("flow_duration"),
+        VR.event_field(EV.NULLABLE, dict(S.FLOW_COLUMNS)[EV.NULLABLE]).cast("double").alias("nullable_field"),
+        F.coalesce(VR.event_field("k", "int"), VR.event_field(["seen", 0], "int"), VR.event_field(["props", "k"], "int")).alias("k"),
+    )

@@ -309,6 +309,13 @@ SQL["prediction_docs"] = _w(
               CAST(NULL AS INTEGER) AS event_prediction_latency_ms
        FROM scored""",
 )
+SQL["prediction_variants"] = _w(
+    SCORED,
+    """SELECT sensor_id, predicted_attack, risk_score, created_at, kafka_key, "Destination Port" AS destination_port,
+              CASE sensor_id WHEN 'sensor-01' THEN "Flow Duration" WHEN 'sensor-02' THEN "Flow Duration" END AS flow_duration,
+              CASE WHEN sensor_id = 'sensor-01' THEN CAST("Idle Std" AS DOUBLE) END AS nullable_field, k
+       FROM scored WHERE sensor_id IN ('sensor-01', 'sensor-02', 'sensor-03')""",
+)
 PAGE = "(SELECT * FROM scored WHERE predicted_attack = 'Botnet' ORDER BY created_at DESC, kafka_key DESC LIMIT 20 OFFSET 20)"
 SQL["predictions_page"] = _w(
     SCORED,
@@ -504,6 +511,30 @@ SQL["null_counts"] = _w(
         for i, c in enumerate(FLOW_ADAPTER_COLUMNS)
     ),
 )
+SQL["contract_footers"] = _w(
+    FLOWS,
+    "\nUNION ALL\n".join(
+        f"SELECT {_lit(c)} AS column_name, count(*) AS row_count, count(*) FILTER (WHERE {_q(c)} IS NULL) AS null_count, "
+        f"{'true' if c in ('Label', 'Destination Port', 'Flow Duration') else 'false'} AS critical FROM flows"
+        for c in FLOW_ADAPTER_COLUMNS
+    ),
+)
+SQL["contract_files"] = _w(
+    FLOWS + """,
+shaped AS (
+  SELECT sensor_id, "Destination Port" AS port,
+    CASE WHEN sensor_id <> 'sensor-02' THEN "Flow Duration" ELSE 0 END AS duration,
+    CASE WHEN sensor_id <> 'sensor-01' OR (event_time IS NOT NULL AND k % 10 <> 3) THEN "Label" END AS label
+  FROM flows WHERE sensor_id IN ('sensor-01', 'sensor-02', 'sensor-03')
+),
+summed AS (
+  SELECT sensor_id AS folder, count(*) AS row_count,
+    CASE sensor_id WHEN 'sensor-02' THEN 'Flow Duration' ELSE '' END AS missing,
+    CASE sensor_id WHEN 'sensor-03' THEN 'Destination Port' ELSE '' END AS other_type,
+    3 * count(*) - count(port) - count(duration) - count(label) AS critical_nulls
+  FROM shaped GROUP BY sensor_id
+)""",
+    "SELECT *, missing = '' AND other_type = '' AND critical_nulls = 0 AS contract_ok FROM summed")
 SQL["label_values"] = _w(FLOWS, 'SELECT DISTINCT "Label" AS label FROM flows WHERE "Label" IS NOT NULL ORDER BY 1')
 SQL["missing_features"] = _w(
     FLOWS + _features_cte(),
