@@ -4,21 +4,24 @@ distance of a benchmark item.
 Texts are lower-cased, white space runs become one space. An item of ``n`` characters
 matches a passage at edit distance ``d = floor(RATIO * n)`` or less. Per document:
 
-1. Windows. Disjoint pieces of an item: at distance ``d`` one of ``d + 1`` is whole, so
-   grams of ``q <= (n - d) / (d + 1)`` characters are shared; by the q-gram lemma a match
-   shares ``n - q + 1 - q * d`` of them on ``2 * d + 1`` neighbouring diagonals. Item-sized
-   windows start where the grams on a band of diagonals reach that count. No match is lost.
-2. CGK embedding. Random walks map a window and the item to strings of steps whose
-   Hamming distance follows the edit distance. Bands of sampled steps are compared
-   (bit-sampling LSH); a window goes on if one band agrees whole. The number of walks is
-   the least at which items with ``d`` random edits are found at ``RECALL``, measured
-   before the search on all items, ``TRIALS`` times each, in the windows that step 1
-   gives; all windows of an item that was lost once go on.
+1. Windows: places and sizes. Disjoint pieces of an item: at distance ``d`` one of
+   ``d + 1`` is whole, so grams of ``q <= (n - d) / (d + 1)`` characters are shared; by the
+   q-gram lemma a match shares ``n - q + 1 - q * d`` of them on ``2 * d + 1`` neighbouring
+   diagonals. Windows of ``n`` characters start where the grams on a band of diagonals
+   reach that count. No match is lost.
+2. Candidates. CGK embedding: random walks map windows and items to strings of steps whose
+   Hamming distance follows the edit distance. Bands of ``STEPS`` sampled steps
+   (bit-sampling LSH) of a window are looked up in the table of all items' bands: the items
+   of its size with an equal band are its candidates. A band is so long that few unrelated
+   windows share one of an item's; the number of walks, each of which gives ``BANDS``
+   bands, is the least at which items with ``d`` random edits are found at ``RECALL``,
+   measured in tasks before the search on all items, ``TRIALS`` times each, in the windows
+   that step 1 gives. An item that was lost once is a candidate of all its windows.
 3. Verification: exact edit distance (bit-parallel, free ends) between the item and the
    passage around the window.
 
 The items are the query set: they are sent to all tasks in blocks of ``BLOCK_CHARS``
-characters at most; each block is one pass over the documents.
+characters, about; each block is one pass over the documents.
 
 Defined results: null and empty texts and items match nothing; items of equal texts
 match each on its own; repeated rows give repeated results; empty tables give no
@@ -27,6 +30,7 @@ matches; further columns are ignored or kept as they are.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,18 +39,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from flowrisk.llm.common import byte_sizes, mix64, rows, slices, texts, trimmed
+from flowrisk.llm.common import byte_sizes, mix64, partitions, rows, slices, texts, trimmed
 from flowrisk.llm.suffix_dedup import gram_hashes
 
 #: Edit distance per item character, share of random matches that LSH must find.
 RATIO, RECALL = 0.1, 0.99
 GRAM = 8
-BANDS, STEPS = 8, 2
-MAX_WALKS = 32
+BANDS, STEPS = 8, 6
+MAX_WALKS = 64
 #: Random edits of each item that calibrate the walks.
 TRIALS = 4
 #: Characters of benchmark items that go to all tasks at once.
-BLOCK_CHARS = 20_000_000
+BLOCK_CHARS = 4_000_000
 
 
 def normalise(text: str | None) -> str:
@@ -93,8 +97,8 @@ class Embedding:
     def __init__(self, walks: int, seed: int = 1):
         rng = np.random.default_rng(seed)
         self.seeds = rng.integers(1, 2**63, MAX_WALKS, dtype=np.int64).astype(np.uint64)[:walks]
-        # a walk passes a character in two steps on average: sample where both strings still go on
-        self.at = rng.random((MAX_WALKS, BANDS * STEPS))[:walks] * 1.6
+        # a walk passes a character in two steps on average; the earlier steps are in step more often
+        self.at = rng.random((MAX_WALKS, BANDS * STEPS))[:walks]
 
     def bands(self, strings: list[np.ndarray], n: np.ndarray) -> np.ndarray:
         """[string, walk, band * step]: the embedded characters at the sampled steps; ``n``: the item's length."""
@@ -113,6 +117,15 @@ class Embedding:
             pos += (mix64(now * np.uint64(0x9E3779B97F4A7C15) + self.seeds[None] + np.uint64(j * 0x632BE5AB & (2**64 - 1))) >> np.uint64(63)).astype(np.int64)
         return out.reshape(count, walks, BANDS, STEPS)
 
+    def keys(self, strings: list[np.ndarray], n: np.ndarray) -> np.ndarray:
+        """[string, walk, band]: a hash of the band's steps, its place and the item's length."""
+        bands = self.bands(strings, n)
+        place = np.arange(bands.shape[1] * BANDS, dtype=np.uint64).reshape(1, -1, BANDS)
+        key = mix64((n.astype(np.uint64)[:, None, None] << np.uint64(20)) + place)
+        for k in range(STEPS):
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + bands[..., k])
+        return key
+
 
 def _mutated(p: np.ndarray, edits: int, alphabet: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     s = p.tolist()
@@ -131,7 +144,7 @@ def _mutated(p: np.ndarray, edits: int, alphabet: np.ndarray, rng: np.random.Gen
 class Items:
     """A block of benchmark items, indexed for the search."""
 
-    def __init__(self, ids: list[int], items: list[str], ratio: float = RATIO, recall: float = RECALL):
+    def __init__(self, ids: list[int], items: list[str], ratio: float = RATIO, recall: float = RECALL, hits: dict[str, bytes] | None = None):
         named = [(i, t) for i, t in zip(ids, items, strict=True) if t]
         self.ids = [i for i, _ in named]
         self.texts = [t for _, t in named]
@@ -141,9 +154,24 @@ class Items:
         self.q = np.minimum(GRAM, (self.n - self.d) // (self.d + 1))
         self.least = np.maximum(1, self.n - self.q + 1 - self.q * self.d)
         self.groups = [self._indexed(int(q)) for q in np.unique(self.q)] if named else []
-        self.exact = np.zeros(len(named), bool)  # items whose windows are all verified
-        self.embedding, self.recall = self._calibrated(recall)
-        self.own = self.embedding.bands(self.points, self.n) if named else None
+        self.exact = np.zeros(len(named), bool)  # items that are candidates of all their windows
+        self.embedding, self.recall = Embedding(1), 1.0
+        if named and recall:
+            self._calibrated(recall, np.stack([np.frombuffer(hits[t], np.uint8) for t in self.texts]) if hits else self.trials())
+            self.table = self._banded()
+
+    @property
+    def own(self) -> np.ndarray | None:
+        """The items' bands."""
+        return self.embedding.bands(self.points, self.n) if self.texts else None
+
+    def _banded(self) -> tuple[np.ndarray, np.ndarray]:
+        """Band keys of the items, sorted, and the item of each."""
+        of = np.nonzero(~self.exact)[0]
+        keys = [self.embedding.keys([self.points[i] for i in part], self.n[part]).reshape(-1) for part in np.array_split(of, max(1, len(of) // 256)) if len(part)]
+        key = np.concatenate([*keys, np.empty(0, np.uint64)])
+        order = np.argsort(key, kind="stable")
+        return key[order], np.repeat(of, len(self.embedding.seeds) * BANDS)[order].astype(np.int32)
 
     def _indexed(self, q: int):
         of = np.nonzero(self.q == q)[0]
@@ -160,33 +188,37 @@ class Items:
         maybe[(keys >> np.uint64(64 - bits)).astype(np.int64)] = True
         return q, keys, np.append(first, len(grams)), item[order], offset[order], np.uint64(64 - bits), maybe
 
-    def _calibrated(self, recall: float) -> tuple[Embedding, float]:
-        """The fewest walks at which items with as many random edits as allowed are found at
-        ``recall``, and the share found with them; marks the items that are lost as ``exact``."""
-        if not self.texts:
-            return Embedding(1), 1.0
-        rng = np.random.default_rng(7)
-        alphabet = np.unique(np.concatenate(self.points))
+    def trials(self) -> np.ndarray:
+        """[item, bytes]: for each trial and walk a bit, whether the item with as many random edits as
+        allowed is found. An item's trials follow from its text alone, wherever they run."""
         full = Embedding(MAX_WALKS)
         same = np.zeros((len(self.texts), TRIALS, MAX_WALKS), bool)
         for a in range(0, len(self.texts), 64):
             of = np.repeat(np.arange(a, min(a + 64, len(self.texts))), TRIALS)
             batch = []
-            for i in of:
-                around = ("".join(map(chr, rng.choice(alphabet, 40))) for _ in range(2))
-                edited = _mutated(self.points[i], int(self.d[i]), alphabet, rng)
-                batch.append(normalise(" ".join([next(around), "".join(map(chr, edited)), next(around)])))
+            for i in of[::TRIALS]:
+                rng, alphabet = np.random.default_rng(zlib.crc32(self.texts[i].encode("utf-8", "surrogatepass"))), np.unique(self.points[i])
+                for _ in range(TRIALS):
+                    edited = _mutated(self.points[i], int(self.d[i]), alphabet, rng)
+                    around = ["".join(map(chr, rng.choice(alphabet, 40))) for _ in range(2)]
+                    batch.append(normalise(" ".join([around[0], "".join(map(chr, edited)), around[1]])))
             found = [f for f in self._found(batch) if f[1] == of[f[0]]]
-            own = full.bands([self.points[i] for i in of[::TRIALS]], self.n[of[::TRIALS]])
+            own = full.keys([self.points[i] for i in of[::TRIALS]], self.n[of[::TRIALS]])
             for b in range(0, len(found), 256):
                 part = found[b : b + 256]
                 who = np.array([i for _, i, _ in part])
-                hit = (full.bands(self._cut(batch, part), self.n[who]) == own[who - a]).all(axis=3).any(axis=2)
+                hit = (full.keys(self._cut(batch, part), self.n[who]) == own[who - a]).any(axis=2)
                 np.logical_or.at(same, (who, np.array([t % TRIALS for t, _, _ in part])), hit)
+        return np.packbits(same.reshape(len(self.texts), -1), axis=1)
+
+    def _calibrated(self, recall: float, trials: np.ndarray) -> None:
+        """Takes the fewest walks at which the trials are found at ``recall``, notes the share that
+        is found with them, and marks the items that are lost as ``exact``."""
+        same = np.unpackbits(trials, axis=1)[:, : TRIALS * MAX_WALKS].reshape(len(trials), TRIALS, MAX_WALKS).astype(bool)
         at_least = np.logical_or.accumulate(same, axis=2)
         walks = next((w for w in range(1, MAX_WALKS + 1) if at_least[:, :, w - 1].mean() >= recall), MAX_WALKS)
         self.exact = ~at_least[:, :, walks - 1].all(axis=1)
-        return Embedding(walks), float((at_least[:, :, walks - 1] | self.exact[:, None]).mean())
+        self.embedding, self.recall = Embedding(walks), float((at_least[:, :, walks - 1] | self.exact[:, None]).mean())
 
     def search(self, batch: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, edits, start, end) of the best passage of each text and item; offsets in the normalised text."""
@@ -245,16 +277,20 @@ class Items:
         return [points(batch[t][max(0, s) : max(0, s + int(self.n[i]))]) for t, i, s in found]
 
     def _near(self, batch: list[str], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Windows of which one LSH band agrees with the item's, and all of ``exact`` items."""
-        found = sorted(set(found))
-        kept = [f for f in found if self.exact[f[1]]]
-        found = [f for f in found if not self.exact[f[1]]]
-        for a in range(0, len(found), 256):
-            part = found[a : a + 256]
-            who = np.array([i for _, i, _ in part])
-            same = (self.embedding.bands(self._cut(batch, part), self.n[who]) == self.own[who]).all(axis=3).any(axis=(1, 2))
-            kept += [f for f, x in zip(part, same, strict=True) if x]
-        return kept
+        """Candidates of the windows: the items of a window's size that share a band with it, and
+        the ``exact`` items of the windows that they gave."""
+        kept = {f for f in found if self.exact[f[1]]}
+        one = {(t, int(self.n[i]), s): (t, i, s) for t, i, s in found if not self.exact[i]}  # a window, whichever item gave it
+        windows = sorted(one.values())
+        keys, item = self.table
+        for a in range(0, len(windows), 256):
+            part = windows[a : a + 256]
+            looked = self.embedding.keys(self._cut(batch, part), self.n[np.array([i for _, i, _ in part])]).reshape(len(part), -1)
+            first, last = np.searchsorted(keys, looked, "left"), np.searchsorted(keys, looked, "right")
+            for w, k in zip(*np.nonzero(last > first), strict=True):
+                t, _, s = part[w]
+                kept.update((t, int(i), s) for i in set(item[first[w, k] : last[w, k]].tolist()))
+        return sorted(kept)
 
     def _verified(self, batch: list[str], near: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -273,8 +309,24 @@ def item_blocks(benchmark: DataFrame, ratio: float = RATIO, recall: float = RECA
     chars = named.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(chars) // block_chars))
     for k in range(blocks):
-        got = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        yield Items([r["item_id"] for r in got], [normalise(r["text"]) for r in got], ratio, recall)
+        block = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        got = block.orderBy("item_id", "text").collect()
+        hits = {r["item"]: bytes(r["hits"]) for r in _trials(block, ratio).collect()} if got else None
+        yield Items([r["item_id"] for r in got], [normalise(r["text"]) for r in got], ratio, recall, hits)
+
+
+def _trials(block: DataFrame, ratio: float) -> DataFrame:
+    """Calibration trials of a block's different items, run in tasks: item, hits."""
+    schema = pa.schema([("item", pa.string()), ("hits", pa.binary())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = Items([0] * b.num_rows, [normalise(t) for t in b.column("text").to_pylist()], ratio, recall=0.0)
+            if of.texts:
+                yield rows({"item": of.texts, "hits": [x.tobytes() for x in of.trials()]}, schema)
+        trimmed()
+
+    return block.select("text").distinct().repartition(partitions(block.sparkSession), "text").mapInArrow(run, "item string, hits binary")
 
 
 def _with_matches(docs: DataFrame, items: Items, column: str) -> DataFrame:
