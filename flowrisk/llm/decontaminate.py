@@ -108,12 +108,15 @@ class Embedding:
         for i, s in enumerate(strings):
             padded[i, : len(s)] = s
         want = np.minimum((self.at[None] * n[:, None, None]).astype(np.int64), 2 * n[:, None, None])
-        out = np.zeros(want.shape, np.uint64)
+        out = np.zeros(want.size, np.uint64)
+        steps = int(want.max(initial=-1)) + 1
+        order = np.argsort(want.reshape(-1), kind="stable")  # the samples in the order of their steps
+        cuts = np.searchsorted(want.reshape(-1)[order], np.arange(steps + 1))
+        whose = order // (BANDS * STEPS)
         pos, row = np.zeros((count, walks), np.int64), np.arange(count)[:, None]
-        for j in range(int(want.max(initial=-1)) + 1):
+        for j in range(steps):
             now = padded[row, np.minimum(pos, size[:, None])]
-            i, w, k = np.nonzero(want == j)
-            out[i, w, k] = now[i, w]
+            out[order[cuts[j] : cuts[j + 1]]] = now.reshape(-1)[whose[cuts[j] : cuts[j + 1]]]
             pos += (mix64(now * np.uint64(0x9E3779B97F4A7C15) + self.seeds[None] + np.uint64(j * 0x632BE5AB & (2**64 - 1))) >> np.uint64(63)).astype(np.int64)
         return out.reshape(count, walks, BANDS, STEPS)
 
@@ -326,7 +329,7 @@ def _trials(block: DataFrame, ratio: float) -> DataFrame:
                 yield rows({"item": of.texts, "hits": [x.tobytes() for x in of.trials()]}, schema)
         trimmed()
 
-    return block.select("text").distinct().repartition(partitions(block.sparkSession), "text").mapInArrow(run, "item string, hits binary")
+    return block.select("text").repartition(partitions(block.sparkSession), "text").mapInArrow(run, "item string, hits binary")
 
 
 def _with_matches(docs: DataFrame, items: Items, column: str) -> DataFrame:
