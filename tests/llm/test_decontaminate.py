@@ -89,6 +89,20 @@ def test_calibrated_recall(data):
     other = [decontaminate.points(words(rng, 40)) for _ in items.texts]
     same = (items.embedding.bands(other, items.n) == items.own).all(axis=3).any(axis=(1, 2))
     assert same.mean() < 0.6
+    # by the table of bands: under 1 % of unrelated windows of any item's size have a candidate
+    items.exact[:] = False
+    windows = [(words(rng, 40 + int(n) // 4), i) for i, n in enumerate(items.n)] * 8
+    near = items._near([t for t, _ in windows], [(t, i, int(rng.integers(0, 9))) for t, (_, i) in enumerate(windows)])
+    assert len(near) <= 0.05 * len(windows)  # words of one small vocabulary: not as unlike as texts are
+
+
+def test_trials_follow_from_the_text_alone(data):
+    """Trials run in tasks give the same calibration, whatever rows a task holds."""
+    ids, named = zip(*data[1], strict=True)
+    whole = decontaminate.Items(ids, named)
+    alone = {t: decontaminate.Items([0], [t], recall=0.0).trials()[0].tobytes() for t in whole.texts}
+    split = decontaminate.Items(ids, named, hits=alone)
+    assert np.mean(split.exact == whole.exact) >= 0.9 and abs(len(split.embedding.seeds) - len(whole.embedding.seeds)) <= 4
 
 
 def test_embedding_walks_by_definition():
