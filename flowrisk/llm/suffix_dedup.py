@@ -17,7 +17,8 @@ per 18 bytes, and only suffixes that begin at anchors are sorted, not all.
    on) and compares neighbours: the strings of equal suffixes that lie in a document
    with a smaller id are reported to the batch of the larger. Equal leading bytes fall
    to one bucket, so a bucket's neighbours across its borders differ.
-3. A batch removes the bytes that the reported strings cover.
+3. A batch removes the bytes that the reported strings cover. Reports name a text by its
+   place among the batch's rows in order of id and text, whatever order they arrive in.
 
 A hot anchor (in more than ``HOT`` documents) does not fill a bucket: under it every
 string is a suffix of its own, sent once per batch and ranged by its own bytes. Texts
@@ -149,6 +150,13 @@ def _laid(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield lo, sizes[lo:hi], np.frombuffer(b"".join(frame["text"].iloc[lo:hi]), np.uint8)
 
 
+def _in_order(frame: pd.DataFrame) -> pd.DataFrame:
+    """A batch's rows by id and text: a shuffle hands them over in another order each time it
+    is read, and reports name a text by its row. Rows equal in both have equal results."""
+    ids, texts = frame["id"].to_numpy(np.int64), frame["text"].to_list()
+    return frame.iloc[sorted(range(len(frame)), key=lambda i: (ids[i], texts[i]))].reset_index(drop=True)
+
+
 def _packed(parts: list[dict], columns: list[str]) -> pd.DataFrame:
     return pd.DataFrame(parts, columns=columns)
 
@@ -243,6 +251,7 @@ class Plan:
         columns = ["bucket", "batch", "bytes", "n", "id", "ref_of", "ref_row", "ref_start", "ref_all"]
         if not len(told) or not len(frame):
             return _packed([], columns)
+        frame = _in_order(frame)
         batch, ids = int(frame["batch"].iat[0]), frame["id"].to_numpy(np.int64)
         anchors = np.concatenate([np.frombuffer(a, np.uint64) for a in told["anchors"]])
         hot = np.concatenate([np.frombuffer(h, bool) for h in told["hot"]])
@@ -349,6 +358,7 @@ class Plan:
         """Step 3, a batch: the texts without the bytes that the reported strings cover."""
         if not len(frame):
             return pd.DataFrame({c: [] for c in ("rest", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256")})
+        frame = _in_order(frame)
         spans: dict[int, np.ndarray] = {}
         if len(told):
             row = np.concatenate([np.frombuffer(x, np.int32) for x in told["row"]])

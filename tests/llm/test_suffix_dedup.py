@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from flowrisk.llm import suffix_dedup
 
@@ -65,6 +66,17 @@ def test_small_batches_and_buckets(spark, monkeypatch):
     assert checked(suffix_dedup.removed(frame(spark, rows), hot=6)) == brute(rows)
 
 
+def test_rows_of_a_batch_arrive_in_any_order():
+    """A shuffle that is read twice gives a batch's rows in another order; no text may get another's cuts."""
+    rows = [(9 if d is None else d, t) for d, t in rows_of(5)]
+    frame = pd.DataFrame({"id": [d for d, _ in rows], "text": [(t or "").encode() for _, t in rows], "rest": [d for d, _ in rows], "batch": 0})
+    again = frame.sample(frac=1, random_state=1).reset_index(drop=True)
+    plan = suffix_dedup.Plan(50, 16, 20_000, 1)
+    reports = plan.compare(plan.strings(frame, plan.repeated(plan.anchors(frame))))
+    got = plan.remove(again, reports)
+    assert sorted((str(r.rest), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.itertuples()) == brute(rows)
+
+
 def test_runs_cover_every_string_once():
     rng = np.random.default_rng(0)
     sizes = np.array([0, 49, 50, 51, 300, 0, 120])
