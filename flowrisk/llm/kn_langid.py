@@ -2,9 +2,10 @@
 
 One model of order ``ORDER`` per language, stored in sorted arrays of n-gram hashes
 (16 bits a character). A text's language is the one with the lowest cross-entropy
-per character. Rejection is calibrated on a sample of the training rows: a text is
-rejected if its cross-entropy under the best model lies above what texts of that
-language and length show.
+per character. Rejection is calibrated on all training rows: a text is rejected if its
+cross-entropy under the best model lies above what texts of that language and length
+show. The order statistics that this takes are found by counting values in ever finer
+bins, so the driver sees counts, not rows.
 
 Counts cover all training rows: each task counts whole texts, Spark sums the counts,
 and the model keeps every n-gram. Up to ``MAX_NGRAMS`` it is held as a whole. A larger
@@ -37,8 +38,8 @@ from flowrisk.llm.common import byte_sizes, rows, settled, slices, texts, trimme
 ORDER = 4
 #: Bound on the n-grams of all languages that a process holds at once.
 MAX_NGRAMS = 4_000_000
-#: Bound on the labelled rows that calibrate the rejection.
-CALIBRATION_ROWS = 10_000
+#: Bits after the point of a bin's edge, in each round of counting; distinct values of a bin that are fetched.
+BIN_BITS, FETCHED = (6, 16, 26, 36), 2_000
 #: Bytes of text that a task counts or scores at once (an array of keys takes eight bytes a character, and there
 #: are several), and n-grams that it holds before it merges them, or hands them on.
 WORK_BYTES, HELD, HANDED_ON = 1 << 18, 1_000_000, 600_000
@@ -184,6 +185,65 @@ class CharModel:
         return np.log2(np.maximum(p, 1e-12))
 
 
+def quantiles(values: DataFrame, q: float, least: int = 20) -> dict[int, float]:
+    """Quantile of ``v`` for each ``i`` of ``values`` (settled) that has ``least`` rows, over all rows
+    and between order statistics as in ``numpy.quantile``.
+
+    Each round counts the values in bins, first in all, then in those parts of the bin that holds a
+    wanted rank; what a bin of few values holds is fetched (in the last round its edge stands for it)."""
+    counts: dict[int, int] = {r["i"]: r["n"] for r in values.groupBy("i").agg(F.count("v").alias("n")).collect() if r["n"] >= least}
+    want = {(i, rank) for i, n in counts.items() for rank in (int(q * (n - 1)), min(int(q * (n - 1)) + 1, n - 1))}
+    inside = {w: (None, w[1]) for w in want}  # bin that holds it, and its rank there
+    found: dict[tuple[int, int], float] = {}
+    last = None
+    for bits in BIN_BITS:
+        bin_of = lambda b: F.floor(F.col("v") * float(1 << b))
+        part = values
+        if last is not None:
+            open_ = sorted({(w[0], at) for w, (at, _) in inside.items()})
+            if not open_:
+                break
+            part = part.where(F.struct(F.col("i").cast("long"), bin_of(last).cast("long")).isin(*[F.struct(F.lit(int(i)).cast("long"), F.lit(int(at)).cast("long")) for i, at in open_]))
+        elif counts:
+            part = part.where(F.col("i").isin(list(counts)))
+        got: dict[tuple, list] = {}
+        for r in part.groupBy("i", bin_of(bits).alias("b")).agg(F.count("v").alias("n"), F.countDistinct("v").alias("kinds"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            got.setdefault((r["i"], None if last is None else r["b"] >> (bits - last)), []).append(r)
+        few = {}
+        for w, (at, rank) in list(inside.items()):
+            for r in sorted(got[w[0], at], key=lambda r: r["b"]):
+                if rank < r["n"]:
+                    break
+                rank -= r["n"]
+            if r["lo"] == r["hi"] or rank in (0, r["n"] - 1) or bits == BIN_BITS[-1]:
+                found[w] = r["hi"] if rank == r["n"] - 1 else r["lo"]
+                del inside[w]
+            else:
+                inside[w] = (r["b"], rank)
+                if r["kinds"] <= FETCHED:
+                    few[w] = (r["b"], rank)
+        if few:
+            bins = sorted({(w[0], at) for w, (at, _) in few.items()})
+            mine = values.where(F.struct(F.col("i").cast("long"), bin_of(bits).cast("long")).isin(*[F.struct(F.lit(int(i)).cast("long"), F.lit(int(at)).cast("long")) for i, at in bins]))
+            held: dict[tuple, list] = {}
+            for r in mine.groupBy("i", bin_of(bits).alias("b"), "v").agg(F.count(F.lit(1)).alias("n")).collect():
+                held.setdefault((r["i"], r["b"]), []).append((r["v"], r["n"]))
+            for w, (at, rank) in few.items():
+                for v, n in sorted(held[w[0], at]):
+                    if rank < n:
+                        break
+                    rank -= n
+                found[w] = v
+                del inside[w]
+        last = bits
+    out = {}
+    for i, n in counts.items():
+        h = q * (n - 1)
+        a, b = found[i, int(h)], found[i, min(int(h) + 1, n - 1)]
+        out[i] = a + (b - a) * (h - int(h))
+    return out
+
+
 def _middle(keys: np.ndarray) -> np.ndarray:
     """The last but one character of each key."""
     return ((keys >> np.uint64(16)) & np.uint64(0xFFFF)).astype(np.int64)
@@ -245,15 +305,16 @@ class LangModel:
     def _excess(ce, mean, n):
         return (ce - mean) * np.sqrt(np.minimum(n, 400))
 
-    def calibrate(self, sample: Iterable[tuple[int, float, int]]) -> None:
-        """sample: language number, own cross-entropy, characters. The limit is half again
-        the excess that one calibration text in a thousand shows."""
-        at = np.array(list(sample), dtype=float).reshape(-1, 3)
-        for i in range(len(self.langs)):
-            own = at[at[:, 0] == i]
-            if len(own) >= 20:
-                self.mean[i] = np.median(own[:, 1])
-                self.limit[i] = 1.5 * max(np.quantile(self._excess(own[:, 1], self.mean[i], own[:, 2]), 0.999), 1.0)
+    def calibrate(self, scored: DataFrame) -> None:
+        """scored: i (language number), ce (own cross-entropy), n (characters) of the calibration
+        texts. The limit is half again the excess that one of them in a thousand shows."""
+        self.mean[:] = 0
+        for i, q in quantiles(scored.select("i", F.col("ce").alias("v")), 0.5).items():
+            self.mean[i] = q
+        means = F.array(*[F.lit(float(m)) for m in self.mean])
+        excess = (F.col("ce") - F.get(means, F.col("i").cast("int"))) * F.sqrt(F.least("n", F.lit(400)).cast("double"))
+        for i, q in quantiles(scored.select("i", excess.alias("v")), 0.999).items():
+            self.limit[i] = 1.5 * max(q, 1.0)
 
     def predict(self, batch: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score (0 to 1) and whether the text is rejected."""
@@ -302,8 +363,8 @@ def _split_model(counts: DataFrame, langs: list[str], sizes: dict[int, int], max
     return LangModel({}, langs, blocks, block_of)
 
 
-def train(docs: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: int = CALIBRATION_ROWS) -> LangModel:
-    """Model from all rows of ``docs`` (doc_id, text, lang) that have a language."""
+def train(docs: DataFrame, max_ngrams: int = MAX_NGRAMS) -> LangModel:
+    """Model from all rows of ``docs`` (doc_id, text, lang) that have a language, calibrated on all of them."""
     counts = settled(count_ngrams(docs))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
@@ -314,8 +375,7 @@ def train(docs: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: int =
         model = LangModel({x: CharModel(*one) for x, one in zip(langs, _arrays(counts, langs), strict=True)})
     else:
         model = _split_model(counts, langs, sizes, max_ngrams)
-    ids = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("sample_id")).orderBy(F.xxhash64("sample_id"), "sample_id").limit(calibration_rows)
-    sample = docs.where(F.col("lang").isin(model.langs)).join(F.broadcast(ids), docs.doc_id == ids.sample_id, "left_semi")
+    labelled = docs.where(F.col("lang").isin(model.langs) & F.col("text").isNotNull())
     shared, blocks = spark.sparkContext.broadcast(model), model.blocks
     schema = pa.schema([("i", pa.int64()), ("ce", pa.float64()), ("n", pa.int64())])
 
@@ -330,7 +390,7 @@ def train(docs: DataFrame, max_ngrams: int = MAX_NGRAMS, calibration_rows: int =
                 ok = letters
                 yield rows({"i": i[ok], "ce": ce[np.arange(hi - lo), i][ok], "n": chars[ok]}, schema)
 
-    model.calibrate((r["i"], r["ce"], r["n"]) for r in sample.select("lang", "text").mapInArrow(run, "i long, ce double, n long").collect())
+    model.calibrate(settled(labelled.select("lang", "text").mapInArrow(run, "i long, ce double, n long")))
     shared.destroy()  # scoring broadcasts the calibrated model; the workers need not hold both
     return model
 

@@ -165,3 +165,29 @@ def test_model_in_blocks_equals_the_whole(spark):
     rows = frame(spark, [(i, t, None) for i, t in enumerate(batch)])
     a, b = (sorted(kn_langid.detect(rows, m).select("doc_id", "lang_pred", "rejected", "score").collect()) for m in (whole, split))
     assert [x[:3] for x in a] == [x[:3] for x in b] and np.allclose([x[3] for x in a], [x[3] for x in b])
+
+
+def test_calibration_is_over_all_rows(spark):
+    """Median and limit of every language are those of all its rows, not of a sample."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), float(v), int(n)) for i, v, n in zip(rng.integers(0, 2, 12_000), np.concatenate([rng.normal(3, 0.3, 9_000), np.full(3_000, 2.5)]), rng.integers(1, 900, 12_000), strict=True)]
+    rows += [(2, 1.0, 5)] * 5
+    model = kn_langid.LangModel({}, ["a", "b", "c"])
+    model.calibrate(spark.createDataFrame(rows, "i long, ce double, n long"))
+    at = np.array(rows)
+    for i in range(2):
+        own = at[at[:, 0] == i]
+        mean = np.median(own[:, 1])
+        limit = 1.5 * max(np.quantile((own[:, 1] - mean) * np.sqrt(np.minimum(own[:, 2], 400)), 0.999), 1.0)
+        assert np.isclose(model.mean[i], mean, rtol=1e-12) and np.isclose(model.limit[i], limit, rtol=1e-12)
+    assert model.mean[2] == 0 and np.isinf(model.limit[2])
+
+
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.999, 1.0])
+def test_quantiles(spark, q, monkeypatch):
+    monkeypatch.setattr(kn_langid, "FETCHED", 1)
+    rng = np.random.default_rng(4)
+    values = [(0, float(v)) for v in rng.normal(0, 5, 2_000)] + [(7, -2.0)] * 30 + [(7, -1.5)] * 3
+    got = kn_langid.quantiles(spark.createDataFrame(values, "i long, v double"), q)
+    for i in (0, 7):
+        assert np.isclose(got[i], np.quantile([v for k, v in values if k == i], q), atol=1e-9)
