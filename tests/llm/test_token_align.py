@@ -136,3 +136,20 @@ def test_query(spark, whole):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     got = sorted(tuple(r) for r in all_queries()["op13_token_align"](spark, SF_SMALL).collect())
     assert got == sorted(expected(whole, docs))
+
+
+def test_a_stretch_is_aligned_once(monkeypatch):
+    """Texts of known stretches cost no alignment; that of new ones covers these only."""
+    enc, aligned = load(), []
+    overlaps = T.overlaps
+
+    def counted(a, b):
+        aligned.append(len(a))
+        return overlaps(a, b)
+
+    monkeypatch.setattr(T, "overlaps", counted)
+    words = T.group_words(enc)
+    first = T.align_texts(enc, ["the words of a text " * 50, "words"], words)
+    again = T.align_texts(enc, ["the words of a text " * 50, "words"], words)
+    assert sum(aligned) < 20
+    assert first.groups == again.groups and first.links() == again.links()
