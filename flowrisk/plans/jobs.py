@@ -19,7 +19,7 @@ from flowrisk.operators import tables as TB
 from flowrisk.operators import variants as VR
 from flowrisk.operators.messages import to_messages
 from flowrisk.plans.queries import WIRE_FIELDS, as_of_col, register
-from flowrisk.session import scratch_path
+from flowrisk.session import scratch_path, settings
 from flowrisk.sinks.dated import DatedTable
 from flowrisk.sinks.offset_topic import OffsetTopic
 from flowrisk.sinks.topic import FileTopic
@@ -146,6 +146,13 @@ def q_score_flows(spark, sf_dir):
     return scored.select("kafka_key", "source_ip", "Label", "predicted_attack", "confidence", "model_name", "risk_score")
 
 
+def _put_messages(msgs: DataFrame, path: str, file_rows: int) -> None:
+    """Append messages to a folder. The whole record's formulas and its JSON make one generated method that is too
+    long for the JVM to compile (above 8,000 bytes); with the limit there, Spark cuts the formulas into short ones."""
+    with settings(msgs.sparkSession, {"spark.sql.codegen.hugeMethodLimit": "8000"}):
+        msgs.write.mode("append").option("maxRecordsPerFile", file_rows).parquet(path)
+
+
 def _write_messages(spark: SparkSession, sf_dir: str, path: str, malformed: bool = False) -> int:
     """Write every flow as messages into a plain folder of several files, with ``malformed`` the
     text of every 89th event with a second opening bracket. Returns the bytes of a micro-batch
@@ -157,7 +164,7 @@ def _write_messages(spark: SparkSession, sf_dir: str, path: str, malformed: bool
     if malformed:
         event = F.substring_index("key", "-", -1).cast("long")
         msgs = msgs.withColumn("value", F.when(event % 89 == 0, F.concat(F.lit("{"), "value")).otherwise(F.col("value")))
-    msgs.write.option("maxRecordsPerFile", max(1, min(FILE_ROWS, rows))).parquet(path)
+    _put_messages(msgs, path, max(1, min(FILE_ROWS, rows)))
     return max(1, folder_bytes(spark, path) // EPOCHS)
 
 
@@ -184,7 +191,7 @@ def _write_deliveries(spark: SparkSession, sf_dir: str, path: str) -> tuple[int,
 
     for i in range(EPOCHS + 1):
         now = [slice_of(k) for k in (i, i - 1) if 0 <= k < EPOCHS]
-        (now[0] if len(now) == 1 else now[0].unionByName(now[1])).write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(path)
+        _put_messages(now[0] if len(now) == 1 else now[0].unionByName(now[1]), path, FILE_ROWS)
     bounds = spark.read.parquet(path).agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
     if bounds["lo"] is None:
         return 1, "1 seconds"
@@ -355,7 +362,7 @@ def run_live_profiles(spark: SparkSession, sf_dir: str) -> SL.ProfileStates:
     file_rows = max(1, min(FILE_ROWS, -(-n // FILES)))
     second = F.crc32("key") % 2 == 0
     for part in (msgs.filter(~second), msgs.filter(second)):
-        part.write.mode("append").option("maxRecordsPerFile", file_rows).parquet(f"{root}/source")
+        _put_messages(part, f"{root}/source", file_rows)
         size = max(1, folder_bytes(spark, f"{root}/source") // EPOCHS)
         flows = SP.parsed_flows(SP.file_stream(spark, f"{root}/source", max_bytes_per_trigger=size))
         scored = EV.score_wire_flows(flows.filter(~F.col("is_corrupt"))).withColumn("created_at", F.col("kafka_timestamp"))
@@ -385,7 +392,7 @@ def run_timeline(spark: SparkSession, sf_dir: str) -> SL.Timeline:
     sink = SL.Timeline(f"{root}/timeline", delay, "kafka_timestamp")
 
     def deliver(rows: DataFrame) -> None:
-        to_messages(rows, WIRE_FIELDS).write.mode("append").option("maxRecordsPerFile", FILE_ROWS).parquet(f"{root}/source")
+        _put_messages(to_messages(rows, WIRE_FIELDS), f"{root}/source", FILE_ROWS)
 
     def read_on() -> None:
         size = max(1, folder_bytes(spark, f"{root}/source") // EPOCHS)
